@@ -52,10 +52,11 @@ def targets(histogram: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget:
     everything = Window.partitionBy(F.lit(0))
     ranked = per_source.withColumn("weight", weight).withColumn("full_at", cap * F.col("source_size") / F.col("weight"))
     level = F.try_divide(budget * F.sum("source_size").over(everything) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0)), F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing)))
-    # full if the level, were it and all after it not full, would lift it over its cap
-    levelled = ranked.withColumn("level", level).withColumn("full", F.col("level") > F.col("full_at"))
-    share = F.min(F.when(~F.col("full"), F.col("level"))).over(everything)
-    return levelled.withColumn("target", F.when(F.col("full"), cap * F.col("source_size")).otherwise(F.col("weight") * share).cast("double")).select("source", "source_size", "n_docs", "target")
+    # the common level is that of the first source in this order which it doesn't fill
+    levelled = ranked.withColumn("level", level).withColumn("place", F.row_number().over(filling))
+    share = F.min_by("level", F.when(F.col("level") <= F.col("full_at"), F.col("place"))).over(everything)
+    target = F.coalesce(F.least(cap * F.col("source_size"), F.col("weight") * share), cap * F.col("source_size"))
+    return levelled.withColumn("target", target.cast("double")).select("source", "source_size", "n_docs", "target")
 
 
 def rate(dual: Column, size: Column, mean: Column, cap: float = CAP) -> Column:
