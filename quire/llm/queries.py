@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.arrow_tokens import read_tokens, write_tokens
 from quire.llm.chat_format import format_examples, read_back
 from quire.llm.common import documents
 from quire.llm.exact_dedup import exact_groups
@@ -24,6 +26,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_examples(turns.unionByName(extra)))
 
 
+def op5_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
@@ -31,6 +37,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
+    "op5_arrow_tokens": op5_arrow_tokens,
     "op7_mixing": op7_mixing,
 }
 
