@@ -12,6 +12,7 @@ from quire.llm.arrow_tokens import read_tokens, write_tokens
 from quire.llm.chat_format import format_examples, read_back
 from quire.llm.common import documents
 from quire.llm.exact_dedup import exact_groups
+from quire.llm.html_extract import extract_pages
 from quire.llm.matroska import media_table, read_media
 from quire.llm.mixing import mix
 
@@ -35,6 +36,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(media_table(documents(spark, sf_dir)))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op5_arrow_tokens": op5_arrow_tokens,
     "op7_mixing": op7_mixing,
+    "op9_html_extract": op9_html_extract,
     "op10_matroska": op10_matroska,
 }
 
