@@ -13,6 +13,7 @@ from quire.llm.chat_format import format_examples, read_back
 from quire.llm.common import documents
 from quire.llm.exact_dedup import exact_groups
 from quire.llm.html_extract import extract_pages
+from quire.llm.language_id import identify
 from quire.llm.matroska import media_table, read_media
 from quire.llm.mixing import mix
 
@@ -32,6 +33,10 @@ def op5_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
     "op5_arrow_tokens": op5_arrow_tokens,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op9_html_extract": op9_html_extract,
     "op10_matroska": op10_matroska,
