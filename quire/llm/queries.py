@@ -16,6 +16,7 @@ from quire.llm.html_extract import extract_pages
 from quire.llm.language_id import identify
 from quire.llm.matroska import media_table, read_media
 from quire.llm.mixing import mix
+from quire.llm.sentencepiece_bpe import decode, encode
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,15 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_examples(turns.unionByName(extra)))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with merge-dropout, and the text that they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    told = decode(encode(docs, model), model)
+    ids_text = F.to_binary(F.array_join("ids", ","), F.lit("utf-8"))
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(ids_text).alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
 def op5_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -52,6 +62,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_arrow_tokens": op5_arrow_tokens,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
