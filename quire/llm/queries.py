@@ -18,6 +18,11 @@ from quire.llm.language_id import identify
 from quire.llm.matroska import media_table, read_media
 from quire.llm.mixing import mix
 from quire.llm.sentencepiece_bpe import decode, encode
+from quire.llm.suffix_dedup import remove_repeats
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +70,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_sentencepiece": op4_sentencepiece,
