@@ -1,4 +1,553 @@
-"""All queries of the library outside quire.llm, with their oracles."""
+"""Queries of the library over the driver's tables, each with its oracle in SQL.
 
-QUERIES: dict = {}
+Books are `documents.source`, chapters are documents, blocks are their lines; conversations are chapters that come as
+blocks; events are job steps of a user; pages are archive members.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import keys, labels, numbers, paths, text
+from quire.operators import batches, blocks, cache, history, memory
+from quire.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+CHUNK = 1000
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def document_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = blocks.line_blocks(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return rows.withColumns({"block_idx": F.col("block_idx").cast("long"), "source_html": F.concat(F.lit("<p>"), F.col("source_text"), F.lit("</p>"))})
+
+
+def cached(spark: SparkSession, d: str) -> DataFrame:
+    """A cache that holds the lines of every fifth document."""
+    hit = document_blocks(spark, d).where("doc_id % 5 = 0").select(F.sha2("source_text", 256).alias("cache_key"), F.concat(F.lit("t:"), "source_text").alias("translated_html"))
+    return hit.groupBy("cache_key").agg(F.max("translated_html").alias("translated_html"))
+
+
+def chapters(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters with a category by a keyword in the path, chosen by doc_id."""
+    word = F.element_at(F.array(*map(F.lit, ["cover", "notes", "appendix", "preface", "chapter", "chapter", "chapter"])), (F.col("doc_id") % 7 + 1).cast("int"))
+    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("spine_idx"), "doc_id", F.concat(word, F.lit("_"), (F.col("doc_id") % 50).cast("string"), F.lit(".xhtml")).alias("chapter_path"))
+    rows = rows.withColumn("category", labels.category(F.col("chapter_path"), F.lit("")))
+    return rows.withColumn("recommended", F.col("category") != "ancillary").withColumn("include", F.col("recommended"))
+
+
+BLOCKS = """
+    b0 AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+    b1 AS (SELECT doc_id, source, pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS source_text FROM b0),
+    b AS (SELECT doc_id, source, source_text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block_idx, '<p>' || source_text || '</p>' AS source_html FROM b1 WHERE source_text <> '')"""
+COST = "CASE WHEN length({t}) <= 80 AND length({h}) <= 360 THEN greatest(48, length({t}) + 24) ELSE greatest(length({h}), length({t})) + 96 END"
+CACHE = "k AS (SELECT sha256(source_text) AS cache_key, max('t:' || source_text) AS translated_html FROM b WHERE doc_id % 5 = 0 GROUP BY 1)"
+CHAPTERS = """
+    c0 AS (SELECT source, doc_id, doc_id AS spine_idx, ['cover', 'notes', 'appendix', 'preface', 'chapter', 'chapter', 'chapter'][CAST(doc_id % 7 + 1 AS INT)] || '_' || CAST(doc_id % 50 AS VARCHAR) || '.xhtml' AS chapter_path FROM documents),
+    c AS (SELECT *, CASE WHEN chapter_path LIKE 'cover%' THEN 'ancillary' WHEN chapter_path LIKE 'notes%' THEN 'reference' WHEN chapter_path LIKE 'appendix%' THEN 'backMatter' WHEN chapter_path LIKE 'preface%' THEN 'frontMatter' ELSE 'content' END AS category FROM c0),
+    n AS (SELECT doc_id, count(*) AS n_blocks FROM b GROUP BY 1)"""
+PACKED = f"""
+    p0 AS (SELECT conv_id, turn, {COST.format(t="text", h="('<p>' || text || '</p>')")} AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    p AS (SELECT conv_id, turn, cost, k, 1 AS no, cost AS used FROM p0 WHERE k = 1
+          UNION ALL SELECT p0.conv_id, p0.turn, p0.cost, p0.k, CASE WHEN p.used + p0.cost > {CHUNK} THEN p.no + 1 ELSE p.no END, CASE WHEN p.used + p0.cost > {CHUNK} THEN p0.cost ELSE p.used + p0.cost END
+          FROM p JOIN p0 ON p0.conv_id = p.conv_id AND p0.k = p.k + 1)"""
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "role", F.col("turn").alias("block_idx"), F.col("text").alias("source_text"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("source_html"))
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT conv_id, turn AS block_idx, CAST(cost AS BIGINT) AS cost, CAST(no AS BIGINT) AS batch_no FROM p")
+def plan_batches(spark, d):
+    return batches.plan_batches(turns(spark, d), ["conv_id"], CHUNK)
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT conv_id, CAST(no AS BIGINT) AS batch_no, min(turn) AS lo, max(turn) AS hi, count(*) AS n_blocks, CAST(sum(cost) AS BIGINT) AS cost, CAST((no - 1) // 3 AS BIGINT) AS wave FROM p GROUP BY conv_id, no")
+def waves(spark, d):
+    return batches.waves(batches.batch_ranges(batches.plan_batches(turns(spark, d), ["conv_id"], CHUNK), ["conv_id"]), 3)
+
+
+@query(
+    f"""WITH RECURSIVE {PACKED}, g AS (SELECT conv_id, no, min(turn) AS lo, max(turn) AS hi FROM p GROUP BY 1, 2),
+    s AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)
+    SELECT g.conv_id, CAST(g.no AS BIGINT) AS batch_no, s.turn AS block_idx, CASE WHEN s.turn < g.lo THEN 'before' ELSE 'after' END AS side, CASE WHEN length(t) <= 240 THEN t ELSE t[1:237] || '...' END AS snippet
+    FROM g JOIN s ON s.conv_id = g.conv_id AND (s.turn BETWEEN g.lo - 2 AND g.lo - 1 OR s.turn = g.hi + 1) WHERE t <> ''"""
+)
+def context_band(spark, d):
+    rows = turns(spark, d)
+    ranges = batches.batch_ranges(batches.plan_batches(rows, ["conv_id"], CHUNK), ["conv_id"])
+    return batches.context_band(rows, ranges, ["conv_id"])
+
+
+@query(
+    f"""WITH RECURSIVE {BLOCKS},
+    q0 AS (SELECT source, doc_id, block_idx + 1 AS k, {COST.format(t="source_text", h="source_html")} AS cost FROM b),
+    q AS (SELECT source, doc_id, k, cost, 1 AS no, cost AS used FROM q0 WHERE k = 1
+          UNION ALL SELECT q0.source, q0.doc_id, q0.k, q0.cost, CASE WHEN q.used + q0.cost > 3000 THEN q.no + 1 ELSE q.no END, CASE WHEN q.used + q0.cost > 3000 THEN q0.cost ELSE q.used + q0.cost END
+          FROM q JOIN q0 ON q0.doc_id = q.doc_id AND q0.k = q.k + 1),
+    m AS (SELECT source, doc_id, max(no) AS n FROM q GROUP BY 1, 2), t AS (SELECT source, sum(n) AS batches FROM m GROUP BY 1),
+    s AS (SELECT source, count(DISTINCT doc_id) AS selected_chapters, count(*) AS total_blocks, CAST(sum(length(source_text)) AS BIGINT) AS source_chars FROM b GROUP BY 1)
+    SELECT s.*, CAST(t.batches AS BIGINT) AS batches, CAST(greatest(1, ceil(source_chars / 4.0)) AS BIGINT) AS input_tokens FROM s JOIN t USING (source)"""
+)
+def estimate_by_book(spark, d):
+    return batches.run_estimate(document_blocks(spark, d), ["source"], ["doc_id"], 3000)
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, source, source_text, source_html, block_idx, 'p-' || CAST(block_idx + 1 AS VARCHAR) AS block_id FROM b")
+def block_explode(spark, d):
+    return document_blocks(spark, d)
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS collapsed, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS trimmed, length(text) AS units FROM documents")
+def text_normalize(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", text.collapse("text").alias("collapsed"), text.uni_trim("text").alias("trimmed"), text.utf16_len("text").cast("long").alias("units"))
+
+
+@query(
+    """SELECT page_id, coalesce(nullif(trim(title), ''), nullif(h, ''), stem) AS title FROM (
+         SELECT page_id, regexp_replace(regexp_replace(string_split(string_split(url, '#')[1], '?')[1], '^.*/', ''), '\\.[^.]*$', '') AS stem,
+                regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')) AS h FROM pages)"""
+)
+def page_titles(spark, d):
+    pages = table(spark, d, "pages")
+    title = blocks.resolve_title(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", "<h[123]>([^<]*)</h[123]>", 1), paths.stem(paths.cut_href("url")))
+    return pages.select("page_id", title.alias("title"))
+
+
+@query(
+    """SELECT page_id, string_split(string_split(url, '#')[1], '?')[1] AS cut, regexp_matches(lower(string_split(string_split(url, '#')[1], '?')[1]), '\\.(html|xhtml|htm)$') AS is_html,
+       regexp_extract(string_split(string_split(url, '#')[1], '?')[1], '([^/]*)/*$', 1) AS base, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages"""
+)
+def html_suffix_filter(spark, d):
+    pages = table(spark, d, "pages").withColumn("cut", paths.cut_href("url"))
+    return pages.select("page_id", "cut", paths.is_html("cut").alias("is_html"), paths.basename("cut").alias("base"), labels.api_host(F.col("url")).alias("host"))
+
+
+@query("SELECT page_id, 'OPS/' || regexp_replace(regexp_replace(string_split(string_split(url, '#')[1], '?')[1], '^https?://[^/]+/', ''), '/+$', '') AS member_path FROM pages")
+def href_resolve(spark, d):
+    href = F.regexp_replace("url", "^https?://[^/]+/", "")
+    return table(spark, d, "pages").select("page_id", paths.resolve_href(F.lit("OPS"), href).alias("member_path"))
+
+
+@query(
+    """WITH m AS (SELECT 'p' || CAST(page_id AS VARCHAR) AS id, url FROM pages), s AS (SELECT doc_id AS spine_idx, 'p' || CAST(doc_id % 400 AS VARCHAR) AS idref FROM documents)
+    SELECT s.spine_idx, m.id, m.url, (SELECT count(*) FROM s) AS total_files FROM s JOIN m ON s.idref = m.id"""
+)
+def spine_manifest_join(spark, d):
+    manifest = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), "url")
+    spine = table(spark, d, "documents").select(F.col("doc_id").alias("spine_idx"), F.concat(F.lit("p"), (F.col("doc_id") % 400).cast("string")).alias("idref"))
+    return spine.join(manifest, spine["idref"] == manifest["id"]).select("spine_idx", "id", "url").withColumn("total_files", F.lit(spine.count()).cast("long"))
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS item_id, arg_max(event_type, event_id) AS href FROM events GROUP BY 1")
+def manifest_last_wins(spark, d):
+    return table(spark, d, "events").groupBy(F.col("user_id").cast("long").alias("item_id")).agg(F.max_by("event_type", "event_id").alias("href"))
+
+
+@query(f"WITH {BLOCKS}, {CHAPTERS} SELECT source, doc_id, chapter_path, category, CASE category WHEN 'content' THEN 'Content' WHEN 'frontMatter' THEN 'Front matter' WHEN 'backMatter' THEN 'Back matter' WHEN 'reference' THEN 'Reference' ELSE 'Ancillary' END AS label FROM c")
+def category_case(spark, d):
+    return chapters(spark, d).select("source", "doc_id", "chapter_path", "category", labels.display(F.col("category"), labels.CATEGORY_LABELS).alias("label"))
+
+
+@query(
+    f"""WITH {BLOCKS}, {CHAPTERS}, l AS (SELECT doc_id, quality FROM labels)
+    SELECT c.doc_id, p.preset, CASE p.preset WHEN 'recommended' THEN category <> 'ancillary' WHEN 'contentOnly' THEN category = 'content' WHEN 'allChapters' THEN coalesce(n.n_blocks, 0) > 0 ELSE false END AS include,
+           coalesce(l.quality = 1, category <> 'ancillary') <> (category <> 'ancillary') AS overridden
+    FROM c LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id), (SELECT unnest(['recommended', 'contentOnly', 'allChapters', 'none']) AS preset) p"""
+)
+def selection_presets(spark, d):
+    totals = document_blocks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
+    rows = chapters(spark, d).join(totals, "doc_id", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    rows = rows.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = rows.withColumn("overridden", F.coalesce(F.col("quality") == 1, F.col("recommended")) != F.col("recommended"))
+    out = None
+    for preset in ("recommended", "contentOnly", "allChapters", "none"):
+        one = blocks.select_chapters(rows, preset).select("doc_id", F.lit(preset).alias("preset"), "include", "overridden")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {BLOCKS}, {CACHE} SELECT b.doc_id, b.block_idx, k.translated_html, coalesce(trim(k.translated_html), '') = '' AS pending FROM b LEFT JOIN k ON sha256(b.source_text) = k.cache_key")
+def cache_probe(spark, d):
+    rows = document_blocks(spark, d).withColumn("cache_key", F.sha2("source_text", 256))
+    return cache.probe(rows, cached(spark, d)).select("doc_id", "block_idx", "translated_html", "pending")
+
+
+@query(f"WITH {BLOCKS}, {CACHE} SELECT doc_id, block_idx FROM b WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.cache_key = sha256(b.source_text))")
+def cache_pending(spark, d):
+    rows = document_blocks(spark, d).withColumn("cache_key", F.sha2("source_text", 256))
+    return cache.pending_blocks(rows, cached(spark, d)).select("doc_id", "block_idx")
+
+
+@query(
+    f"""WITH {BLOCKS}, {CACHE}, h AS (SELECT source, doc_id, bool_or(k.cache_key IS NULL) AS has_pending FROM b LEFT JOIN k ON sha256(b.source_text) = k.cache_key GROUP BY 1, 2)
+    SELECT source, doc_id, has_pending, coalesce(bool_or(has_pending) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS pending_later FROM h"""
+)
+def pending_by_chapter(spark, d):
+    rows = document_blocks(spark, d).withColumn("cache_key", F.sha2("source_text", 256))
+    return cache.pending_chapters(cache.probe(rows, cached(spark, d)), ["source"], "doc_id")
+
+
+@query(
+    f"""WITH {BLOCKS} SELECT doc_id, block_idx, sha256('v6-glossary-and-path-keys|https://' || lower(source) || '.example.com/v1|model-' || source || '|Chinese|Alice => A|true|' || CAST(doc_id AS VARCHAR) || '.xhtml|' || source_html) AS cache_key FROM b"""
+)
+def block_cache_keys(spark, d):
+    url = F.concat(F.lit(" "), F.lower("source"), F.lit(".example.com/chat/completions "))
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".xhtml"))
+    key = keys.block_key(url, F.concat(F.lit("model-"), "source", F.lit(" ")), F.lit("Chinese"), F.lit("Alice => A\n"), F.lit(True), path, F.col("source_html"))
+    return document_blocks(spark, d).select("doc_id", "block_idx", key.alias("cache_key"))
+
+
+@query(
+    """WITH f AS (SELECT source, sha256('v6-glossary-and-path-keys|' || source || '.epub|' || CAST(sum(n_chars) AS VARCHAR) || '|' || CAST(max(doc_id) * 1000 AS VARCHAR)) AS fingerprint, string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY doc_id) AS paths FROM documents GROUP BY 1)
+    SELECT source, fingerprint, sha256('v6-glossary-and-path-keys|' || fingerprint || '|https://api.example.com/v1|m|French|false||true|' || paths) AS job_key FROM f"""
+)
+def job_keys(spark, d):
+    books = table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("size"), F.max("doc_id").alias("last"), F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")).alias("paths"))
+    books = books.withColumn("fingerprint", keys.input_fingerprint(F.concat("source", F.lit(".epub")), F.col("size"), F.timestamp_millis(F.col("last") * 1000)))
+    return books.select("source", "fingerprint", keys.job_key(F.col("fingerprint"), F.lit("api.example.com/"), F.lit("m"), F.lit("French"), F.lit(False), F.lit(""), F.lit(True), F.col("paths")).alias("job_key"))
+
+
+@query(
+    """WITH q AS (SELECT conv_id, turn AS block_id FROM conversations),
+    r AS (SELECT conv_id, turn AS block_id, CASE WHEN turn = 3 AND conv_id % 7 = 0 THEN ' ' ELSE 't:' || text END AS html FROM conversations WHERE NOT (conv_id % 5 = 0 AND turn = 1)),
+    g AS (SELECT q.conv_id, count(r.block_id) <> count(*) OR bool_or(coalesce(trim(html), '') = '') AS needs_fallback FROM q LEFT JOIN r USING (conv_id, block_id) GROUP BY 1)
+    SELECT q.conv_id, q.block_id, r.html, g.needs_fallback FROM q LEFT JOIN r USING (conv_id, block_id) JOIN g USING (conv_id)"""
+)
+def response_join(spark, d):
+    request = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("block_id"), "text")
+    blank = (F.col("block_id") == 3) & (F.col("conv_id") % 7 == 0)
+    response = request.where("not (conv_id % 5 = 0 and block_id = 1)").select("conv_id", "block_id", F.when(blank, " ").otherwise(F.concat(F.lit("t:"), "text")).alias("html"), F.col("block_id").alias("pos"))
+    return cache.match_response(request.drop("text"), response, ["conv_id"])
+
+
+@query(
+    f"""WITH {BLOCKS}, {CACHE}, o AS (SELECT b.doc_id, b.block_idx, coalesce(k.translated_html, b.source_text) AS final FROM b LEFT JOIN k ON sha256(b.source_text) = k.cache_key),
+    t AS (SELECT b.doc_id, count(k.cache_key) AS n_translated FROM b LEFT JOIN k ON sha256(b.source_text) = k.cache_key GROUP BY 1)
+    SELECT o.*, t.n_translated FROM o JOIN t USING (doc_id)"""
+)
+def write_back_overlay(spark, d):
+    rows = document_blocks(spark, d).withColumns({"cache_key": F.sha2("source_text", 256), "final": F.col("source_text")})
+    done = cache.overlay(rows, cached(spark, d), ["cache_key"], "final", "translated_html")
+    totals = blocks.chapter_totals(cache.probe(rows, cached(spark, d)), ["doc_id"]).select("doc_id", "n_translated")
+    return done.join(totals, "doc_id").select("doc_id", "block_idx", "final", "n_translated")
+
+
+@query(
+    """WITH u AS (SELECT conv_id, text AS ask, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations WHERE role = 'user'),
+    a AS (SELECT conv_id, text AS answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations WHERE role = 'assistant')
+    SELECT conv_id, pos, ask, answer FROM u JOIN a USING (conv_id, pos)"""
+)
+def positional_zip(spark, d):
+    rows = table(spark, d, "conversations")
+    side = lambda role, name: rows.where(F.col("role") == role).select("conv_id", "turn", F.col("text").alias(name))
+    return cache.zip_positions(side("user", "ask"), side("assistant", "answer"), ["conv_id"], "turn").select("conv_id", F.col("pos").cast("long"), "ask", "answer")
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, string_agg(source_text, chr(10) || chr(10) ORDER BY block_idx) AS body FROM b WHERE block_idx < 12 GROUP BY 1")
+def preview_body(spark, d):
+    return blocks.preview_bodies(document_blocks(spark, d), ["doc_id"])
+
+
+@query(
+    f"""WITH {BLOCKS}, {CACHE}, x AS (SELECT doc_id, block_idx, trim(regexp_replace(regexp_replace('<b>' || k.translated_html || '</b>', '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM b JOIN k ON sha256(b.source_text) = k.cache_key),
+    y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) AS r FROM x WHERE t <> '') SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY block_idx) AS excerpt FROM y WHERE r <= 8 GROUP BY 1"""
+)
+def translated_excerpt(spark, d):
+    rows = document_blocks(spark, d).withColumn("cache_key", F.sha2("source_text", 256))
+    hits = cache.probe(rows, cached(spark, d)).where("not pending").withColumn("translated_html", F.concat(F.lit("<b>"), "translated_html", F.lit("</b>")))
+    return blocks.excerpts(hits, ["doc_id"])
+
+
+@query(f"WITH {BLOCKS}, t AS (SELECT doc_id, string_agg(source_text, ' ' ORDER BY block_idx) AS t FROM b GROUP BY 1) SELECT doc_id, CASE WHEN length(t) <= 2400 THEN t ELSE t[1:2397] || '...' END AS memory_text FROM t")
+def memory_text(spark, d):
+    return blocks.memory_texts(document_blocks(spark, d), ["doc_id"])
+
+
+@query(
+    f"""WITH {BLOCKS}, {CHAPTERS}, t0 AS (SELECT doc_id, string_agg(source_text, ' ' ORDER BY block_idx) AS t FROM b GROUP BY 1), t AS (SELECT doc_id, CASE WHEN length(t) <= 2400 THEN t ELSE t[1:2397] || '...' END AS memory_text FROM t0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source, category ORDER BY spine_idx) AS k, row_number() OVER (PARTITION BY source ORDER BY spine_idx) AS o FROM c WHERE category <> 'ancillary'),
+    m AS (SELECT *, category IN ('frontMatter', 'content') AND k <= 2 AS chosen FROM r), a AS (SELECT *, bool_or(chosen) OVER (PARTITION BY source) AS any_chosen FROM m),
+    z AS (SELECT *, CASE WHEN any_chosen AND category = 'content' THEN 1 ELSE 0 END AS kind FROM a WHERE chosen OR (NOT any_chosen AND o <= 4)),
+    y AS (SELECT *, row_number() OVER (PARTITION BY source, chapter_path ORDER BY kind, spine_idx) AS f FROM z),
+    w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY kind, spine_idx) AS place FROM y WHERE f = 1)
+    SELECT source, place, chapter_path, category, memory_text FROM w JOIN t USING (doc_id)"""
+)
+def memory_sources(spark, d):
+    rows = chapters(spark, d).join(blocks.memory_texts(document_blocks(spark, d), ["doc_id"]), "doc_id", "left").withColumn("memory_text", F.coalesce("memory_text", F.lit("")))
+    return memory.memory_sources(rows, ["source"]).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT conv_id, turn, coalesce(lag(role) OVER w || '/', '') || role AS recent FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def recent_two(spark, d):
+    rows = memory.recent_chapters(table(spark, d, "conversations"), ["conv_id"], "turn", "role")
+    return rows.select("conv_id", "turn", F.array_join("recent", "/").alias("recent"))
+
+
+@query(
+    f"""WITH {BLOCKS}, e AS (SELECT source AS book, string_split(source_text, ' ')[1] AS term, CAST(doc_id AS VARCHAR) || '-' || CAST(block_idx AS VARCHAR) AS target, doc_id * 100000 + block_idx AS seq FROM b),
+    g AS (SELECT book, lower(term) AS k, arg_max(term, seq) AS term, arg_max(target, seq) AS target, min(seq) AS place FROM e GROUP BY 1, 2)
+    SELECT book, rank, term AS source, target FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY place) AS rank FROM g) WHERE rank <= 32"""
+)
+def glossary_merge(spark, d):
+    rows = document_blocks(spark, d)
+    entries = rows.select(F.col("source").alias("book"), F.split_part("source_text", F.lit(" "), F.lit(1)).alias("source"), F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("block_idx").cast("string")).alias("target"), (F.col("doc_id") * 100000 + F.col("block_idx")).alias("seq"))
+    return memory.merge_glossary(entries, ["book"], "seq").withColumn("rank", F.col("rank").cast("long"))
+
+
+def jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Job records made of events."""
+    status = F.element_at(F.array(*map(F.lit, ["idle", "queued", "running", "inspected", "cancelled", "failed", "completed"])), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.col("event_id").alias("ord"), status.alias("status"),
+        F.when(F.col("event_id") % 3 == 0, "inspection").otherwise("translation").alias("phase"), F.concat(F.lit("/books/"), F.col("event_type"), F.lit("/b"), F.col("event_id").cast("string"), F.lit(".epub")).alias("input_path"),
+        F.when(F.col("event_id") % 4 == 0, "/out").otherwise(F.concat(F.lit("/out/b"), F.col("event_id").cast("string"), F.lit(".EPUB "))).alias("output_path"),
+        (F.col("event_id") % 11).alias("completed_blocks"), (F.col("event_id") % 2 * 10).alias("total_blocks"), (F.col("event_id") % 5).alias("completed_files"), (F.col("event_id") % 4).alias("total_files"),
+        (F.col("event_id") % 6).alias("cached_blocks"), F.lit(0).alias("resumed_blocks"), (F.col("event_id") % 130 / 100).alias("progress"),
+        F.when(F.col("event_id") % 7 == 5, F.concat(F.lit("HTTP 42"), (F.col("event_id") % 10).cast("string"), F.lit(" translate "), F.col("event_type"))).otherwise("").alias("error_message"),
+    )
+
+
+JOBS = """
+    j AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS id, event_id AS ord, ['idle', 'queued', 'running', 'inspected', 'cancelled', 'failed', 'completed'][CAST(event_id % 7 + 1 AS INT)] AS status,
+        CASE WHEN event_id % 3 = 0 THEN 'inspection' ELSE 'translation' END AS phase, '/books/' || event_type || '/b' || CAST(event_id AS VARCHAR) || '.epub' AS input_path,
+        CASE WHEN event_id % 4 = 0 THEN '/out' ELSE '/out/b' || CAST(event_id AS VARCHAR) || '.EPUB ' END AS output_path, event_id % 11 AS completed_blocks, event_id % 2 * 10 AS total_blocks, event_id % 5 AS completed_files, event_id % 4 AS total_files,
+        event_id % 6 AS cached_blocks, (event_id % 130) / 100.0 AS progress, CASE WHEN event_id % 7 = 5 THEN 'HTTP 42' || CAST(event_id % 10 AS VARCHAR) || ' translate ' || event_type ELSE '' END AS error_message FROM events),
+    j2 AS (SELECT *, phase = 'translation' AND status IN ('failed', 'cancelled') AND (cached_blocks > 0 OR completed_blocks > 0) AS can_resume,
+        CASE status WHEN 'idle' THEN 'Idle' WHEN 'queued' THEN 'Queued' WHEN 'running' THEN 'Running' WHEN 'inspected' THEN 'Inspected' WHEN 'cancelled' THEN 'Cancelled' WHEN 'failed' THEN 'Failed' ELSE 'Completed' END AS status_label,
+        CASE WHEN total_blocks > 0 THEN CAST(completed_blocks AS VARCHAR) || ' / ' || CAST(total_blocks AS VARCHAR) || ' blocks' WHEN total_files > 0 THEN CAST(completed_files AS VARCHAR) || ' / ' || CAST(total_files AS VARCHAR) || ' chapters'
+             ELSE CAST(CAST(least(100, round(progress * 100)) AS BIGINT) AS VARCHAR) || '% complete' END AS progress_label FROM j)"""
+
+
+@query(
+    f"""WITH {JOBS}, a AS (SELECT id, ord, status, 0 AS s FROM j WHERE ord % 3 = 0 UNION ALL SELECT id, ord, status, 1 FROM j WHERE ord % 3 <> 0),
+    f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, ord) AS r FROM a) SELECT id, ord, status FROM f WHERE r = 1 ORDER BY s, ord LIMIT 20"""
+)
+def history_merge(spark, d):
+    rows = jobs(spark, d).select("id", "ord", "status")
+    return history.merge_history(rows.where("ord % 3 = 0"), rows.where("ord % 3 <> 0")).select("id", "ord", "status")
+
+
+@query(
+    f"""WITH {JOBS} SELECT id, regexp_extract(input_path, '([^/]*)$', 1) AS title, status_label, progress_label, status IN ('queued', 'running') AS is_active,
+    status = 'completed' AND phase = 'translation' AND lower(trim(output_path)) LIKE '%.epub' AS can_open_output, status IN ('failed', 'cancelled') AS can_retry, can_resume, CASE phase WHEN 'inspection' THEN 'Inspection' ELSE 'Translation' END AS phase_label,
+    CASE WHEN status IN ('queued', 'running') THEN 'active' WHEN can_resume THEN 'can resume' ELSE status_label END AS line, CASE WHEN error_message = '' THEN progress_label ELSE progress_label || chr(10) || error_message END AS detail FROM j2"""
+)
+def job_summary(spark, d):
+    return history.summaries(jobs(spark, d))
+
+
+@query(
+    """SELECT user_id, event_id, CAST(sum(n) OVER w AS BIGINT) AS done, round(least(1, sum(n) OVER w / nullif(sum(n) OVER (PARTITION BY user_id), 0)), 6) AS progress
+    FROM (SELECT user_id, event_id, event_id % 5 + 1 AS n FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""
+)
+def running_progress(spark, d):
+    steps = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 5 + 1).alias("n"))
+    return history.running_progress(steps, "user_id", "event_id", "n").select("user_id", "event_id", "done", F.round("progress", 6).alias("progress"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 400")
+def log_tail(spark, d):
+    return history.log_tail(table(spark, d, "events").select("event_id", "event_type"), "event_id")
+
+
+@query(
+    """WITH s AS (SELECT user_id, sum(event_id % 4000) AS ms, sum(event_id % 3) AS blocks, count(*) FILTER (event_type = 'view') AS cached, count(*) AS steps FROM events GROUP BY 1),
+    v AS (SELECT *, CASE WHEN blocks > 0 AND ms > 0 THEN blocks / (ms / 60000.0) END AS speed FROM s)
+    SELECT user_id, CAST(ms AS BIGINT) AS elapsed_ms, CAST(blocks AS BIGINT) AS blocks, cached, steps, round(speed, 6) AS speed, CAST(round(steps / speed * 60000) AS BIGINT) AS left_ms,
+      CASE WHEN ms < 1000 THEN CAST(ms AS VARCHAR) || 'ms' WHEN ms < 60000 THEN printf('%.2f', ms / 1000.0) || 's' ELSE CAST(ms // 60000 AS VARCHAR) || 'm ' || CAST(ms // 1000 % 60 AS VARCHAR) || 's' END AS took FROM v"""
+)
+def run_metrics(spark, d):
+    steps = table(spark, d, "events").select("user_id", (F.col("event_id") % 4000).alias("elapsed_ms"), (F.col("event_id") % 3).alias("blocks"), F.when(F.col("event_type") == "view", 1).otherwise(0).alias("cached"))
+    return history.run_metrics(steps, ["user_id"]).withColumn("speed", F.round("speed", 6))
+
+
+@query(f"WITH {BLOCKS}, {CHAPTERS} SELECT source, arg_min(spine_idx, (n_blocks, spine_idx)) AS spine_idx, min(n_blocks) AS n_blocks FROM c JOIN n USING (doc_id) WHERE category = 'content' GROUP BY 1")
+def chapter_smallest(spark, d):
+    totals = document_blocks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
+    return blocks.smallest_chapter(chapters(spark, d).join(totals, "doc_id"), ["source"])
+
+
+@query(
+    f"""WITH {BLOCKS}, {CHAPTERS}, r AS (SELECT source, spine_idx, n_blocks, row_number() OVER (PARTITION BY source ORDER BY n_blocks, spine_idx) AS k, count(*) OVER (PARTITION BY source) AS m FROM c JOIN n USING (doc_id) WHERE category = 'content')
+    SELECT source, spine_idx, n_blocks FROM r WHERE k = m // 2 + 1"""
+)
+def chapter_upper_median(spark, d):
+    totals = document_blocks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
+    return blocks.upper_median_chapter(chapters(spark, d).join(totals, "doc_id"), ["source"])
+
+
+HAN = "CASE WHEN doc_id % 3 = 0 THEN repeat('汉', 30) || ' ' || source_text ELSE source_text END"
+WORDS = "len(regexp_extract_all({x}, '[A-Za-z][A-Za-z''-]*'))"
+
+
+def mixed_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return document_blocks(spark, d).withColumn("mixed", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("汉" * 30 + " "), "source_text")).otherwise(F.col("source_text")))
+
+
+@query(f"WITH {BLOCKS}, x AS (SELECT doc_id, block_idx, {HAN} AS m FROM b) SELECT doc_id, block_idx, {WORDS.format(x='m')} AS words, len(regexp_extract_all(m, '[一-鿿]')) AS others FROM x")
+def english_words(spark, d):
+    return mixed_blocks(spark, d).select("doc_id", "block_idx", text.english_words("mixed").cast("long").alias("words"), text.non_latin_chars("mixed").cast("long").alias("others"))
+
+
+@query(f"WITH {BLOCKS}, x AS (SELECT doc_id, block_idx, {HAN} AS m FROM b) SELECT doc_id, block_idx, list_max([{WORDS.format(x='p')} FOR p IN string_split_regex(m, '[一-鿿]')]) AS longest FROM x")
+def longest_english_run(spark, d):
+    return mixed_blocks(spark, d).select("doc_id", "block_idx", text.longest_english_run("mixed").cast("long").alias("longest"))
+
+
+@query(
+    f"""WITH {BLOCKS}, x AS (SELECT doc_id, block_idx, source_text AS s, {HAN} AS m, l.language FROM b, (SELECT unnest(['Chinese', 'English', 'Hungarian', ' 日本語 ']) AS language) l),
+    y AS (SELECT *, {WORDS.format(x="s")} AS sw, {WORDS.format(x="m")} AS w, len(regexp_extract_all(m, '[A-Za-z]')) AS letters, len(regexp_extract_all(m, '[一-鿿]')) AS han, list_max([{WORDS.format(x="p")} FOR p IN string_split_regex(m, '[一-鿿]')]) AS run FROM x)
+    SELECT doc_id, block_idx, language, language <> 'English' AND sw >= 6 AND w >= 7 AND (run >= 7 OR (letters >= 40 AND han = 0) OR (w >= 10 AND coalesce(letters / nullif(letters + han, 0), 0) >= 0.65)) AS suspicious FROM y"""
+)
+def residual_flag(spark, d):
+    rows = mixed_blocks(spark, d).withColumn("language", F.explode(F.array(*map(F.lit, ["Chinese", "English", "Hungarian", " 日本語 "]))))
+    return rows.select("doc_id", "block_idx", "language", text.suspicious_residual("source_text", "mixed", "language").alias("suspicious"))
+
+
+@query(
+    """WITH m AS (SELECT doc_id, [ '[' || CAST(doc_id AS VARCHAR) || ']', CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR) || 'a', 'xiv', '*', '(' || source || ')', 'word', CAST(doc_id % 99 AS VARCHAR) || '.'][CAST(doc_id % 8 + 1 AS INT)] AS v FROM documents)
+    SELECT doc_id, v, length(v) <= 12 AND (regexp_matches(v, '^\\d{1,4}[a-zA-Z]?$') OR regexp_matches(lower(v), '^[ivxlcdm]+$')) AS page1, length(v) <= 10 AND (regexp_matches(v, '^[\\[(].+[\\])]$') OR regexp_matches(v, '^\\d{1,3}$') OR regexp_matches(v, '^[a-zA-Z]$')) AS marker1,
+      length(v) <= 10 AND (regexp_matches(v, '^[\\[(].+[\\])]$') OR regexp_matches(v, '^[0-9]+[.)]?$') OR regexp_matches(v, '^[*]+$')) AS marker2,
+      length(v) <= 12 AND ((length(v) <= 10 AND (regexp_matches(v, '^[\\[(].+[\\])]$') OR regexp_matches(v, '^[0-9]+[.)]?$') OR regexp_matches(v, '^[*]+$'))) OR regexp_matches(v, '^[0-9]+$') OR regexp_matches(v, '^[ivxlcdmIVXLCDM]+$')) AS page2 FROM m"""
+)
+def marker_text(spark, d):
+    n = F.col("doc_id").cast("string")
+    values = F.array(F.concat(F.lit("["), n, F.lit("]")), n, F.concat(n, F.lit("a")), F.lit("xiv"), F.lit("*"), F.concat(F.lit("("), "source", F.lit(")")), F.lit("word"), F.concat((F.col("doc_id") % 99).cast("string"), F.lit(".")))
+    rows = table(spark, d, "documents").select("doc_id", F.element_at(values, (F.col("doc_id") % 8 + 1).cast("int")).alias("v"))
+    return rows.select("doc_id", "v", text.extractor_pagebreak("v").alias("page1"), text.extractor_marker("v").alias("marker1"), text.protected_marker("v").alias("marker2"), text.protected_pagebreak("v").alias("page2"))
+
+
+@query(
+    """SELECT event_id, 'Authorization: Bearer [redacted] api_key=[redacted], sk-[redacted] key [redacted] ' || event_type AS clean FROM events"""
+)
+def redact(spark, d):
+    n = F.col("event_id").cast("string")
+    dirty = F.concat(F.lit("Authorization: Bearer t"), n, F.lit(" api_key=k"), n, F.lit(", sk-abcdefgh"), n, F.lit(" key my-own-key "), F.col("event_type"))
+    return table(spark, d, "events").select("event_id", text.redact(dirty, "my-own-key").alias("clean"))
+
+
+MESSAGES = ["HTTP 401 unauthorized", "HTTP 429 Too Many Requests", "Inspection failed: broken", "Translation failed at p-3", " ", "disk full", "HTTP 503 from host", "TLS handshake error", "Failed host lookup: x", "connect timeout", "model does not exist", "HTTP 404"]
+
+
+@query(
+    f"""WITH m AS (SELECT event_id, [{", ".join(f"'{m}'" for m in MESSAGES)}][CAST(event_id % 12 + 1 AS INT)] AS m FROM events)
+    SELECT event_id, CASE WHEN regexp_matches(lower(m), 'api key|401|unauthorized|403|required before translation') THEN 'openSettings' WHEN regexp_matches(lower(m), '429|rate limit|too many requests') THEN 'reduceConcurrency' WHEN lower(m) LIKE '%inspect%' THEN 'retryInspection'
+      WHEN regexp_matches(lower(m), 'translate|translation failed|cancelled') THEN 'retryTranslation' WHEN trim(m) <> '' THEN 'dismiss' END AS action,
+      ['authentication', 'rate limit', 'other', 'other', 'other', 'other', 'server', 'tls', 'dns', 'timeout', 'model', 'address'][CAST(event_id % 12 + 1 AS INT)] AS kind FROM m"""
+)
+def error_classify(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % 12 + 1).cast("int")).alias("m"))
+    return rows.select("event_id", labels.error_action(F.col("m")).alias("action"), labels.diagnostic_kind(F.col("m")).alias("kind"))
+
+
+@query(
+    """SELECT p_partkey, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(':' || p_name || '/x. .', '[\\\\/:*?"<>|]', '_', 'g'), '\\s+', ' ', 'g')), '[. ]+$', ''), '^\\.+', '') AS suffix,
+       '/out/' || 'b' || CAST(p_partkey AS VARCHAR) || regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(':' || p_name || '/x. .', '[\\\\/:*?"<>|]', '_', 'g'), '\\s+', ' ', 'g')), '[. ]+$', ''), '^\\.+', '') || '.epub' AS output FROM part"""
+)
+def suffix_sanitize(spark, d):
+    raw = F.concat(F.lit(":"), "p_name", F.lit("/x. ."))
+    source = F.concat(F.lit("/in/b"), F.col("p_partkey").cast("string"), F.lit(".epub"))
+    return table(spark, d, "part").select("p_partkey", text.sanitize_suffix(raw).alias("suffix"), paths.output_path(source, F.lit("/out/"), raw).alias("output"))
+
+
+@query(
+    """WITH v AS (SELECT event_id, [CAST(event_id % 50 AS VARCHAR), CAST(event_id % 50 AS VARCHAR) || '.0', '-3', ' 7 ', 'x', '2.5', NULL][CAST(event_id % 7 + 1 AS INT)] AS v FROM events)
+    SELECT event_id, CAST(greatest(coalesce(CASE WHEN regexp_matches(trim(v), '^-?\\d+$') THEN TRY_CAST(trim(v) AS BIGINT) END, 0), 0) AS BIGINT) AS job, CAST(greatest(coalesce(trunc(TRY_CAST(trim(v) AS DOUBLE)), 0), 0) AS BIGINT) AS checkpoint,
+      CAST(least(greatest(coalesce(round(TRY_CAST(trim(v) AS DOUBLE)), 3), 1), 8) AS BIGINT) AS bounded, least(greatest(event_id / 1000.0, 0.9), 1.3) AS scale FROM v"""
+)
+def lenient_ints(spark, d):
+    n = (F.col("event_id") % 50).cast("string")
+    v = F.element_at(F.array(n, F.concat(n, F.lit(".0")), F.lit("-3"), F.lit(" 7 "), F.lit("x"), F.lit("2.5"), F.lit(None).cast("string")), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", numbers.job_int(v).alias("job"), numbers.checkpoint_int(v).alias("checkpoint"), numbers.bounded_int(v, 1, 8, 3).alias("bounded"), numbers.clamp(F.col("event_id") / 1000.0, 0.9, 1.3).alias("scale"))
+
+
+@query(
+    """WITH a AS (SELECT unnest(range(1, 9)) AS attempt), x AS (SELECT attempt, delay, status FROM a, (SELECT unnest([1, 5, 20]) AS delay) d, (SELECT unnest([429, 500]) AS status) s)
+    SELECT CAST(attempt AS BIGINT) AS attempt, CAST(delay AS BIGINT) AS delay, CAST(status AS BIGINT) AS status, CAST(CASE WHEN status = 429 THEN least(90, greatest(5, delay) * power(2, least(attempt - 1, 4))) ELSE greatest(1, delay) END AS BIGINT) AS seconds, CAST(CASE WHEN status = 429 THEN 8 ELSE 3 END AS BIGINT) AS attempts FROM x"""
+)
+def backoff(spark, d):
+    rows = spark.range(1, 9).select(F.col("id").alias("attempt"), F.explode(F.array(F.lit(1), F.lit(5), F.lit(20)).cast("array<long>")).alias("delay")).withColumn("status", F.explode(F.array(F.lit(429), F.lit(500)).cast("array<long>")))
+    return rows.select("attempt", "delay", "status", numbers.retry_delay(F.col("status"), F.lit(None).cast("long"), F.col("delay"), F.col("attempt")).alias("seconds"), numbers.max_attempts(F.col("status"), F.lit(3)).cast("long").alias("attempts"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct([t FOR t IN regexp_split_to_array(lower(string_split(text, chr(10))[1]), '\\s+') IF t <> ''])), ' ') AS tokens FROM documents")
+def token_set(spark, d):
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.token_set(first)), " ").alias("tokens"))
+
+
+@query(
+    f"""WITH {BLOCKS}, {CHAPTERS}, q AS (SELECT b.source, b.doc_id, b.block_idx, row_number() OVER (PARTITION BY b.source ORDER BY b.doc_id, b.block_idx) AS place FROM b JOIN c USING (doc_id) WHERE c.category = 'content' AND {WORDS.format(x="source_text")} >= 6)
+    SELECT source, doc_id, block_idx, place FROM q WHERE place <= 3"""
+)
+def quality_sample(spark, d):
+    content = chapters(spark, d).where("category = 'content'").select("doc_id", "spine_idx")
+    return blocks.quality_sample(document_blocks(spark, d).join(content, "doc_id"), ["source"]).select("source", "doc_id", "block_idx", F.col("place").cast("long"))
+
+
+@query(
+    f"""WITH {BLOCKS}, {CHAPTERS}, {CACHE}, t AS (SELECT b.doc_id, count(*) AS n, count(k.cache_key) AS m FROM b LEFT JOIN k ON sha256(b.source_text) = k.cache_key GROUP BY 1)
+    SELECT c.doc_id, chapter_path, category, coalesce(n, 0) AS block_count, coalesce(m, 0) AS translated_block_count FROM c LEFT JOIN t USING (doc_id)"""
+)
+def preview_rows(spark, d):
+    rows = document_blocks(spark, d).withColumn("cache_key", F.sha2("source_text", 256))
+    totals = blocks.chapter_totals(cache.probe(rows, cached(spark, d)), ["doc_id"])
+    return blocks.preview_rows(chapters(spark, d), totals, ["doc_id"]).select("doc_id", "chapter_path", "category", "block_count", "translated_block_count")
+
+
+@query(
+    f"""WITH {BLOCKS}, {CHAPTERS} SELECT source, printf('%d/%d chapters · %d blocks', CAST(count(*) FILTER (category <> 'ancillary') AS INT), CAST(count(*) AS INT), CAST(coalesce(sum(n_blocks) FILTER (category <> 'ancillary'), 0) AS INT)) AS summary FROM c LEFT JOIN n USING (doc_id) GROUP BY 1"""
+)
+def checklist_summary(spark, d):
+    totals = document_blocks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
+    books = chapters(spark, d).join(totals, "doc_id", "left").groupBy("source").agg(F.count_if("include").alias("s"), F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("include"), F.col("n_blocks"))), F.lit(0)).alias("b"))
+    return books.select("source", labels.checklist_summary(F.col("s"), F.col("n"), F.col("b")).alias("summary"))
+
+
+@query(
+    f"""WITH {JOBS} SELECT id, ord, CAST(CASE WHEN status = 'completed' AND phase = 'translation' AND lower(trim(output_path)) LIKE '%.epub' THEN 4 WHEN status IN ('queued', 'running') AND phase = 'translation' THEN 3
+      WHEN ord % 4 = 1 AND ord % 8 = 1 THEN 3 WHEN ord % 4 = 1 THEN 2 WHEN ord % 5 > 0 AND status = 'running' THEN 2 ELSE 1 END AS BIGINT) AS step, completed_blocks > 0 OR cached_blocks > 0 OR phase = 'translation' AS again FROM j"""
+)
+def workflow_step(spark, d):
+    step = labels.workflow_step(F.col("status"), F.col("phase"), history.is_exportable(), F.col("ord") % 4 == 1, F.col("ord") % 8 == 1, F.col("ord") % 5 > 0)
+    return jobs(spark, d).select("id", "ord", step.cast("long").alias("step"), history.was_translation(F.col("phase")).alias("again"))
+
+
+@query(
+    f"""WITH {JOBS}, x AS (SELECT id, min(ord) AS ord FROM j GROUP BY 1) SELECT j.id, j.ord, CASE WHEN j.ord % 2 = 0 THEN NULL ELSE j.status END AS label, k.ord IS NOT NULL AS resumed FROM j JOIN x ON j.id = x.id AND j.ord = x.ord LEFT JOIN (SELECT DISTINCT event_id AS ord FROM events WHERE event_id % 3 = 0) k ON k.ord = j.ord"""
+)
+def job_lookup(spark, d):
+    first = history.keep_first(jobs(spark, d), "id", ["ord"])
+    checkpoints = table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("ord"), F.lit(True).alias("found"))
+    joined = first.join(checkpoints, "ord", "left")
+    return joined.select("id", "ord", F.when(F.col("ord") % 2 == 0, F.lit(None)).otherwise(F.col("status")).alias("label"), F.coalesce("found", F.lit(False)).alias("resumed"))
+
+
+@query("SELECT doc_id, doc_id % 3 <> 1 AS equal FROM documents")
+def attr_map_equal(spark, d):
+    left = F.create_map(F.lit("class"), F.lit("lead"), F.lit("id"), F.col("doc_id").cast("string"))
+    right = F.create_map(F.lit("id"), F.col("doc_id").cast("string"), F.lit("class"), F.when(F.col("doc_id") % 3 == 1, "other").otherwise("lead"))
+    same = lambda m: F.array_sort(F.map_entries(m))
+    return table(spark, d, "documents").select("doc_id", (same(left) == same(right)).alias("equal"))
+
+
+@query(f"WITH {BLOCKS}, x AS (SELECT DISTINCT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark) SELECT doc_id, block_idx FROM b WHERE source_text NOT IN (SELECT t FROM x)")
+def outside_benchmark(spark, d):
+    known = table(spark, d, "benchmark").select(text.collapse("text").alias("source_text")).distinct()
+    return document_blocks(spark, d).join(known, "source_text", "left_anti").select("doc_id", "block_idx")
