@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import keys, labels, numbers, paths, text
-from quire.operators import batches, blocks, cache, history, memory
+from quire.functions import codecs, keys, labels, numbers, paths, text
+from quire.operators import batches, blocks, cache, history, html_blocks, memory, translate
 from quire.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -551,3 +551,86 @@ def attr_map_equal(spark, d):
 def outside_benchmark(spark, d):
     known = table(spark, d, "benchmark").select(text.collapse("text").alias("source_text")).distinct()
     return document_blocks(spark, d).join(known, "source_text", "left_anti").select("doc_id", "block_idx")
+
+
+PAGE_BLOCKS = """
+    s AS (SELECT page_id, regexp_replace(html, '<script>.*?</script>', '', 'g') AS h FROM pages),
+    li AS (SELECT page_id, unnest(regexp_extract_all(h, '<li>(.*?)</li>', 1)) AS t, generate_subscripts(regexp_extract_all(h, '<li>(.*?)</li>', 1), 1) AS k, 0 AS part, 'li' AS tag FROM s),
+    h1 AS (SELECT page_id, regexp_extract(h, '<h1>(.*?)</h1>', 1) AS t, 1 AS k, 1 AS part, 'h1' AS tag FROM s),
+    p0 AS (SELECT page_id, string_split(regexp_extract(h, '<article>(.*?)</article>', 1, 's'), '<p>')[2:] AS l FROM s),
+    p AS (SELECT page_id, regexp_replace(unnest(l), '</p>.*$', '', 's') AS t, generate_subscripts(l, 1) AS k, 2 AS part, 'p' AS tag FROM p0),
+    u AS (SELECT * FROM li UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM p),
+    c AS (SELECT page_id, part, k, tag, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(t, '<[^>]+>', '', 'g'), '&amp;?', '&', 'g'), '&quot;', '"'), '&nbsp;', ' '), '\\s+', ' ', 'g')) AS source_text FROM u)"""
+
+
+@query(f"WITH {PAGE_BLOCKS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, k) - 1 AS block_idx, tag, source_text FROM c WHERE source_text <> ''")
+def page_blocks_full(spark, d):
+    rows = html_blocks.chapter_blocks(table(spark, d, "pages").select("page_id", "html"))
+    return rows.select("page_id", F.col("block_idx").cast("long"), "tag", "source_text")
+
+
+@query(f"WITH {PAGE_BLOCKS} SELECT page_id, count(*) AS items, string_agg(source_text, '|' ORDER BY k) AS texts FROM c WHERE tag = 'li' AND source_text <> '' GROUP BY 1")
+def page_nav_blocks(spark, d):
+    rows = html_blocks.chapter_blocks(table(spark, d, "pages").select("page_id", "html")).where("tag = 'li'")
+    return rows.groupBy("page_id").agg(F.count("*").alias("items"), blocks.ordered_texts("source_text", "block_idx", separator="|").alias("texts"))
+
+
+@query()
+def chapter_render(spark, d):
+    """Pages with every second block replaced by its upper case."""
+    pages = table(spark, d, "pages").select("page_id", "html")
+    found = html_blocks.chapter_blocks(pages).withColumn("translated_html", F.when(F.col("block_idx") % 2 == 0, F.concat(F.lit("<p>"), F.upper("source_text"), F.lit("</p>"))))
+    return html_blocks.render_chapters(pages, found, ["page_id"])
+
+
+@query()
+def html_lock_cases(spark, d):
+    """Page blocks locked to their source after a translation that lost the markup."""
+    rows = html_blocks.chapter_blocks(table(spark, d, "pages").select("page_id", "html"))
+    bare = F.concat(F.lit("<p>"), F.upper(F.substring("source_text", 1, 40)), F.lit("</p>"))
+    locked = rows.withColumn("bare", bare).withColumn("locked", html_blocks.lock_structure(F.col("source_html"), F.col("bare")))
+    return locked.select("page_id", "block_idx", "locked", html_blocks.structure_matches(F.col("source_html"), F.col("locked")).alias("matches"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events")
+def fenced_json(spark, d):
+    """Objects in fences, every third without one."""
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("props")).otherwise(F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\n")))
+    body = F.to_json(codecs.fenced_json(raw))
+    key = F.element_at(F.json_object_keys(body), 1)
+    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json(body), F.lit("$"), "map<string,string>")[key].alias("first_value"))
+
+
+@query("SELECT conv_id, turn, trim(text) AS content FROM conversations")
+def message_content(spark, d):
+    """Texts inside chat responses, every other as a list of parts."""
+    whole = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
+    part = F.array(F.struct(F.substring("text", 1, 5).alias("text")), F.struct(F.expr("substring(text, 6)").alias("text")))
+    parts = F.to_json(F.struct(F.array(F.struct(F.struct(part.alias("content")).alias("message"))).alias("choices")))
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", codecs.message_content(F.when(F.col("turn") % 2 == 0, whole).otherwise(parts)).alias("content"))
+
+
+@query()
+def payload_json(spark, d):
+    rows = turns(spark, d).withColumn("id", F.concat(F.lit("p-"), F.col("block_idx").cast("string")))
+    lists = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "id", F.col("source_html").alias("html")))), lambda b: F.struct(b["id"], b["html"])).alias("blocks"))
+    context = F.when(F.col("conv_id") % 2 == 0, F.struct(F.lit("T").alias("title")))
+    return lists.select("conv_id", codecs.batch_payload(F.col("blocks"), context).alias("payload"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS chapter_path, 'p-' || CAST(turn AS VARCHAR) AS block_id, upper(text) AS translated FROM conversations WHERE NOT regexp_matches(text, '[<>&ß]')")
+def translate_fake(spark, d):
+    rows = turns(spark, d).where("not source_text rlike '[<>&ß]'").withColumn("chapter_path", F.col("conv_id").cast("string"))
+    planned = batches.plan_batches(rows, ["chapter_path"], CHUNK)
+    ready = rows.join(planned.drop("cost"), ["chapter_path", "block_idx"]).groupBy("chapter_path", "batch_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", F.concat(F.lit("p-"), F.col("block_idx").cast("string")).alias("id"), F.col("source_html").alias("html")))), lambda b: F.struct(b["id"], b["html"])).alias("blocks"))
+    done = translate.translate_batches(ready, translate.marking_translator, 3)
+    return done.select("chapter_path", "block_id", F.regexp_replace("translated_html", "^<p>|</p>$", "").alias("translated"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS book, turn AS chapter_no, coalesce(lag(left(text, 20)) OVER w || '/', '') || left(text, 20) AS recent FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def rolling_memory(spark, d):
+    word = F.split_part("text", F.lit(" "), F.lit(1))
+    entry = F.array(F.struct(word.alias("source"), F.col("turn").cast("string").alias("target")))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("book"), F.col("turn").alias("chapter_no"), F.substring("text", 1, 20).alias("summary"), entry.alias("glossary"))
+    return memory.rolling_memory(rows).select("book", "chapter_no", F.array_join("recent", "/").alias("recent"))
