@@ -51,7 +51,7 @@ LEVELS = ((0, 2), (16, 4), (256, 24), (2048, 192))
 #: Below this threshold (in percent) the classes of small sets would no longer stay below their overlap.
 LEAST_PERCENT = 80
 #: Leaders of a group in the first, second and later rounds.
-LEADERS = (1, 4, 16)
+LEADERS = (2, 16, 64)
 
 PACKED = "bucket int, doc_ids binary, counts binary, tokens binary, digests binary"
 PIECES = "doc_id long, n long, digest binary, tokens binary, classes binary"
@@ -212,17 +212,17 @@ def shared_pieces(docs: DataFrame, width: int) -> DataFrame:
     return stored(rows.mapInArrow(_pack(n_buckets, width), PACKED).groupBy("bucket").applyInArrow(_count, PIECES))
 
 
-def verified(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def judged(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) and whether they link."""
     side = lambda c: lists.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
     both = F.size(F.array_intersect("t_a", "t_b"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", (100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).alias("links"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """doc_id and component (least doc_id) of each end of a link: labels move along links and then jump to their label's label."""
     edges = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = stored(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("component")))
+    labels = edges.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("component"))
     while True:
         near = edges.join(labels, edges["b"] == labels["doc_id"]).groupBy("a").agg(F.min("component").alias("near"))
         moved = labels.join(near, labels["doc_id"] == near["a"]).select("doc_id", F.col("component").alias("was"), F.least("component", "near").alias("via"))
@@ -235,18 +235,17 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_components(lists: DataFrame, percent: int) -> DataFrame:
     """doc_id and component of each document of `lists` that links with another."""
-    spark = lists.sparkSession
     members = lists.select(F.explode("signatures").alias("signature"), "doc_id", "n")
-    groups = members.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1").select("signature")
-    members = stored(members.join(groups, "signature"))
-    links = compared = done = None
-    labels = spark.createDataFrame([], "doc_id long, component long")
+    compared = done = None
+    labels = lists.sparkSession.createDataFrame([], "doc_id long, component long")
     for turn in range(1 << 30):
-        placed = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        parts = placed.groupBy("signature", "component").agg(F.count("*").alias("size"))
+        # a group whose members are connected stays so, and leaves
+        placed = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")) if turn else members.withColumn("component", F.col("doc_id"))
+        parts = placed.groupBy("signature", "component").agg(F.count("*").alias("size")) if turn else placed.select("signature", "component", F.lit(1).alias("size"))
         open_groups = parts.groupBy("signature").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", -F.col("component"))).alias("main")).where("parts > 1")
-        placed = placed.join(open_groups.select("signature", "main"), "signature")
-        waiting = placed.where("component <> main" if turn else "true")
+        placed = stored(placed.join(open_groups.select("signature", "main"), "signature"))
+        members = placed.select("signature", "doc_id", "n")
+        waiting = placed.where("component <> main") if turn else placed
         if done is not None:
             waiting = waiting.join(done, ["signature", "doc_id"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("signature").orderBy("doc_id"))
@@ -257,15 +256,13 @@ def link_components(lists: DataFrame, percent: int) -> DataFrame:
         pairs = placed.join(leaders, "signature").where(fits).select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        found = stored(verified(pairs, lists, percent))
-        new_done = leaders.select("signature", F.col("leader").alias("doc_id"))
-        compared = pairs if compared is None else compared.union(pairs)
-        done = new_done if done is None else done.union(new_done)
-        links = found if links is None else links.union(found)
+        told = stored(judged(pairs, lists, percent))
+        found, led = told.where("links"), leaders.select("signature", F.col("leader").alias("doc_id"))
+        compared = told.select("a", "b") if compared is None else compared.union(told.select("a", "b"))
+        done = led if done is None else done.union(led)
         if found.limit(1).count():
             # links found before are contracted to their components
-            labels = components(labels.select(F.col("doc_id").alias("b"), F.col("component").alias("a")).where("a <> b").union(found.select("b", "a")).select("a", "b"))
+            labels = components(labels.where("doc_id <> component").select(F.col("component").alias("a"), F.col("doc_id").alias("b")).union(found.select("a", "b")))
 
 
 def join_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
