@@ -17,9 +17,10 @@ bucket counts its tokens and gives back those that at least two documents share.
 overlap, so they also are all that verification needs. Equal sets count as one from then on.
 
 Groups of documents with a common signature are searched in rounds, never all pairs of a group at once. In each round a few
-leaders of a group, taken outside its largest component, are compared with the members outside their own
-component; a leader is then done with in that group. Groups whose members are connected leave. The rounds end when
-no group has leaders left; then every pair with a common signature was compared, or was connected already.
+leaders of a group, chosen by hash outside its largest connected part, are compared with the members outside their own
+part; a leader is then done with in that group. A group leaves when its members are connected, or when all outside its
+largest part have led. The rounds end when no group is left; then every pair with a common signature was compared, or was
+connected already.
 
 Defined cases: null text and text without words give an empty set, linked with nothing; repeated rows
 (equal doc_id and text) are linked; a doc_id must not have two different texts; rows with a null doc_id take no part
@@ -34,23 +35,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import stored, text_bytes
 from quire.llm.word_hashes import finish, shingle_sets
 
 #: Tokens that one bucket is meant to hold.
-BUCKET_TOKENS = 5_000_000
+BUCKET_TOKENS = 3_000_000
+#: Buckets of small inputs.
+LEAST_BUCKETS = 32
 #: Bytes of text whose tokens a map task packs at once.
-BLOCK_BYTES = 8_000_000
-#: A token in more documents than this is frequent.
-RARE = 64
+BLOCK_BYTES = 3_000_000
+#: Tokens of a higher frequency class (in more than about 7,600 documents) are frequent: pairs cost a document more signatures than tokens.
+RARE = 150
 #: (least size, number of classes of frequent tokens); the classes stay below the least overlap of such sizes.
 LEVELS = ((0, 2), (16, 4), (256, 24), (2048, 192))
 #: Below this threshold (in percent) the classes of small sets would no longer stay below their overlap.
 LEAST_PERCENT = 80
-#: Leaders of a group in the first, second and later rounds.
+#: About how many leaders a group has in the first, second and later rounds.
 LEADERS = (2, 16, 64)
 
 PACKED = "bucket int, doc_ids binary, counts binary, tokens binary, digests binary"
@@ -208,7 +211,7 @@ def shared_pieces(docs: DataFrame, width: int) -> DataFrame:
     """Rows with n and digest for each document, and rows with shared tokens and classes for parts of documents."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
     total = docs.select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n_buckets = min(65_536, max(8, -(-total // (6 * BUCKET_TOKENS))))
+    n_buckets = min(65_536, max(LEAST_BUCKETS, -(-total // (6 * BUCKET_TOKENS))))
     return stored(rows.mapInArrow(_pack(n_buckets, width), PACKED).groupBy("bucket").applyInArrow(_count, PIECES))
 
 
@@ -233,36 +236,44 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.drop("was")
 
 
+def near_labels(links: DataFrame) -> DataFrame:
+    """doc_id and component of each end of a link, after one step and one jump: equal labels mean connected, different ones mean nothing yet."""
+    edges = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
+    step = edges.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("via"))
+    far = step.select(F.col("doc_id").alias("via"), F.col("via").alias("far"))
+    return step.join(far, "via", "left").select("doc_id", F.least("via", "far").alias("component"))
+
+
 def link_components(lists: DataFrame, percent: int) -> DataFrame:
     """doc_id and component of each document of `lists` that links with another."""
-    members = lists.select(F.explode("signatures").alias("signature"), "doc_id", "n")
-    compared = done = None
-    labels = lists.sparkSession.createDataFrame([], "doc_id long, component long")
+    members = lists.select(F.explode("signatures").alias("signature"), "doc_id", "n", F.lit(False).alias("led"))
+    compared = None
     for turn in range(1 << 30):
-        # a group whose members are connected stays so, and leaves
-        placed = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")) if turn else members.withColumn("component", F.col("doc_id"))
-        parts = placed.groupBy("signature", "component").agg(F.count("*").alias("size")) if turn else placed.select("signature", "component", F.lit(1).alias("size"))
-        open_groups = parts.groupBy("signature").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", -F.col("component"))).alias("main")).where("parts > 1")
-        placed = stored(placed.join(open_groups.select("signature", "main"), "signature"))
-        members = placed.select("signature", "doc_id", "n")
-        waiting = placed.where("component <> main") if turn else placed
-        if done is not None:
-            waiting = waiting.join(done, ["signature", "doc_id"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("signature").orderBy("doc_id"))
-        leaders = stored(waiting.withColumn("rank", rank).where(F.col("rank") <= LEADERS[min(turn, len(LEADERS) - 1)]).select("signature", F.col("doc_id").alias("leader"), F.col("component").alias("own"), F.col("n").alias("m")))
-        if not leaders.limit(1).count():
-            return labels
+        if compared is None:
+            placed = members.withColumn("component", F.col("doc_id"))
+        else:
+            placed = members.join(near_labels(compared.where("links")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        size = F.struct("size", -F.col("component"))
+        parts = placed.groupBy("signature", "component").agg(F.count("*").alias("size"), F.count_if(~F.col("led")).alias("free"))
+        groups = parts.groupBy("signature").agg(F.count("*").alias("parts"), F.max_by("component", size).alias("main"), (F.sum("free") - F.max_by("free", size)).alias("waiting"))
+        # a group leaves when its members are connected, or all outside its largest part have led
+        placed = placed.join(groups.where("parts > 1 and waiting > 0").drop("parts"), "signature")
+        chance = F.pmod(F.xxhash64("doc_id", "signature", F.lit(turn)), F.col("waiting"))
+        leads = ~F.col("led") & (F.col("component") != F.col("main")) & (chance < LEADERS[min(turn, len(LEADERS) - 1)])
+        placed = stored(placed.select("signature", "doc_id", "n", "led", "component", leads.alias("leads")))
+        if not placed.limit(1).count():
+            break
+        members = placed.select("signature", "doc_id", "n", (F.col("led") | F.col("leads")).alias("led"))
+        leaders = placed.where("leads").select("signature", F.col("doc_id").alias("leader"), F.col("component").alias("own"), F.col("n").alias("m"))
         fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("component") != F.col("own"))
         pairs = placed.join(leaders, "signature").where(fits).select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
         if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
         told = stored(judged(pairs, lists, percent))
-        found, led = told.where("links"), leaders.select("signature", F.col("leader").alias("doc_id"))
-        compared = told.select("a", "b") if compared is None else compared.union(told.select("a", "b"))
-        done = led if done is None else done.union(led)
-        if found.limit(1).count():
-            # links found before are contracted to their components
-            labels = components(labels.where("doc_id <> component").select(F.col("component").alias("a"), F.col("doc_id").alias("b")).union(found.select("a", "b")))
+        compared = told if compared is None else compared.union(told)
+    if compared is None:
+        return lists.sparkSession.createDataFrame([], "doc_id long, component long")
+    return components(compared.where("links"))
 
 
 def join_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 STEP = np.uint64(0xD6E8FEB86659FD93)
