@@ -17,8 +17,9 @@ bucket counts its tokens and gives back those that at least two documents share.
 overlap, so they also are all that verification needs. Equal sets count as one from then on.
 
 Groups of documents with a common signature are searched in rounds, never all pairs of a group at once. In each round a few
-leaders of a group, chosen by hash outside its largest connected part, are compared with the members outside their own
-part; a leader is then done with in that group. A group leaves when its members are connected, or when all outside its
+leaders of a group (first that with the fewest tokens of its own, then some by hash outside the largest connected part)
+are compared with the members outside their own part whose sizes and numbers of shared tokens allow a link; a leader is
+then done with in that group. A group leaves when its members are connected, or when all outside its
 largest part have led. The rounds end when no group is left; then every pair with a common signature was compared, or was
 connected already.
 
@@ -53,8 +54,8 @@ RARE = 150
 LEVELS = ((0, 2), (16, 4), (256, 24), (2048, 192))
 #: Below this threshold (in percent) the classes of small sets would no longer stay below their overlap.
 LEAST_PERCENT = 80
-#: About how many leaders a group has in the first, second and later rounds.
-LEADERS = (2, 16, 64)
+#: About how many leaders a group has in the second, third and later rounds; one in the first.
+LEADERS = (32, 512)
 
 PACKED = "bucket int, doc_ids binary, counts binary, tokens binary, digests binary"
 PIECES = "doc_id long, n long, digest binary, tokens binary, classes binary"
@@ -246,7 +247,7 @@ def near_labels(links: DataFrame) -> DataFrame:
 
 def link_components(lists: DataFrame, percent: int) -> DataFrame:
     """doc_id and component of each document of `lists` that links with another."""
-    members = lists.select(F.explode("signatures").alias("signature"), "doc_id", "n", F.lit(False).alias("led"))
+    members = lists.select(F.explode("signatures").alias("signature"), "doc_id", "n", F.size("tokens").alias("shared"), F.lit(False).alias("led"))
     compared = None
     for turn in range(1 << 30):
         if compared is None:
@@ -254,18 +255,19 @@ def link_components(lists: DataFrame, percent: int) -> DataFrame:
         else:
             placed = members.join(near_labels(compared.where("links")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         size = F.struct("size", -F.col("component"))
-        parts = placed.groupBy("signature", "component").agg(F.count("*").alias("size"), F.count_if(~F.col("led")).alias("free"))
-        groups = parts.groupBy("signature").agg(F.count("*").alias("parts"), F.max_by("component", size).alias("main"), (F.sum("free") - F.max_by("free", size)).alias("waiting"))
+        parts = placed.groupBy("signature", "component").agg(F.count("*").alias("size"), F.count_if(~F.col("led")).alias("free"), F.min(F.struct(F.col("n") - F.col("shared"), "doc_id")).alias("central"))
+        groups = parts.groupBy("signature").agg(F.count("*").alias("parts"), F.max_by("component", size).alias("main"), (F.sum("free") - F.max_by("free", size)).alias("waiting"), F.min("central")["doc_id"].alias("central"))
         # a group leaves when its members are connected, or all outside its largest part have led
         placed = placed.join(groups.where("parts > 1 and waiting > 0").drop("parts"), "signature")
         chance = F.pmod(F.xxhash64("doc_id", "signature", F.lit(turn)), F.col("waiting"))
-        leads = ~F.col("led") & (F.col("component") != F.col("main")) & (chance < LEADERS[min(turn, len(LEADERS) - 1)])
-        placed = stored(placed.select("signature", "doc_id", "n", "led", "component", leads.alias("leads")))
+        leads = ~F.col("led") & (F.col("component") != F.col("main")) & (chance < LEADERS[min(turn - 1, len(LEADERS) - 1)]) if turn else F.col("doc_id") == F.col("central")
+        placed = stored(placed.select("signature", "doc_id", "n", "shared", "led", "component", leads.alias("leads")))
         if not placed.limit(1).count():
             break
-        members = placed.select("signature", "doc_id", "n", (F.col("led") | F.col("leads")).alias("led"))
-        leaders = placed.where("leads").select("signature", F.col("doc_id").alias("leader"), F.col("component").alias("own"), F.col("n").alias("m"))
-        fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("component") != F.col("own"))
+        members = placed.select("signature", "doc_id", "n", "shared", (F.col("led") | F.col("leads")).alias("led"))
+        leaders = placed.where("leads").select("signature", F.col("doc_id").alias("leader"), F.col("component").alias("own"), F.col("n").alias("m"), F.col("shared").alias("s"))
+        most = F.least("shared", "s")  # of an overlap
+        fits = (100 * most >= percent * (F.col("n") + F.col("m") - most)) & (F.col("component") != F.col("own"))
         pairs = placed.join(leaders, "signature").where(fits).select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
