@@ -63,7 +63,7 @@ def retry_after(value: Column, now: Column) -> Column:
     """Seconds that a Retry-After value asks for: whole seconds, or an ISO time from now on; else null."""
     t = uni_trim(value)
     at = F.when(t.rlike("^[+-]?\\d{4}-?\\d{2}-?\\d{2}"), F.try_to_timestamp(t))
-    return F.coalesce(F.when(t.rlike("^[+-]?\\d+$"), t.try_cast("long")), F.greatest(F.unix_timestamp(at) - F.unix_timestamp(now), F.lit(0)))
+    return F.coalesce(F.when(t.rlike("^[+-]?\\d+$"), t.try_cast("long")), F.when(at.isNotNull(), F.greatest(F.unix_timestamp(at) - F.unix_timestamp(now), F.lit(0))))
 
 
 def retry_delay(status: Column, asked: Column, delay: Column, attempt: Column) -> Column:
