@@ -49,7 +49,7 @@ def test_training_separates_bytes():
     x = rng.integers(97, 110, (300, WIDTH)).astype(np.uint8)
     y = np.arange(300) % 2
     x[y == 1, 40:44] = np.frombuffer(b"zqzq", np.uint8)
-    net = train(x, y, ["no", "yes"], epochs=15)
+    net = train(x, y, ["no", "yes"], epochs=60)
     from quire.llm.language_id import probabilities, responses
 
     assert (probabilities(net, responses(net, x).max(axis=1)).argmax(axis=1) == y).mean() > 0.97
