@@ -1,11 +1,15 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 The pieces and scores of a SentencePiece BPE model drive an agenda: candidate merges leave it best score
-first, leftmost first, and each is skipped when a keyed hash of (seed, variant, piece, place) falls below
-`dropout`. With dropout 0 the pieces are those of the library. No piece of the model spans the start of a
-white-space run or a line break, so a text is cut there into units that are segmented by themselves. Each
-unit of a document gets one of `variants` keys by a hash of (seed, doc_id, place in the document), so the
-same unit is segmented in varied ways, a rerun agrees, and workers can keep what they have segmented.
+first, leftmost first, and each is skipped when a hash of (key, piece, place in the unit) falls below `dropout`.
+With dropout 0 the pieces are those of the library. No piece of the model spans the start of a white-space
+run or a line break, so a text is cut there into units that are segmented by themselves. Each unit of a
+document has a key of its own, a hash of (seed, doc_id, place in the document), so every occurrence draws
+anew and a rerun agrees. (With `variants`, the corpus has only that many keys.)
+
+Workers keep a tree of what they have segmented: a node is a unit and the merges that were skipped so far,
+and holds the merges that follow if none of them is skipped. An occurrence goes from its unit's node to the
+child of the first merge that its key skips, and so on; where the tree isn't kept, its agenda is run.
 
 Characters without a piece become byte pieces; so does U+2581, which stands for a space inside pieces.
 Defined cases: null text has null ids, empty text none; a null doc_id is hashed as a key of its own; repeated
@@ -16,10 +20,9 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 DROPOUT = 0.1
-VARIANTS = 2
+VARIANTS = None
 SEED = 7
 SPACE = "▁"
-#: Segmented units that a worker keeps.
+#: Nodes that a worker keeps.
 KEPT_UNITS = 450_000
+#: Skips up to which nodes are kept.
+DEPTH = 2
 #: Longest unit that is segmented side by side with others.
 ALIKE = 40
+#: Units that go through the tree at once.
+WALK = 1 << 16
 MASK = (1 << 64) - 1
 
 
@@ -50,10 +57,60 @@ def mix_all(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+class Flat:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype: object, *width: int):
+        self.all, self.n = np.empty((1024, *width), dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.all):
+            grown = np.empty((max(end, 2 * len(self.all)), *self.all.shape[1:]), self.all.dtype)
+            grown[: self.n] = self.all[: self.n]
+            self.all = grown
+        self.all[self.n : end], self.n = values, end
+
+
+class Nodes:
+    """The tree: ids and merges of node k end where those of k + 1 start."""
+
+    def __init__(self) -> None:
+        self.root: dict[str, int] = {}
+        self.unit: list[str] = []
+        self.ids, self.ids_end = Flat(np.int32), Flat(np.int64)
+        self.codes, self.child, self.codes_end = Flat(np.uint64), Flat(np.int32), Flat(np.int64)
+        self.skips, self.depth, self.base = Flat(np.uint64, DEPTH), Flat(np.int8), Flat(np.int32)
+        self.ids_end.extend(np.zeros(1, np.int64))
+        self.codes_end.extend(np.zeros(1, np.int64))
+
+    def add(self, units: list[str], ids: np.ndarray, n_ids: np.ndarray, codes: np.ndarray, n_codes: np.ndarray, skips: np.ndarray, depth: np.ndarray, base: np.ndarray) -> np.ndarray:
+        first = len(self.unit)
+        self.unit += units
+        self.ids_end.extend(self.ids.n + np.cumsum(n_ids))
+        self.codes_end.extend(self.codes.n + np.cumsum(n_codes))
+        self.ids.extend(ids)
+        self.codes.extend(codes)
+        self.child.extend(np.full(len(codes), -1, np.int32))
+        self.skips.extend(skips)
+        self.depth.extend(depth)
+        self.base.extend(base)
+        return np.arange(first, first + len(units))
+
+
+NO_SKIP = np.uint64(MASK)
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... of each k, counts[k] of them."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 class DropoutEncoder:
     """Segments texts with the pieces of one model."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS):
         import sentencepiece
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,9 +119,9 @@ class DropoutEncoder:
         self.scores = {m.id_to_piece(i): m.get_score(i) for i in plain}
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.limit, self.seed, self.variants = int(dropout * 2**64), seed, variants
+        self.least = np.uint64(min(self.limit, MASK))
         self.kind = "H" if m.get_piece_size() <= 1 << 16 else "i"  # of the ids that are kept
-        self.keys = [mix(seed * 0x9E3779B97F4A7C15 + v & MASK) for v in range(variants)]
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(variants)]  # by variant
+        self.nodes = Nodes()
         self.of_char = np.full(0x110000, -1, np.int64)
         for p in self.ids:
             if len(p) == 1:
@@ -91,14 +148,14 @@ class DropoutEncoder:
                 out += self.UNIT.findall(("" if out else " ") + part)
         return out
 
-    def segment(self, unit: str, variant: int) -> list[int]:
-        """Ids of one unit: agenda of candidate merges with keyed skips."""
+    def segment(self, unit: str, key: int) -> list[int]:
+        """Ids of one unit: the plain agenda of candidate merges with keyed skips."""
         if unit[0] == "\0":
             return [self.bytes[b] for b in unit[1:].encode()]
         scores, pieces = self.scores, list(unit.replace(" ", SPACE))
         n = len(pieces)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        key, ids, limit = self.keys[variant], self.ids, self.limit
+        ids, limit = self.ids, self.limit
         agenda = [(-s, k, k + 1, both) for k in range(n - 1) if (s := scores.get(both := pieces[k] + pieces[k + 1])) is not None]
         heapq.heapify(agenda)
         while agenda:
@@ -106,7 +163,7 @@ class DropoutEncoder:
             # out of date if either side was merged since
             if right >= n or after[left] != right or pieces[left] + pieces[right] != both:
                 continue
-            if limit and (key ^ ids[both] << 24 ^ left) * 0x9E3779B97F4A7C15 & MASK < limit:
+            if limit and mix(key ^ ids[both] << 32 ^ left) < limit:
                 continue
             pieces[left], pieces[right] = both, ""
             after[left] = end = after[right]
@@ -126,30 +183,48 @@ class DropoutEncoder:
         return out
 
     def segment_all(self, units: list[tuple[str, int]]) -> list[bytes]:
-        """segment() of many (unit, variant), as bytes of ids; units of equal length go through the agenda side by side."""
-        out: list[bytes] = [b""] * len(units)
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for k, (unit, variant) in enumerate(units):
-            if 1 < len(unit) <= ALIKE and unit[0] != "\0":
-                by_length[len(unit)].append(k)
-            else:
-                out[k] = array(self.kind, self.segment(unit, variant)).tobytes()
-        for length, all_places in by_length.items():
-            for at in range(0, len(all_places), 8192):
-                places = all_places[at : at + 8192]
-                ids = self.of_char[np.frombuffer("".join(units[k][0] for k in places).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(-1, length)
-                known = (ids >= 0).all(axis=1)
-                for k in (places[r] for r in np.flatnonzero(~known).tolist()):
-                    out[k] = array(self.kind, self.segment(*units[k])).tobytes()
-                places = [places[r] for r in np.flatnonzero(known).tolist()]
-                if places:
-                    keys = np.array(self.keys, np.uint64)[[units[k][1] for k in places]]
-                    merged = self._agenda(ids[known].copy(), keys)
-                    kept = merged >= 0
-                    raw, ends = merged[kept].astype(self.kind).tobytes(), (array(self.kind).itemsize * np.cumsum(kept.sum(axis=1))).tolist()
-                    for k, a, b in zip(places, [0, *ends[:-1]], ends, strict=True):
-                        out[k] = raw[a:b]
-        return out
+        """segment() of many (unit, key), as bytes of ids."""
+        ids, counts, _, _ = self._run([u for u, _ in units], keys=np.array([k for _, k in units], np.uint64))
+        ends = np.cumsum(counts).tolist()
+        ids = ids.astype(self.kind)
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _run(self, units: list[str], keys: np.ndarray | None = None, skips: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Flat ids and their counts, flat codes of merges and their counts; units of like length go through the agenda side by side."""
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        special = np.fromiter((u[0] == "\0" for u in units), np.bool_, len(units)) | (lengths > ALIKE)
+        pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # places, counts, flat ids
+        merges: list[tuple[np.ndarray, np.ndarray]] = []  # places, codes
+        for k in np.flatnonzero(special).tolist():
+            ids = self.segment(units[k], int(keys[k]) if keys is not None else 0)
+            pieces.append((np.array([k]), np.array([len(ids)]), np.array(ids, np.int64)))
+        for low, high in ((0, 6), (6, 10), (10, 16), (16, ALIKE)):
+            places_all = np.flatnonzero((lengths > low) & (lengths <= high) & ~special)
+            for at in range(0, len(places_all), 8192):
+                places = places_all[at : at + 8192]
+                n = lengths[places]
+                chars = np.frombuffer("".join([units[k] for k in places.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                ids = np.full((len(places), high), -1, np.int64)
+                known = self.of_char[chars]
+                ids[np.arange(high) < n[:, None]] = np.where(known >= 0, known, -2 - chars)
+                merged, rows, codes = self._agenda(ids, None if keys is None else keys[places], None if skips is None else skips[places])
+                merges.append((places[rows], codes))
+                kept = merged != -1
+                counts, flat = kept.sum(axis=1), merged[kept]
+                if (flat < 0).any():
+                    raw = [[x] if x >= 0 else [self.bytes[b] for b in chr(-2 - x).encode()] for x in flat.tolist()]
+                    counts = np.add.reduceat(np.fromiter(map(len, raw), np.int64, len(raw)), np.cumsum(counts) - counts)
+                    flat = np.array([x for part in raw for x in part], np.int64)
+                pieces.append((places, counts, flat))
+        out, n_ids = np.empty(sum(len(flat) for _, _, flat in pieces), np.int32), np.zeros(len(units), np.int64)
+        for places, counts, _ in pieces:
+            n_ids[places] = counts
+        starts = np.cumsum(n_ids) - n_ids
+        for places, counts, flat in pieces:
+            out[spread(starts[places], counts)] = flat
+        owner = np.concatenate([np.empty(0, np.int64), *(p for p, _ in merges)])
+        codes = np.concatenate([np.empty(0, np.uint64), *(c for _, c in merges)])
+        return out, n_ids, codes[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units))
 
     def _both(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id of the merged piece or -1, its score or -inf) of pairs of ids; negative ids have none."""
@@ -159,8 +234,11 @@ class DropoutEncoder:
         ids = np.where(found, self.pair_ids[at], -1)
         return ids, np.where(found, self.id_scores[ids], -np.inf)
 
-    def _agenda(self, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The agenda of each row of ids at once: in each turn every row takes its best candidate; -1 where a piece was merged away."""
+    def _agenda(self, ids: np.ndarray, keys: np.ndarray | None, skips: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The agenda of each row of ids at once: in each turn every row takes its best candidate; -1 where a piece was merged away.
+
+        Also rows and codes of the merges. Skipped are those that keys draw, or those listed in skips.
+        """
         n, length = ids.shape
         result = ids
         after = np.tile(np.arange(1, length + 1), (n, 1))
@@ -168,15 +246,21 @@ class DropoutEncoder:
         both, score = self._both(ids[:, :-1].ravel(), ids[:, 1:].ravel())
         both, score = both.reshape(n, -1), score.reshape(n, -1)
         rows = np.arange(n)
+        taken = [(rows[:0], np.empty(0, np.uint64))]
         while len(rows):
             left = score[rows].argmax(axis=1)
             live = score[rows, left] > -np.inf
             rows, left = rows[live], left[live]
             piece = both[rows, left]
             score[rows, left] = -np.inf
-            chance = (keys[rows] ^ (piece.astype(np.uint64) << np.uint64(24)) ^ left.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            go = chance >= np.uint64(self.limit)
+            code = (piece.astype(np.uint64) << np.uint64(32)) ^ left.astype(np.uint64)
+            go = np.ones(len(rows), np.bool_)
+            if keys is not None:
+                go &= mix_all(keys[rows] ^ code) >= self.least
+            if skips is not None:
+                go &= (skips[rows] != code[:, None]).all(axis=1)
             r, k, piece = rows[go], left[go], piece[go]
+            taken.append((r, code[go]))
             right = after[r, k]
             result[r, k], result[r, right] = piece, -1
             end = after[r, right]
@@ -190,43 +274,96 @@ class DropoutEncoder:
             prior = start >= 0
             rp, sp = r[prior], start[prior]
             both[rp, sp], score[rp, sp] = self._both(result[rp, sp], piece[prior])
-        return result
+        return result, np.concatenate([r for r, _ in taken]), np.concatenate([c for _, c in taken])
+
+    def _keys(self, doc_id: int | None, n: int) -> np.ndarray:
+        """The keys of a document's first n units."""
+        key = mix(mix(self.seed) + (0x5EED if doc_id is None else doc_id * 2 + 1) & MASK)
+        keys = mix_all(np.arange(n, dtype=np.uint64) + np.uint64(key))
+        return keys if self.variants is None else mix_all(keys % np.uint64(self.variants) + np.uint64(mix(self.seed)))
+
+    def _roots(self, units: list[str]) -> np.ndarray:
+        """The node of each unit; -1 of a long one."""
+        root = self.nodes.root
+        at = np.fromiter(map(root.get, units, repeat(-1)), np.int64, len(units))
+        lacking = [k for k in np.flatnonzero(at < 0).tolist() if len(units[k]) <= ALIKE]
+        if lacking:
+            new = list(dict.fromkeys(units[k] for k in lacking))
+            n = len(new)
+            nodes = self.nodes.add(new, *self._run(new), np.full((n, DEPTH), NO_SKIP), np.zeros(n, np.int8), np.zeros(n, np.int32))
+            root.update(zip(new, nodes.tolist(), strict=True))
+            at[lacking] = [root[units[k]] for k in lacking]
+        return at
+
+    def _grow(self, parents: np.ndarray, slots: np.ndarray) -> None:
+        """Adds the children of parents in which the merges at slots are skipped."""
+        t = self.nodes
+        units = [t.unit[k] for k in parents.tolist()]
+        depth, skips = t.depth.all[parents], t.skips.all[parents]
+        skips[np.arange(len(parents)), depth] = t.codes.all[slots]
+        base = t.base.all[parents] + (slots - t.codes_end.all[parents]).astype(np.int32)
+        ids, n_ids, codes, n_codes = self._run(units, skips=skips)
+        # up to the skip, the merges are those that led here
+        codes = codes[spread(np.cumsum(n_codes) - n_codes + base, n_codes - base)]
+        t.child.all[slots] = t.add(units, ids, n_ids, codes, n_codes - base, skips, depth + np.int8(1), base)
+
+    def _walk(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of units under their keys, and their counts."""
+        t, at = self.nodes, self._roots(units)
+        walking = np.flatnonzero(at >= 0)
+        while self.limit and len(walking):
+            node = at[walking]
+            starts = t.codes_end.all[node]
+            counts = t.codes_end.all[node + 1] - starts
+            slots, who = spread(starts, counts), np.repeat(np.arange(len(node)), counts)
+            hit = np.flatnonzero(mix_all(keys[walking[who]] ^ t.codes.all[slots]) < self.least)
+            who, slots = who[hit], slots[hit]
+            first = np.ones(len(who), np.bool_)
+            first[1:] = who[1:] != who[:-1]
+            who, slots = who[first], slots[first]
+            walking, node = walking[who], node[who]
+            shallow = t.depth.all[node] < DEPTH
+            at[walking[~shallow]] = -1
+            walking, node, slots = walking[shallow], node[shallow], slots[shallow]
+            lacking = np.flatnonzero(t.child.all[slots] < 0)
+            if len(lacking):
+                new, one = np.unique(slots[lacking], return_index=True)
+                self._grow(node[lacking[one]], new)
+            at[walking] = t.child.all[slots]
+        run, kept = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
+        own, n_own, _, _ = self._run([units[k] for k in run.tolist()], keys=keys[run])
+        counts = np.empty(len(units), np.int64)
+        starts = t.ids_end.all[at[kept]]
+        counts[run], counts[kept] = n_own, t.ids_end.all[at[kept] + 1] - starts
+        out, places = np.empty(counts.sum(), np.int32), np.cumsum(counts) - counts
+        out[spread(places[run], n_own)] = own
+        out[spread(places[kept], counts[kept])] = t.ids.all[spread(starts, counts[kept])]
+        return out, counts
 
     def encode_all(self, doc_ids: list[int | None], texts: list[str]) -> list[np.ndarray]:
-        if sum(map(len, self.kept)) > KEPT_UNITS:
-            for kept in self.kept:
-                kept.clear()
-        gets = [kept.get for kept in self.kept]
-        coded, new = [], set()
-        for doc_id, text in zip(doc_ids, texts, strict=True):
-            units = self.units(text)
-            key = mix(mix(self.seed) + (0x5EED if doc_id is None else doc_id * 2 + 1) & MASK)
-            chosen = (mix_all(np.arange(len(units), dtype=np.uint64) + np.uint64(key)) % np.uint64(self.variants)).tolist()
-            ids = [gets[v](u) for u, v in zip(units, chosen, strict=True)]
-            lacking = [k for k, x in enumerate(ids) if x is None] if None in ids else []
-            new.update((units[k], chosen[k]) for k in lacking)
-            coded.append((ids, [(k, units[k], chosen[k]) for k in lacking]))
-        listed = list(new)
-        for (unit, variant), raw in zip(listed, self.segment_all(listed), strict=True):
-            self.kept[variant][unit] = raw
-        out = []
-        for ids, lacking in coded:
-            for k, unit, variant in lacking:
-                ids[k] = self.kept[variant][unit]
-            out.append(np.frombuffer(b"".join(ids), self.kind).astype(np.int32))
-        return out
+        by_doc = [self.units(text) for text in texts]
+        units = list(chain.from_iterable(by_doc))
+        keys = np.concatenate([np.empty(0, np.uint64), *(self._keys(d, len(u)) for d, u in zip(doc_ids, by_doc, strict=True))])
+        parts = []
+        for k in range(0, len(units), WALK):
+            if len(self.nodes.unit) > KEPT_UNITS:
+                self.nodes = Nodes()
+            parts.append(self._walk(units[k : k + WALK], keys[k : k + WALK]))
+        ids = np.concatenate([np.empty(0, np.int32), *(i for i, _ in parts)])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *(n for _, n in parts)]))])[np.cumsum([0, *map(len, by_doc)])]
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, doc_id: int | None, text: str) -> np.ndarray:
         return self.encode_all([doc_id], [text])[0]
 
 
 @lru_cache(1)
-def encoder_of(path: str, dropout: float, seed: int, variants: int) -> DropoutEncoder:
+def encoder_of(path: str, dropout: float, seed: int, variants: int | None) -> DropoutEncoder:
     """The worker's encoder, which keeps what it has segmented from task to task."""
     return DropoutEncoder(path, dropout, seed, variants)
 
 
-def _encoder(path: str, dropout: float, seed: int, variants: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoder(path: str, dropout: float, seed: int, variants: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
@@ -243,7 +380,7 @@ def _encoder(path: str, dropout: float, seed: int, variants: int) -> Callable[[I
     return encode
 
 
-def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS) -> DataFrame:
     """All columns of the documents and ids (array of int); a column named ids is replaced."""
     rows = docs.drop("ids").withColumns({"doc_id": docs["doc_id"].cast("long"), "text": docs["text"].cast("string")})
     schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])

@@ -56,3 +56,25 @@ def test_frames(spark):
     got = decode(encode(docs, MODEL), MODEL).collect()
     assert len(got) == len(rows) and all(r.decoded == r.text for r in got) and sum(r.ids is None for r in got) == 1
     assert decode(encode(docs.limit(0), MODEL), MODEL).count() == 0
+
+
+def test_every_occurrence_draws_its_own_skips():
+    coder = DropoutEncoder(MODEL)
+    for word in ("of", "the", "extraordinary"):
+        units = coder.units(f"{word} " * 5000)[:5000]
+        keys = coder._keys(1, len(units))
+        cut = [tuple(coder.segment(u, k)) for u, k in zip(units, keys.tolist(), strict=True)]
+        assert coder.encode(1, "".join(units)[1:]).tolist() == [i for c in cut for i in c]
+        whole = tuple(coder.model.encode(word))
+        merges = 1 + len(word) - len(whole)
+        # another order of merges may lead to the same pieces, so this is the least share
+        assert 0.9**merges - 0.03 < cut.count(whole) / len(cut) < 0.95 and len(set(cut)) > 2
+
+
+def test_tree_is_the_plain_agenda():
+    coder = DropoutEncoder(MODEL, dropout=0.3)
+    texts = [*ODD, "extraordinary 日本語 naïve\U0001f600s considerations " * 300, "x" * 39 + " " + "ab" * 30]
+    for _ in range(2):
+        for k, (text, got) in enumerate(zip(texts, coder.encode_all(list(range(len(texts))), texts), strict=True)):
+            units = coder.units(text)
+            assert got.tolist() == [i for u, key in zip(units, coder._keys(k, len(units)).tolist(), strict=True) for i in coder.segment(u, key)]
