@@ -5,7 +5,7 @@ bounded by `cap`) while the words of its source meet the source's target: rate =
 * (cap - 1)), with c the document's size over the mean size of its source, and l the source's dual
 variable. The dual is convex. Its Newton steps are aggregations over a table of (source, size, number of
 documents), to which the documents are reduced exactly. Rates then become whole copies: documents of a
-source are dealt by hash into bounded groups, and in each group, from the largest document to the
+source are dealt by hash into as many bounded groups as the source's own documents fill, and in each group, from the largest document to the
 smallest, the rounding error is carried on, so that only an error of about the smallest sizes is left.
 
 Defined cases: null text has size 0; a null source is a source of its own, the last one; sources without
@@ -66,7 +66,7 @@ def rate(dual: Column, size: Column, mean: Column, cap: float = CAP) -> Column:
 
 
 def solve(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS) -> DataFrame:
-    """source, source_size, target, mean (size) and dual: Newton steps on all sources at once.
+    """source, source_size, n_docs, target, mean (size) and dual: Newton steps on all sources at once.
 
     Each step is one aggregation of the histogram; the driver sees only the worst error. A source's
     step is held inside the bracket that earlier steps have left it (the gradient is monotone), and goes to the
@@ -74,7 +74,7 @@ def solve(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, tolerance:
     """
     duals = stored(
         wanted.select(
-            "source", "source_size", "target", (F.col("source_size") / F.col("n_docs")).alias("mean"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"),
+            "source", "source_size", "n_docs", "target", (F.col("source_size") / F.col("n_docs")).alias("mean"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"),
             F.when(F.col("target") >= cap * F.col("source_size"), F.lit(math.inf)).otherwise(F.lit(0.0)).alias("dual"),
         )
     )
@@ -92,11 +92,11 @@ def solve(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, tolerance:
         to = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         done = F.abs(error) <= tolerance * F.col("target")
         step = duals.join(words, F.col("source").eqNullSafe(F.col("s")), "left")
-        duals = stored(step.select("source", "source_size", "target", "mean", low.alias("low"), high.alias("high"), F.when(free & ~done, to).otherwise(F.col("dual")).alias("dual"), F.coalesce(free & ~done, F.lit(False)).alias("open")))
+        duals = stored(step.select("source", "source_size", "n_docs", "target", "mean", low.alias("low"), high.alias("high"), F.when(free & ~done, to).otherwise(F.col("dual")).alias("dual"), F.coalesce(free & ~done, F.lit(False)).alias("open")))
         if not duals.where("open").limit(1).count():
             break
         duals = duals.drop("open")
-    return duals.select("source", "source_size", "target", "mean", "dual")
+    return duals.select("source", "source_size", "n_docs", "target", "mean", "dual")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, group: int = GROUP) -> DataFrame:
@@ -104,11 +104,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     rows = stored(sizes(docs))
     histogram = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     duals = solve(histogram, targets(histogram, weights, budget, cap), cap)
-    groups = max(1, math.ceil(rows.count() / group))
     dealt = rows.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     wanted = rate(F.col("dual"), F.col("size"), F.col("mean"), cap)
     entry = F.struct((-F.col("size")).alias("less"), "doc_id", F.xxhash64("doc_id").alias("h"), "size", wanted.alias("rate"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(groups)).alias("part")
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.ceil(F.col("n_docs") / group)).alias("part")
     lists = dealt.groupBy("source", "source_size", "target", part).agg(F.array_sort(F.collect_list(entry)).alias("list"))
 
     def carry(state: Column, x: Column) -> Column:

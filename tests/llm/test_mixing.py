@@ -58,3 +58,11 @@ def test_empty_and_wordless(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(empty).count() == 0
     assert [r.copies for r in mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).collect()] == [0, 0]
+
+
+def test_a_small_source_beside_a_hot_one_meets_its_target(spark):
+    rows = [(k, "hot", "w") for k in range(8000)] + [(10_000 + k, "small", "w " * (5 + k % 11)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    small = mix(docs, weights=(25.0, 1.0), budget=0.5, group=20).where("source = 'small'").toPandas()
+    assert len(small) == 40 and small["target"].iloc[0] < 0.5 * small["size"].sum()
+    assert (small["copies"] * small["size"]).sum() == pytest.approx(small["target"].iloc[0], abs=8)
