@@ -492,6 +492,12 @@ def token_set(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.token_set(first)), " ").alias("tokens"))
 
 
+@query()
+def token_set_text(spark, d):
+    """As token_set, over whole texts."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.token_set("text")), " ").alias("tokens"))
+
+
 @query(
     f"""WITH {BLOCKS}, {CHAPTERS}, q AS (SELECT b.source, b.doc_id, b.block_idx, row_number() OVER (PARTITION BY b.source ORDER BY b.doc_id, b.block_idx) AS place FROM b JOIN c USING (doc_id) WHERE c.category = 'content' AND {WORDS.format(x="source_text")} >= 6)
     SELECT source, doc_id, block_idx, place FROM q WHERE place <= 3"""
