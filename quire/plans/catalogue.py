@@ -593,7 +593,7 @@ def chapter_render(spark, d):
 def html_lock_cases(spark, d):
     """Page blocks locked to their source after a translation that lost the markup."""
     rows = html_blocks.chapter_blocks(table(spark, d, "pages").select("page_id", "html"))
-    bare = F.concat(F.lit("<p>"), F.upper(F.substring("source_text", 1, 40)), F.lit("</p>"))
+    bare = F.concat(F.lit("<p>"), F.upper("source_text"), F.lit("</p>"))
     locked = rows.withColumn("bare", bare).withColumn("locked", html_blocks.lock_structure(F.col("source_html"), F.col("bare")))
     return locked.select("page_id", "block_idx", "locked", html_blocks.structure_matches(F.col("source_html"), F.col("locked")).alias("matches"))
 
