@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.jaccard_join import from_six_bytes, join_documents, signatures, six_bytes
+from quire.llm.jaccard_join import from_six_bytes, from_steps, join_documents, signatures, six_bytes, to_steps
 from quire.llm.word_hashes import shingle_sets
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -68,9 +68,10 @@ def test_components(spark, monkeypatch, width, percent, rare):
 
 def test_repeats_nulls_and_empty(spark):
     text = " ".join(f"x{k}" for k in range(30))
-    docs = spark.createDataFrame([(5, text), (5, text), (2, text + " y"), (None, text), (9, "a " * 50_000)], "doc_id long, text string")
-    got = sorted(((r.doc_id or -1, r.component_id) for r in join_documents(docs).collect()), key=str)
-    assert got == sorted([(5, 2), (5, 2), (2, 2), (-1, None), (9, 9)], key=str)
+    other = " ".join(f"z{k}" for k in range(30))
+    docs = spark.createDataFrame([(5, text), (5, text), (2, text + " y"), (None, text), (9, "a " * 50_000), (5, other), (None, other + " v"), (7, ""), (7, None), (None, "alone")], "doc_id long, text string")
+    got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in join_documents(docs).collect()), key=str)
+    assert got == sorted([(5, 27, 2), (5, 27, 2), (2, 28, 2), (-1, 27, 2), (9, 1, 9), (5, 27, 5), (-1, 28, 5), (7, 0, 7), (7, 0, 7), (-1, 1, None)], key=str)
     assert join_documents(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         join_documents(docs, percent=50)
@@ -102,6 +103,31 @@ def test_shingle_counts(texts, width):
     assert [len(g) for g in got] == [len(shingles(t, width)) for t in texts]
 
 
+def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
+    """One base with edits: light ones link, heavy ones don't, and the pivot tells without comparing them all."""
+    import quire.llm.jaccard_join as m
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(400):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 9, 12])):
+            copy[rng.randrange(120)] = f"e{rng.randrange(200)}"
+        rows.append((k, " ".join(copy)))
+    compared = []
+    whole = m.judged
+    monkeypatch.setattr(m, "judged", lambda pairs, lists, percent: (compared.append(pairs.count()), whole(pairs, lists, percent))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 4, 85) and sum(compared) < 12_000  # of 79,800 pairs
+
+
+@given(st.lists(st.integers(0, 400_000), unique=True, max_size=40))
+def test_steps(places):
+    places = np.array(sorted(places), np.int64)
+    assert from_steps(to_steps(places)).tolist() == places.tolist()
+
+
 def test_six_bytes():
     x = np.array([0, 1, 2**48 - 1, 12345678901234], np.uint64)
     assert from_six_bytes(six_bytes(x)).tolist() == x.tolist()
