@@ -5,16 +5,20 @@ bounded by `cap`) while the words of its source meet the source's target: rate =
 * (cap - 1)), with c the document's size over the mean size of its source, and l the source's dual
 variable. The dual is convex. Its Newton steps are aggregations over a table of (source, size, number of
 documents), to which the documents are reduced exactly. Rates then become whole copies: documents of a
-source are dealt by hash into as many bounded groups as the source's own documents fill, and in each group, from the largest document to the
-smallest, the rounding error is carried on, so that only an error of about the smallest sizes is left.
+source are dealt by hash into as many bounded groups as the source's own documents fill, and each group is gone through
+from the largest document to the smallest. The words that are owed so far decide the copies of each: those among 0
+to `cap` that leave the smallest error which the smaller documents can still make good. What a group misses in the end is
+about half of its smallest size, unless no choice of copies comes nearer.
 
 Defined cases: null text has size 0; a null source is a source of its own, the last one; sources without
-words have target 0; documents of size 0 take no words; ties go by doc_id, then by hash; repeated rows
-count as they stand; empty tables give no rows; columns other than doc_id, source and text pass through.
+words have target 0; documents of size 0 take no words; rows that agree in doc_id (also null), source and size
+are interchangeable and are counted together within each input partition, so that they fill no group; ties go by
+doc_id; empty tables give no rows; other columns than doc_id, source and text are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +31,8 @@ BUDGET = 1.5
 CAP = 2.0
 #: Documents that one group of the rounding is meant to hold.
 GROUP = 500
-MAX_STEPS = 60
+#: Each so many steps one halves the bracket, so that the steps end.
+HALVING = 4
 #: Newton stops when each source's expected words are within this share of its target.
 TOLERANCE = 1e-9
 
@@ -65,12 +70,13 @@ def rate(dual: Column, size: Column, mean: Column, cap: float = CAP) -> Column:
     return F.when(size == 0, 0.0).when(dual == math.inf, cap).otherwise(cap / (1 + F.exp(tilt) * (cap - 1)))
 
 
-def solve(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS) -> DataFrame:
+def solve(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, tolerance: float = TOLERANCE) -> DataFrame:
     """source, source_size, n_docs, target, mean (size) and dual: Newton steps on all sources at once.
 
     Each step is one aggregation of the histogram; the driver sees only the worst error. A source's
     step is held inside the bracket that earlier steps have left it (the gradient is monotone), and goes to the
-    middle of it when Newton would leave it.
+    middle of it when Newton would leave it, and at each fourth step in any case. A source is done within the tolerance, or when
+    no number is left between the ends of its bracket.
     """
     duals = stored(
         wanted.select(
@@ -78,7 +84,7 @@ def solve(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, tolerance:
             F.when(F.col("target") >= cap * F.col("source_size"), F.lit(math.inf)).otherwise(F.lit(0.0)).alias("dual"),
         )
     )
-    for _ in range(max_steps):
+    for turn in itertools.count(1):
         r = rate(F.col("dual"), F.col("size"), F.col("mean"), cap)
         words = (
             histogram.where("size > 0").join(duals.select("source", "dual", "mean").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
@@ -89,32 +95,48 @@ def solve(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, tolerance:
         free = (F.col("dual") != math.inf) & (F.col("target") > 0)
         low, high = F.when(error < 0, F.col("dual")).otherwise(F.col("low")), F.when(error > 0, F.col("dual")).otherwise(F.col("high"))
         newton = F.col("dual") - F.try_divide(error, F.col("slope"))
-        to = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        done = F.abs(error) <= tolerance * F.col("target")
+        middle = (low + high) / 2
+        to = F.when((newton > low) & (newton < high) & F.lit(turn % HALVING > 0), newton).otherwise(middle)
+        done = (F.abs(error) <= tolerance * F.col("target")) | (middle == low) | (middle == high)
         step = duals.join(words, F.col("source").eqNullSafe(F.col("s")), "left")
         duals = stored(step.select("source", "source_size", "n_docs", "target", "mean", low.alias("low"), high.alias("high"), F.when(free & ~done, to).otherwise(F.col("dual")).alias("dual"), F.coalesce(free & ~done, F.lit(False)).alias("open")))
         if not duals.where("open").limit(1).count():
-            break
+            return duals.select("source", "source_size", "n_docs", "target", "mean", "dual")
         duals = duals.drop("open")
-    return duals.select("source", "source_size", "n_docs", "target", "mean", "dual")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, group: int = GROUP) -> DataFrame:
     """doc_id, source, size, source_size, target, rate and copies (0 to cap) of each row."""
-    rows = stored(sizes(docs))
-    histogram = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    rows = stored(sizes(docs).groupBy("doc_id", "source", "size", F.spark_partition_id().alias("split")).agg(F.count("*").alias("rows")))
+    histogram = stored(rows.groupBy("source", "size").agg(F.sum("rows").alias("n")))
     duals = solve(histogram, targets(histogram, weights, budget, cap), cap)
     dealt = rows.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     wanted = rate(F.col("dual"), F.col("size"), F.col("mean"), cap)
-    entry = F.struct((-F.col("size")).alias("less"), "doc_id", F.xxhash64("doc_id").alias("h"), "size", wanted.alias("rate"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.ceil(F.col("n_docs") / group)).alias("part")
+    entry = F.struct((-F.col("size")).alias("less"), "doc_id", "split", "size", F.col("rows").alias("n"), wanted.alias("rate"))
+    part = F.pmod(F.xxhash64("doc_id", "size", "split", F.lit("part")), F.ceil(F.col("n_docs") / group)).alias("part")
     lists = dealt.groupBy("source", "source_size", "target", part).agg(F.array_sort(F.collect_list(entry)).alias("list"))
+    words = lambda x: x["rate"] * x["n"] * x["size"]
+    most = lambda x: cap * x["n"] * x["size"]
+    total = lambda f: F.aggregate("list", F.lit(0.0), lambda t, x: t + f(x))
 
     def carry(state: Column, x: Column) -> Column:
-        owed = state["owed"] + x["rate"] * x["size"]
-        copies = F.when(x["size"] == 0, 0.0).otherwise(F.greatest(F.floor(x["rate"]), F.least(F.ceil(x["rate"]), F.round(owed / F.greatest(x["size"], F.lit(1)))))).cast("int")
-        return F.struct((owed - copies * x["size"]).alias("owed"), F.concat(state["out"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["rate"].alias("rate"), copies.alias("copies")))).alias("out"))
-
-    empty = F.struct(F.lit(0.0).alias("owed"), F.expr("cast(array() as array<struct<doc_id: bigint, size: bigint, rate: double, copies: int>>)").alias("out"))
-    rounded = lists.select("source", "source_size", "target", F.explode(F.aggregate("list", empty, carry, lambda s: s["out"])).alias("x"))
-    return rounded.select("x.doc_id", "source", "x.size", "source_size", "target", "x.rate", "x.copies")
+        """The smaller documents can still take `up` words more than their rates say, or `down` words less."""
+        owed, up, down = state["owed"] + words(x), state["up"] - (most(x) - words(x)), state["down"] - words(x)
+        near = F.greatest(F.lit(0.0), F.least(F.floor(F.lit(cap) * x["n"]).cast("double"), F.round(owed / F.greatest(x["size"], F.lit(1)))))
+
+        def cost(copies: Column) -> Column:
+            error = owed - copies * x["size"]
+            return F.struct(F.round(F.greatest(error - up, -error - down, F.lit(0.0)), 6).alias("lost"), F.abs(error).alias("error"), copies.alias("copies"))
+
+        # the nearest number of copies, one less and one more: any other leaves more that can't be made good
+        tried = F.filter(F.array(near, near - 1, near + 1), lambda c: (c >= 0) & (c <= F.floor(F.lit(cap) * x["n"])))
+        copies = F.when(x["size"] == 0, 0.0).otherwise(F.array_min(F.transform(tried, cost))["copies"])
+        return F.struct((owed - copies * x["size"]).alias("owed"), up.alias("up"), down.alias("down"), F.concat(state["out"], F.array(copies.cast("long"))).alias("out"))
+
+    start = F.struct(F.lit(0.0).alias("owed"), total(lambda x: most(x) - words(x)).alias("up"), total(words).alias("down"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    copies = lists.select("source", "source_size", "target", "list", F.aggregate("list", start, carry, lambda s: s["out"]).alias("copies"))
+    rounded = copies.select("source", "source_size", "target", F.explode(F.arrays_zip("list", "copies")).alias("x"))
+    # rows that were counted together share their copies as evenly as can be
+    single = rounded.select("source", "source_size", "target", "x.list", "x.copies", F.explode(F.sequence(F.lit(1), F.col("x.list.n"))).alias("k"))
+    share = F.floor(F.col("copies") / F.col("list.n")) + (F.col("k") <= F.col("copies") % F.col("list.n")).cast("long")
+    return single.select("list.doc_id", "source", "list.size", "source_size", "target", "list.rate", share.cast("int").alias("copies"))
