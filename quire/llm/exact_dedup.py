@@ -99,7 +99,7 @@ class Shard:
     """The filter and the content records of one shard, in one task."""
 
     def __init__(self, records: dict[bytes, list], cuckoo: CuckooFilter | None):
-        self.records, self.cuckoo = records, cuckoo or CuckooFilter.for_keys(len(records))
+        self.records, self.cuckoo, self.lookups = records, cuckoo or CuckooFilter.for_keys(len(records)), 0
         if cuckoo is None and records:
             self.resize()
 
@@ -122,25 +122,36 @@ class Shard:
         self.cuckoo = fresh
 
     def insert(self, table: pa.Table) -> None:
-        """Adds partial counts (a digest may come from many map tasks)."""
-        for batch in table.to_batches(max_chunksize=8192):
+        """Adds partial counts (a digest may come from many map tasks).
+
+        They are added up by digest first, so that the filter alone decides: a miss goes in without a look at the
+        records, and only a hit is looked up and verified.
+        """
+        t = table.select(["digest", "check", "n_bytes", "keep_id", "copies"]).group_by(["digest", "check", "n_bytes"]).aggregate([("keep_id", "max"), ("copies", "sum")])
+        if len(t) and pc.count_distinct(t["digest"]).as_py() < len(t):
+            raise ValueError("two texts share a SHA-256 digest")
+        for batch in t.to_batches(max_chunksize=8192):
             rows = batch.to_pydict()
             hits = self.cuckoo.contains(hashes_of(rows["digest"])).tolist()
             new = []
-            for k, digest in enumerate(rows["digest"]):
-                # a miss can only have come with this same batch; a hit is verified against the records
-                known = self.records.get(digest) if hits[k] or new else None
-                if known is None:
-                    self.records[digest] = [rows["check"][k], rows["n_bytes"][k], rows["keep_id"][k], rows["copies"][k]]
+            for hit, digest, *record in zip(hits, *(rows[c] for c in ("digest", "check", "n_bytes", "keep_id_max", "copies_sum")), strict=True):
+                known = self.record(digest) if hit else None
+                if known is None:  # a miss, or a false hit
+                    self.records[digest] = record
                     new.append(digest)
                     continue
-                if known[:2] != [rows["check"][k], rows["n_bytes"][k]]:
+                if known[:2] != record[:2]:
                     raise ValueError("two texts share a SHA-256 digest")
-                known[2] = max((x for x in (known[2], rows["keep_id"][k]) if x is not None), default=None)
-                known[3] += rows["copies"][k]
+                known[2] = max((x for x in (known[2], record[2]) if x is not None), default=None)
+                known[3] += record[3]
             if new and not self.cuckoo.insert(hashes_of(new)):
                 self.resize()
 
+    def record(self, digest: bytes) -> list | None:
+        """The content record of a digest that the filter holds."""
+        self.lookups += 1
+        return self.records.get(digest)
+
     def delete(self, digests: list[bytes]) -> None:
         gone = [d for d in dict.fromkeys(digests) if self.records.pop(d, None) is not None]
         self.cuckoo.delete(hashes_of(gone))
@@ -155,10 +166,10 @@ class Shard:
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256), check (second hash) and n_bytes of each row."""
+def digests(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, digest (SHA-256), check (second hash) and n_bytes of each row, and the columns `carried`."""
     text = text_bytes()
-    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("check"), F.octet_length(text).cast("long").alias("n_bytes"))
+    return docs.select(*carried, F.col("doc_id").cast("long"), F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("check"), F.octet_length(text).cast("long").alias("n_bytes"))
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +195,7 @@ def _delete(key: tuple, old: pa.Table, gone: pa.Table) -> pa.Table:
 def _lookup(key: tuple, old: pa.Table, asked: pa.Table) -> pa.Table:
     shard, want = Shard.read(old), asked["digest"].to_pylist()
     hits = shard.cuckoo.contains(hashes_of(want)).tolist()
-    found = [shard.records.get(d) if hit else None for d, hit in zip(want, hits, strict=True)]
+    found = [shard.record(d) if hit else None for d, hit in zip(want, hits, strict=True)]
     return pa.table({"doc_id": asked["doc_id"], "keep_id": pa.array([f and f[2] for f in found], pa.int64()), "copies": pa.array([f[3] if f else 0 for f in found], pa.int64())})
 
 
@@ -223,13 +234,13 @@ class CuckooIndex:
         return self.table.where("slots is null").select("digest", "keep_id", "copies")
 
 
-def exact_groups(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for each row; the largest doc_id of a group stays.
+def exact_groups(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD, carried: tuple[str, ...] = ()) -> DataFrame:
+    """`carried`, doc_id, keep_id, group_size, kept and text_sha256 for each row; the largest doc_id of a group stays.
 
     Of rows that share both text and doc_id, all carry kept. Rows alone need no join; those with copies
     get their group by a join whose hot keys Spark can split, as only the wide side is skewed.
     """
-    rows = stored(digests(docs))
+    rows = stored(digests(docs, *carried))
     groups = CuckooIndex.sized_for(docs.sparkSession, rows.count(), keys_per_shard).insert(rows).groups().where("copies > 1")
     keep = F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return rows.join(groups, "digest", "left").select("doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.join(groups, "digest", "left").select(*carried, "doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -31,6 +31,19 @@ def test_overflow_resizes_from_the_stored_keys():
     assert shard.cuckoo.n_buckets > before and shard.cuckoo.contains(hashes_of(keys(n))).all() and len(shard.records) == n
 
 
+def test_the_filter_decides_what_is_looked_up():
+    import pyarrow as pa
+
+    n = 20_000
+    table = lambda ks: pa.table({"digest": pa.array(ks, pa.binary()), "check": [0] * len(ks), "n_bytes": [1] * len(ks), "keep_id": list(range(len(ks))), "copies": [1] * len(ks)})
+    shard = Shard({}, None)
+    shard.insert(table(keys(n) + keys(n // 2)))  # the copies are added up before
+    assert len(shard.records) == n and shard.lookups < 0.01 * n and sum(r[3] for r in shard.records.values()) == n + n // 2
+    shard.lookups = 0
+    shard.insert(table(keys(500)))
+    assert shard.lookups == 500 and len(shard.records) == n
+
+
 def test_groups(spark):
     rows = [(k, f"t{k % 7}") for k in range(60)] + [(100, None), (101, ""), (102, "x" * 200_000), (103, "x" * 200_000), (None, "t1"), (5, "t5"), (None, None)]
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], DOCS)
