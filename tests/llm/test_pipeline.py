@@ -1,9 +1,11 @@
 """The stages against brute force on a small corpus."""
 
 import random
+from collections import Counter
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from quire.llm.mixing import mix
@@ -36,8 +38,12 @@ def test_stages(spark):
     apart = p.near_dedup(spark, once, "")
     assert apart.columns == columns and ids(apart) == [-1, *range(10, 120), *range(200, 210)]
     mixed = p.mixing(spark, apart, "")
-    copies = {r.doc_id: r.copies for r in mix(apart).collect()}
-    assert mixed.columns == columns and ids(mixed) == sorted(-1 if d is None else d for d, c in copies.items() for _ in range(c))
+    assert mixed.columns == columns and set(ids(mixed)) <= set(ids(apart)) and max(Counter(ids(mixed)).values()) == 2
+    want = {r.source: r for r in mix(apart).groupBy("source").agg(F.max("target").alias("target"), F.min("size").alias("least")).collect()}
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - r.target) <= r.least for s, r in want.items())
     coded = p.sentencepiece(spark, mixed, "").collect()
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = {r.doc_id: r.text for r in apart.collect()}
@@ -50,3 +56,20 @@ def test_run_and_empty(spark, tmp_path):
     assert p.run(spark, f"file://{tmp_path}").count() > 0
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_clashing_names_repeats_and_nulls(spark):
+    """Columns named as the stages' own, one doc_id with several texts, equal rows, null ids."""
+    own = ["id", "row", "kept", "stays", "component", "copies", "ids", "text_sha256", "n", "lang_pred", "in_text"]
+    texts = [(1, "eins zwei drei vier fünf sechs sieben acht neun zehn"), (1, "ganz andere Worte stehen hier in diesem einen kurzen Text da"), (1, "ganz andere Worte stehen hier in diesem einen kurzen Text da"), (None, "eins zwei drei vier fünf sechs sieben acht neun zehn"), (2, None), (None, None)]
+    rows = [(d, t, "de", "s", *(f"{c}{k}" for c in own)) for k, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in own))
+    key = lambda r: (r.doc_id or -1, r.text or "")
+    for name, want in (("language_id", [0, 1, 2, 3]), ("exact_dedup", [0, 1, 4]), ("near_dedup", [0, 1, 4, 5])):
+        got = dict(p.STAGES)[name](spark, docs, "")
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert sorted(map(key, found)) == sorted(((texts[k][0] or -1), texts[k][1] or "") for k in want)
+        assert all(tuple(r) in {tuple(x) for x in rows} for r in found)
+    mixed = p.mixing(spark, docs, "").collect()
+    assert mixed and all(tuple(r) in {tuple(x) for x in rows} for r in mixed)
