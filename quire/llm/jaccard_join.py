@@ -47,7 +47,7 @@ from quire.llm.common import stored, text_bytes
 from quire.llm.word_hashes import finish, shingle_sets
 
 #: Tokens that one bucket is meant to hold.
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 1_500_000
 #: Buckets of small inputs.
 LEAST_BUCKETS = 32
 #: Bytes of text whose tokens a map task packs at once.
@@ -317,15 +317,21 @@ def link_components(lists: DataFrame, percent: int) -> DataFrame:
         groups = parts.groupBy("signature").agg(F.count("*").alias("parts"), F.max_by("component", size).alias("main"), (F.sum("free") - F.max_by("free", size)).alias("waiting"))
         # a group leaves when its members are connected, or all outside its largest part have led
         placed = placed.join(groups.where("parts > 1 and waiting > 0").drop("parts"), "signature")
-        chance = F.pmod(F.xxhash64("id", "signature", F.lit(turn)), F.col("waiting"))
-        leads = ~F.col("led") & (F.col("component") != F.col("main")) & (chance < LEADERS[min(turn, len(LEADERS) - 1)])
+        # a fixed order of all documents in each turn, so that those which lead do so in most of their groups
+        order = F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 11) / F.lit(float(1 << 53))
+        leads = ~F.col("led") & (F.col("component") != F.col("main")) & (order * F.col("waiting") < LEADERS[min(turn, len(LEADERS) - 1)])
         placed = stored(placed.select("signature", "id", "n", "shared", "with_pivot", "led", "component", leads.alias("leads")))
         if not placed.limit(1).count():
             return labels
-        leaders = placed.where("leads").select("signature", F.col("id").alias("leader"), F.col("component").alias("own"), F.col("n").alias("m"), F.col("shared").alias("s"), F.col("with_pivot").alias("p"))
+        marks = placed.groupBy("id").agg(F.collect_list("signature").alias("open"), F.collect_list(F.when(F.col("leads"), F.col("signature"))).alias("leading"))
+        marked = placed.join(marks.withColumnRenamed("id", "whose"), F.col("id") == F.col("whose"))
+        leaders = marked.where("leads").select("signature", F.col("id").alias("leader"), F.col("component").alias("own"), F.col("n").alias("m"), F.col("shared").alias("s"), F.col("with_pivot").alias("p"), F.col("leading").alias("theirs"))
         by_pivot = F.least("with_pivot", "p") + F.least(F.col("shared") - F.col("with_pivot"), F.col("s") - F.col("p"))
         most = F.least("shared", "s", F.coalesce(by_pivot, F.col("shared")))  # of an overlap
-        pairs = placed.join(leaders, "signature").where((F.col("component") != F.col("own")) & fits(most)).select(*sides("leader")).distinct()
+        # of all groups in which the two meet, only the first gives the pair
+        first = F.array_min(F.array_intersect("open", "theirs")) == F.col("signature")
+        met = marked.select("signature", "id", "n", "shared", "with_pivot", "component", "open").join(leaders, "signature")
+        pairs = met.where((F.col("component") != F.col("own")) & fits(most) & first).select(*sides("leader")).distinct()
         told = stored(judged(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), lists, percent))
         compared = compared.union(told)
         placed = placed.select("signature", "id", "n", "shared", "with_pivot", (F.col("led") | F.col("leads")).alias("led"))
