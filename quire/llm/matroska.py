@@ -6,8 +6,8 @@ depends on the text alone. packets() parses any Matroska bytes made of known ele
 and sizes (unknown sizes too), clusters, SimpleBlocks and BlockGroups, all four lacings, and cues; it gives a
 row for each packet with its track, timestamp and byte range.
 
-Defined cases: null text counts as empty (its payload is 192 spaces); null media has no packets; bytes
-that are no Matroska raise ValueError; ids and repeated rows are kept as they stand; empty tables give
+Defined cases: null text counts as empty (its payload is 192 spaces); null media has no packets; of bytes
+that are no Matroska, or broken, parse() raises ValueError and packets() gives one row with the error; ids and repeated rows are kept as they stand; empty tables give
 no rows; other columns are ignored. Each row is handled alone, so a very long text costs memory for
 itself only.
 """
@@ -36,7 +36,10 @@ BLOCKS_PER_CLUSTER = 16
 EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-TIMESTAMP_SCALE, TRACK_NUMBER = 0x2AD7B1, 0xD7
+TIMESTAMP_SCALE, TRACK_NUMBER, REFERENCE = 0x2AD7B1, 0xD7, 0xFB
+TAGS, CHAPTERS, ATTACHMENTS, SEEK_HEAD = 0x1254C367, 0x1043A770, 0x1941A469, 0x114D9B74
+#: What can't be inside a cluster.
+ABOVE_CLUSTERS = frozenset((EBML, SEGMENT, CLUSTER, CUES, INFO, TRACKS, TAGS, CHAPTERS, ATTACHMENTS, SEEK_HEAD))
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 #: What the blocks hold in turn: lacing and the units of each frame.
@@ -156,7 +159,7 @@ def unknown_end(data: bytes, at: int, end: int) -> int:
     """Where a cluster of unknown size ends: at the next element that can't be inside one."""
     while at < end:
         kind, _, body = read_vint(data, at, mask=False)
-        if kind in (CLUSTER, CUES, INFO, TRACKS):
+        if kind in ABOVE_CLUSTERS:
             return at
         size, _, body = read_vint(data, body)
         at = body + size
@@ -198,6 +201,13 @@ def frame_ranges(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int,
 
 def parse(data: bytes) -> Media:
     """Packets, cues and tracks of a Matroska file."""
+    try:
+        return _parse(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError(f"the data end inside an element: {e}") from e
+
+
+def _parse(data: bytes) -> Media:
     media = Media([], [], [], [])
     top = list(elements(data, 0, len(data)))
     if not top or top[0][0] != EBML:
@@ -215,15 +225,19 @@ def parse(data: bytes) -> Media:
                 media.clusters.append(first)
                 read_cluster(data, at, end, scale, media)
             elif kind == CUES:
-                cues += [dict((k, number(data, a, b)) for k, _, a, b in fields(data, x, y)) for k, _, x, y in elements(data, at, end) if k == CUE_POINT]
-        media.cues.extend((c[CUE_TIME] * scale // 1_000_000, c[CUE_TRACK], base + c[CUE_CLUSTER]) for c in cues)
+                cues += [cue for k, _, x, y in elements(data, at, end) if k == CUE_POINT for cue in cue_point(data, x, y)]
+        media.cues.extend((time * scale // 1_000_000, track, base + cluster) for time, track, cluster in cues)
     return media
 
 
-def fields(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
-    """The numbers of a cue point, those of its positions too."""
-    for e in elements(data, at, end):
-        yield from elements(data, e[2], e[3]) if e[0] == CUE_POSITIONS else [e]
+def cue_point(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    """(time, track, cluster position) for each track position of a cue point."""
+    inside = [(k, a, b) for k, _, a, b in elements(data, at, end)]
+    times = [number(data, a, b) for k, a, b in inside if k == CUE_TIME]
+    places = [{k: number(data, x, y) for k, _, x, y in elements(data, a, b)} for k, a, b in inside if k == CUE_POSITIONS]
+    if not times or not places or any(CUE_TRACK not in p or CUE_CLUSTER not in p for p in places):
+        raise ValueError(f"the cue point before byte {end} lacks its time or a position")
+    return [(times[0], p[CUE_TRACK], p[CUE_CLUSTER]) for p in places]
 
 
 def read_cluster(data: bytes, at: int, end: int, scale: int, media: Media) -> None:
@@ -231,17 +245,19 @@ def read_cluster(data: bytes, at: int, end: int, scale: int, media: Media) -> No
     for kind, _, a, b in elements(data, at, end):
         if kind == TIMESTAMP:
             base = number(data, a, b)
-        inner = [(a, b)] if kind == SIMPLE_BLOCK else [(x, y) for k, _, x, y in elements(data, a, b) if k == BLOCK] if kind == BLOCK_GROUP else []
-        for x, y in inner:
+        group = list(elements(data, a, b)) if kind == BLOCK_GROUP else []
+        # a block of a group is a key frame if it refers to no other
+        alone = not any(k == REFERENCE for k, _, _, _ in group)
+        for x, y in [(a, b)] if kind == SIMPLE_BLOCK else [(x, y) for k, _, x, y in group if k == BLOCK]:
             track, _, x = read_vint(data, x)
             offset, flags = struct.unpack_from(">hB", data, x)
             lacing = flags >> 1 & 3
             for start, size in frame_ranges(data, x + 3, y, lacing):
-                media.packets.append(Packet(len(media.packets), track, (base + offset) * scale // 1_000_000, start, size, len(media.clusters) - 1, lacing, bool(flags & 0x80) or kind == BLOCK_GROUP))
+                media.packets.append(Packet(len(media.packets), track, (base + offset) * scale // 1_000_000, start, size, len(media.clusters) - 1, lacing, alone if kind == BLOCK_GROUP else bool(flags & 0x80)))
 
 
 MEDIA = "doc_id long, n_bytes long, media binary"
-PACKETS = "doc_id long, packet_no int, track int, timestamp_ms long, start long, size long, cluster_no int, lacing int, keyframe boolean"
+PACKETS = "doc_id long, packet_no int, track int, timestamp_ms long, start long, size long, cluster_no int, lacing int, keyframe boolean, error string"
 SUMMARY = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -269,16 +285,19 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 
 def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
     for batch in batches:
         for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
-            rows = parse(data.as_py()).packets if data.is_valid else []
-            columns = list(zip(*rows, strict=True)) or [[]] * len(Packet._fields)
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.record_batch([pa.array([doc_id] * len(rows), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *Packet._fields])
+            try:
+                rows = [(doc_id, *p, None) for p in (parse(data.as_py()).packets if data.is_valid else [])]
+            except ValueError as e:
+                rows = [(doc_id, *[None] * len(Packet._fields), str(e))]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", *Packet._fields, "error"])
 
 
 def packets(media: DataFrame) -> DataFrame:
-    """A row for each packet of each file of a table with doc_id and media."""
+    """A row for each packet of each file of a table with doc_id and media; error is null but for broken files."""
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(_packets, PACKETS)
 
 

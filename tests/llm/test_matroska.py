@@ -65,3 +65,33 @@ def test_frames(spark):
     assert len(same) == 1
     assert m.packets(table).where("doc_id = 5").selectExpr("sum(size) as n").first().n == 300_096
     assert m.read_media(m.media_table(docs.limit(0))).count() == 0 == m.packets(m.media_table(docs.limit(0))).count()
+
+
+def test_cues_of_several_tracks_and_references():
+    positions = [m.element(m.CUE_POSITIONS, m.uint(m.CUE_TRACK, t), m.uint(m.CUE_CLUSTER, 7 * t)) for t in (1, 2, 3)]
+    body = m.block(m.NO_LACING, [b"abc"], 0)
+    groups = [m.element(m.BLOCK_GROUP, m.element(m.BLOCK, body)), m.element(m.BLOCK_GROUP, m.element(m.BLOCK, body), m.element(m.REFERENCE, b"\xff"))]
+    data = m.HEAD + m.element(m.SEGMENT, m.element(m.CLUSTER, m.uint(m.TIMESTAMP, 0), *groups), m.element(m.CUES, m.element(m.CUE_POINT, m.uint(m.CUE_TIME, 5), *positions)))
+    media = m.parse(data)
+    assert [p.keyframe for p in media.packets] == [True, False]
+    start = media.clusters[0]
+    assert media.cues == [(5, t, start + 7 * t) for t in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("kind", [m.TAGS, m.CHAPTERS, m.ATTACHMENTS, m.SEEK_HEAD, m.CUES])
+def test_an_open_cluster_ends_before_what_it_cannot_hold(kind):
+    body = m.element(m.SIMPLE_BLOCK, m.block(m.NO_LACING, [b"abc"], 0))
+    cluster = m.CLUSTER.to_bytes(4, "big") + b"\xff" + m.uint(m.TIMESTAMP, 1) + body
+    data = m.HEAD + m.element(m.SEGMENT, cluster, m.element(kind, *([] if kind == m.CUES else [m.element(m.SIMPLE_BLOCK, b"no block")])), cluster)
+    assert [p.cluster_no for p in m.parse(data).packets] == [0, 1]
+
+
+def test_broken_rows_do_not_end_the_job(spark):
+    lacking = m.HEAD + m.element(m.SEGMENT, m.element(m.CUES, m.element(m.CUE_POINT, m.uint(m.CUE_TIME, 5))))
+    cut = m.HEAD + m.element(m.SEGMENT, m.element(m.CLUSTER, m.element(m.SIMPLE_BLOCK, b"\x81\x00")))
+    rows = [(1, m.encode_media(b"x" * 192)), (2, b"RIFF"), (3, lacking), (4, None), (5, cut)]
+    for data in (lacking, cut):
+        with pytest.raises(ValueError):
+            m.parse(data)
+    got = m.packets(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert sorted((r.doc_id, r.error is None) for r in got) == [(1, True), (2, False), (3, False), (5, False)]
