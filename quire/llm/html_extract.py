@@ -3,11 +3,13 @@
 A page is cut into blocks at block-level tags. Blocks inside menus, page headers and footers, sidebars, notices,
 adverts, forms and reader comments (by tag, role, class or id) are boilerplate at once. In the first pass,
 link density, length and stop-word density decide the others; short ones without a clear sign stay
-ambiguous. In the second pass these take the label of their nearest decided neighbours. On pages with an
-<article> (or else <main>), only blocks in it are candidates, and there a long block needs no stop words.
+ambiguous. In the second pass these take the label of their nearest decided neighbours. If the articles of a page (or else
+its <main>) hold a good part of what was found good, only blocks in them are taken. There a long block needs no stop words,
+and links speak against a block only in a run of linked list items or boxes, a menu. Where the stop words at hand find no
+good block, the page's own frequent short words (single characters in scripts without spaces) take their place.
 
 Defined cases: null or empty html gives an empty text; unclosed tags and comments end with their parent or
-the page; unknown character references stay as they are; repeated rows and equal ids are kept; empty tables
+the page; an embedded object without an end tag is passed over, and its content kept; unknown character references stay as they are; repeated rows and equal ids are kept; empty tables
 give no rows; other columns are ignored. Pages are handled one by one, whole.
 """
 
@@ -15,8 +17,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 
 # Tag names, names of boilerplate parts, frequent function words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript iframe textarea xmp noembed noframes template svg math object video audio canvas".split())
+RAW = frozenset("script style title iframe textarea xmp noembed noframes".split())
+EMBEDDED = frozenset("noscript template svg math object video audio canvas".split())
+PROSE = frozenset("p blockquote pre dd dt figcaption caption address".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_TAGS = frozenset("aside button dialog footer form head menu nav select datalist fieldset".split())
@@ -41,10 +47,17 @@ STOP_WORDS = frozenset(
 LONG, LONGER = 70, 200  # characters
 STOPS_LOW, STOPS_HIGH = 0.2, 0.3
 LINKS_HIGH = 0.5
+#: Linked blocks in a row that make a menu inside an article.
+MENU = 3
+#: Share of a page's good text from which its articles, or its <main>, are taken alone.
+SHARE = 0.3
+#: Letters of a short word, and how often it must stand on a page, for a stop word of the page's own.
+SHORT, OFTEN = 4, 2
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORDS = re.compile(r"\w+")
+#: Words; each character of a script without spaces (Thai to Burmese, Khmer, Kana, Han) is one.
+WORDS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]|[^\\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]+")
 SPACE = re.compile(r"\s+")
 
 GOOD, BAD, AMBIGUOUS = "good", "bad", "ambiguous"
@@ -53,22 +66,26 @@ GOOD, BAD, AMBIGUOUS = "good", "bad", "ambiguous"
 @dataclass
 class Block:
     tag: str
-    container: str  # article, main or empty
+    containers: frozenset[str]  # article and main, as far as it is inside them
     pieces: list[str] = field(default_factory=list)
     linked: int = 0  # characters inside links
-    label: str = AMBIGUOUS
+    text: str = ""
+
+    def close(self) -> Block:
+        self.text = SPACE.sub(" ", html.unescape("".join(self.pieces))).strip()
+        return self
 
     @property
-    def text(self) -> str:
-        return SPACE.sub(" ", html.unescape("".join(self.pieces))).strip()
+    def is_linked(self) -> bool:
+        return self.linked > LINKS_HIGH * len(self.text) and self.tag not in HEADINGS
 
 
 def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)} if source.strip(" /") else {}
 
 
-def is_boilerplate(tag: str, attrs: dict[str, str], inside: str) -> bool:
-    """By tag, role, visibility, class or id; inside: the enclosing container."""
+def is_boilerplate(tag: str, attrs: dict[str, str], inside: frozenset[str]) -> bool:
+    """By tag, role, visibility, class or id; inside: the enclosing containers."""
     if tag in BOILERPLATE_TAGS or (tag == "header" and not inside):
         return True
     if tag in ("html", "body", "main") or not attrs:
@@ -83,8 +100,9 @@ def is_boilerplate(tag: str, attrs: dict[str, str], inside: str) -> bool:
 def cut(page: str) -> list[Block]:
     """The blocks with text that aren't boilerplate by their place."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, boilerplate, container
+    stack: list[tuple[str, bool, frozenset[str]]] = []  # tag, boilerplate, containers
     links, current, at = 0, None, 0
+    endless: set[str] = set()  # embedded objects without a further end tag
 
     def add(text: str) -> None:
         nonlocal current
@@ -93,7 +111,7 @@ def cut(page: str) -> list[Block]:
                 if not text.strip():
                     return
                 tag = next((t for t, _, _ in reversed(stack) if t in BLOCKS), "")
-                current = Block(tag, stack[-1][2] if stack else "")
+                current = Block(tag, stack[-1][2] if stack else frozenset())
                 blocks.append(current)
             current.pieces.append(text)
             current.linked += len(text.strip()) if links else 0
@@ -121,6 +139,13 @@ def cut(page: str) -> list[Block]:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if tag in EMBEDDED:
+            if not attrs_source.rstrip().endswith("/") and tag not in endless:
+                if end := re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at):
+                    at = end.end()
+                else:
+                    endless.add(tag)
+            continue
         if tag in VOID:
             continue
         if tag in BLOCKS:  # closes an open paragraph and what is open in it; list items and cells close their like
@@ -135,24 +160,42 @@ def cut(page: str) -> list[Block]:
                         break
                 elif name in BLOCKS and (not like or name in stops):
                     break
-        above, inside = (stack[-1][1], stack[-1][2]) if stack else (False, "")
+        above, inside = (stack[-1][1], stack[-1][2]) if stack else (False, frozenset())
         dropped = above or is_boilerplate(tag, attributes(attrs_source), inside)
-        stack.append((tag, dropped, tag if tag == "article" or (tag == "main" and not inside) else inside))
+        stack.append((tag, dropped, inside | {tag} if tag in ("article", "main") else inside))
         links += tag == "a"
     add(page[at:])
-    return [b for b in blocks if b.text]
+    return [b for b in blocks if b.close().text]
+
 
+def own_stop_words(blocks: list[Block]) -> frozenset[str]:
+    """Frequent short words of the page's long blocks without many links."""
+    words = Counter(w for b in blocks if len(b.text) >= LONG and not b.is_linked for w in WORDS.findall(b.text.lower()) if len(w) <= SHORT and w.isalpha())
+    return frozenset(w for w, n in words.items() if n >= OFTEN)
 
-def first_pass(b: Block, text: str, in_container: bool) -> str:
-    words = WORDS.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if b.linked > LINKS_HIGH * len(text) and b.tag not in HEADINGS:
+
+def menus(blocks: list[Block]) -> list[bool]:
+    """Whether each block is in a run of at least MENU linked ones that aren't prose."""
+    out = [b.is_linked and b.tag not in PROSE for b in blocks]
+    at = 0
+    for linked, run in groupby(out[:]):
+        n = len(list(run))
+        if linked and n < MENU:
+            out[at : at + n] = [False] * n
+        at += n
+    return out
+
+
+def first_pass(b: Block, in_menu: bool, stop_words: frozenset[str]) -> str:
+    words = WORDS.findall(b.text.lower())
+    stops = sum(w in stop_words for w in words) / len(words) if words else 0.0
+    if b.containers:
+        return BAD if in_menu else GOOD if len(b.text) >= LONG or stops >= STOPS_LOW else AMBIGUOUS
+    if b.is_linked:
         return BAD
-    if in_container:
-        return GOOD if len(text) >= LONG or stops >= STOPS_LOW else AMBIGUOUS
-    if b.tag in HEADINGS or len(text) < LONG:
+    if b.tag in HEADINGS or len(b.text) < LONG:
         return BAD if b.linked and b.tag not in HEADINGS else AMBIGUOUS
-    if stops >= STOPS_HIGH or (stops >= STOPS_LOW and len(text) >= LONGER):
+    if stops >= STOPS_HIGH or (stops >= STOPS_LOW and len(b.text) >= LONGER):
         return GOOD
     return AMBIGUOUS if stops >= STOPS_LOW else BAD
 
@@ -172,16 +215,25 @@ def second_pass(labels: list[str], otherwise: str) -> list[str]:
     return out
 
 
+def good_blocks(blocks: list[Block], stop_words: frozenset[str]) -> list[Block]:
+    held = bool(blocks) and all(b.containers for b in blocks)
+    labels = second_pass([first_pass(b, m, stop_words) for b, m in zip(blocks, menus(blocks), strict=True)], GOOD if held else BAD)
+    return [b for b, label in zip(blocks, labels, strict=True) if label == GOOD]
+
+
 def extract(page: str) -> str:
     blocks = cut(page)
+    stop_words = STOP_WORDS
+    if not (good := good_blocks(blocks, stop_words)):
+        stop_words = own_stop_words(blocks)
+        good = good_blocks(blocks, stop_words)
+    size = lambda found: sum(len(b.text) for b in found)
     for container in ("article", "main"):
-        if inside := [b for b in blocks if b.container == container]:
-            blocks = inside
+        inside = good_blocks([b for b in blocks if container in b.containers], stop_words)
+        if inside and size(inside) >= SHARE * size(good):
+            good = inside
             break
-    texts = [b.text for b in blocks]
-    held = bool(blocks) and bool(blocks[0].container)
-    labels = second_pass([first_pass(b, t, held) for b, t in zip(blocks, texts, strict=True)], GOOD if held else BAD)
-    return "\n\n".join(t for t, label in zip(texts, labels, strict=True) if label == GOOD)
+    return "\n\n".join(b.text for b in good)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

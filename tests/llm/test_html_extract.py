@@ -1,11 +1,50 @@
 """Main text of small pages."""
 
+from html.parser import HTMLParser
+
 import pytest
 
 from quire.llm.html_extract import extract, extract_pages
 
 LONG = "The cat was on the mat and it is a story of the house that is here for you and me to read in the evening."
 
+RUSSIAN = "В доме на краю города жил человек, и он не знал, что в тот же день на него и на его дом упадёт снег, и что он не выйдет на улицу."
+CHINESE = "他在城市的边上有一个小小的房子,那是他父亲的房子,也是他的祖父的房子,他在这里住了很多年,他的朋友们都说他是一个好人,他的猫也是一只好猫,他们在一起的日子是很好的日子。"
+
+
+class Plain(HTMLParser):
+    """Article text by the standard library's parser, for pages without menus inside their article."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("article", "h1", "p", "div", "li"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("article", "h1", "p", "div", "li"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and self.blocks:
+            self.blocks[-1] += data
+
+
+def test_against_the_plain_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in extract_pages(pages).collect()}
+    for r in pages.collect():
+        parser = Plain()
+        parser.feed(r.html)
+        parser.close()
+        assert got[r.page_id] == "\n\n".join(filter(None, (" ".join(b.split()) for b in parser.blocks)))
+
 
 @pytest.mark.parametrize(
     "page, text",
@@ -22,6 +61,14 @@ LONG = "The cat was on the mat and it is a story of the house that is here for y
         ("<p>12<p>34", ""),
         ("<article><p>a<b>c", "ac"),
         ("<article><p title='a>b'>x</p><", "x\n\n<"),
+        (f"<article><p>{LONG}</p><p>See <a href=x>{LONG}</a></p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>{LONG}</p>", f"{LONG}\n\nSee {LONG}\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><ul><li>Bread<li><a href=x>Butter</a><li>Milk</ul></article>", f"{LONG}\n\nBread\n\nButter\n\nMilk"),
+        *((f"<article><p>{LONG}</p><{tag}><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}") for tag in ("svg", "noscript", "template", "video", "object")),
+        *((f"<article><p>{LONG}</p><{tag}><g>no</g></{tag}><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}") for tag in ("svg", "noscript", "template", "video", "object")),
+        (f"<ul><li><a>Раз</a><li><a>Два</a></ul><p>{RUSSIAN}</p><p>{RUSSIAN}</p><div class=footer>{RUSSIAN}</div>", f"{RUSSIAN}\n\n{RUSSIAN}"),
+        (f"<ul><li><a>一</a><li><a>二</a></ul><p>{CHINESE}</p>", CHINESE),
+        (f"<main><p>{LONG}</p><p>{LONG}</p><article>Read more</article><p>{LONG}</p></main>", f"{LONG}\n\n{LONG}\n\nRead more\n\n{LONG}"),
+        (f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><article>A teaser</article>", "\n\n".join([LONG] * 3 + ["A teaser"])),
     ],
 )
 def test_extract(page, text):
