@@ -22,7 +22,9 @@ from quire.llm.suffix_dedup import remove_repeats
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir))
+    """The contract's columns, and the remaining text (where a cut parts a character, its remains become U+FFFD)."""
+    told = remove_repeats(documents(spark, sf_dir))
+    return told.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,21 @@
-"""Suffix-array dedup: a depth-limited radix sort of all suffixes, from the most significant digit on.
+"""Suffix-array dedup: a depth-limited radix sort of suffixes, from the most significant digit on.
 
 Suffixes (one starts at each byte) are ordered only through `depth` bytes; those that are equal so far are exactly
-the repeated windows. As in any such sort, each pass splits groups by one more digit, and a suffix alone in
-its group leaves. The digits are chosen so that neighbours move together:
-
-1. The first digit of a suffix is the least gram (by hash, leftmost) among those inside its first `depth` bytes,
-   and its place there. Equal windows have equal digits. Consecutive suffixes share the gram until a lesser one
-   comes in, so a run of suffixes is one row: a gram's place in a text and the range of offsets before it at which the
-   suffixes start. Rows whose gram occurs once leave; rows with equal bytes under all of their suffixes are decided
-   at once, and one of them stays as a partner for the others.
-2. Later passes split the ranges of offsets by RADIX (64, 8, 1 wide): the digit is all bytes that the range's
-   suffixes have in common, which grows to the full depth as ranges shrink to one suffix. Ranges alone in their
-   group leave; ranges whose suffixes are equal throughout are decided at once. After the last pass groups
-   of two or more are equal through `depth` bytes.
-
-Groups are only counted (with map-side sums), never collected, so neither a hot gram nor a hot passage loads one
-task. Bytes are compared by 128-bit hashes of the strings.
+the repeated windows.
+
+The sort. A suffix's digits are its bytes from its start: the first eighth of the depth, those up to the half, and the rest.
+All suffixes start in one group; each pass splits the groups by the next digit, so a group is a common prefix. A
+suffix alone in its group leaves; what is in a group of two or more after the last digit is repeated. Digits are
+compared by hashes of the prefix that they end (64 bits, in the last pass 128), so the order of groups is that of hashes, not
+of the alphabet. Suffixes are held in blocks. A block asks once for each of its distinct prefixes, whatever number of suffixes
+has it, at the bucket of its hash; buckets only say which prefixes there are two of. So neither a hot prefix nor
+a hot passage loads one task with more than a row from each block.
+
+The sieve. Most suffixes of a corpus are alone, so before the sort those leave that can be told to be: in the first `depth` bytes
+of a suffix, take the least gram (by hash, leftmost). Neighbours share it, so a run of suffixes is one row, and
+suffixes that are equal through `depth` have equal least grams at equal places. Runs whose gram occurs once leave. Runs
+with equal bytes under all of their suffixes are decided at once, and one of them goes on to the sort as a partner for
+the others. Only runs whose gram stands in unlike surroundings are sorted.
 
 Defined cases: null text counts as empty; texts shorter than `depth` have no windows; repeated rows (also equal
 doc_ids, or null ones) count as further places; equal rows get equal results; empty tables give no rows; other
@@ -26,10 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,16 +40,24 @@ from quire.llm.word_hashes import BASE, BASE_INVERSE, finish, powers
 
 DEPTH = 400
 GRAM = 100
-#: Widths of the ranges of offsets in the passes after the first.
-WIDTHS = (64, 8, 1)
+#: Ends of the digits, as shares of the depth: the first eighth, up to the half, the whole.
+DIGITS = (1, 4, 8)
+#: Suffixes of a block.
+BLOCK_SUFFIXES = 400_000
+#: Suffixes that one bucket is meant to hold, and buckets of small inputs.
+BUCKET_SUFFIXES, LEAST_BUCKETS = 1_000_000, 32
+#: Primes below 2^31, and bases, of the hashes that are added for the last digit.
+PRIMES = ((2147483647, 1540483477), (2147483629, 1103515245))
 #: Suffixes whose first digits are found at once.
 CHUNK = 1_000_000
 PLACE_BITS = 24
 
 RUNS = "doc_id long, h long, gram long, hull binary, anchor long, low int, high int"
-CONTEXTS = "doc_id long, h long, gram long, anchor long, low int, high int, settled boolean, bytes binary"
-NODES = "uid long, first int, core binary, hull binary, settled boolean"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+BLOCKS = "block long, n long, doc_ids binary, known binary, hs binary, starts binary, counts binary, settled binary, raw binary"
+QUESTIONS = "bucket int, block long, n int, keys binary, twice binary, active binary"
+ANSWERS = "block long, bucket int, n int, repeated binary, active binary"
+SPANS = "doc_id long, h long, start long, stop long"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -122,88 +132,240 @@ def _runs(depth: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return runs
 
 
-def _contexts(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The bytes under each run's suffixes; the anchor is `high` bytes into them."""
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Block(NamedTuple):
+    """Suffixes of many open runs, run by run, each in the order of its text."""
+
+    block: int
+    n: int  # suffixes
+    doc_ids: bytes  # of the runs
+    known: bytes
+    hs: bytes
+    starts: bytes  # place of the first suffix in its text
+    counts: bytes  # suffixes
+    settled: bytes
+    raw: bytes  # counts[k] + depth - 1 bytes of each run
+
+
+def _blocks(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of the open runs, with the bytes under their suffixes."""
+
+    def pack(runs: list[tuple], no: int) -> pa.RecordBatch:
+        doc_ids, hs, starts, counts, settled, raws = zip(*runs, strict=True)
+        known = np.array([d is not None for d in doc_ids], np.uint8)
+        n = np.array(counts, np.int64)
+        b = Block(
+            (pa_partition() << 33) + no, int(n.sum()), np.array([d or 0 for d in doc_ids], np.int64).tobytes(), known.tobytes(), np.array(hs, np.int64).tobytes(), np.array(starts, np.int64).tobytes(),
+            n.tobytes(), np.array(settled, np.uint8).tobytes(), b"".join(raws),
+        )
+        return pa.record_batch([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in b], names=list(Block._fields))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = no = 0
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                part = batch.slice(row, 256)
-                out: list[tuple] = []
-                for doc_id, h, text, runs in zip(*(part.column(c) for c in ("doc_id", "h", "text", "runs")), strict=True):
-                    raw = text.as_py()
-                    out += [(doc_id.as_py(), h.as_py(), r["gram"], r["anchor"], r["low"], r["high"], r["settled"], raw[r["anchor"] - r["high"] : r["anchor"] - r["low"] + depth]) for r in runs.as_py()]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-                columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "h", "gram", "anchor", "low", "high", "settled", "bytes"])
-
-    return contexts
-
-
-def _nodes(depth: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Parts, `width` offsets wide, of the ranges [first, first + span) of each run, with what their suffixes share (core) and cover (hull)."""
-    digest = xxhash.xxh3_128_digest
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for doc_id, h, text, runs in zip(*(batch.column(c) for c in ("doc_id", "h", "text", "runs")), strict=True):
+                raw = text.as_py()
+                for r in runs.as_py():
+                    first = r["anchor"] - r["high"]
+                    n = r["high"] - r["low"] + 1
+                    held.append((doc_id.as_py(), h.as_py(), first, n, r["settled"], raw[first : first + n + depth - 1]))
+                    size += n
+                    if size >= BLOCK_SUFFIXES:
+                        yield pack(held, no)
+                        held, size, no = [], 0, no + 1
+        if held:
+            yield pack(held, no)
+
+    return blocks
+
+
+def pa_partition() -> int:
+    """Number of the task's partition, so that blocks are told apart (they are stored at once)."""
+    return TaskContext.get().partitionId()
+
+
+def starts_of(counts: np.ndarray, depth: int) -> np.ndarray:
+    """Where each suffix starts in a block's bytes."""
+    lengths = counts + depth - 1
+    ends = np.cumsum(counts)
+    return np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - (ends - counts), counts)
+
+
+def prefix_keys(raw: np.ndarray, starts: np.ndarray, length: int, wide: bool) -> np.ndarray:
+    """Hashes of the first `length` bytes of suffixes: one column of 64 bits; if wide, a second with two hashes modulo primes."""
+    x = raw.astype(np.uint64) + np.uint64(1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers(BASE, len(raw)), dtype=np.uint64)])
+    columns = [finish((sums[starts + length] - sums[starts]) * powers(BASE_INVERSE, len(raw))[starts])]
+    if wide:
+        parts = []
+        for prime, base in PRIMES:
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers_modulo(base, len(raw), prime) % np.uint64(prime), dtype=np.uint64)]) % np.uint64(prime)
+            parts.append((sums[starts + length] + np.uint64(prime) - sums[starts]) * powers_modulo(pow(base, -1, prime), len(raw), prime)[starts] % np.uint64(prime))
+        columns.append(parts[0] << np.uint64(32) | parts[1])
+    return np.stack(columns, axis=1)
+
+
+def powers_modulo(base: int, n: int, prime: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+    return out[:n]
+
+
+def group_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the order of the keys, first place of each distinct key in this order)."""
+    order = np.lexsort(keys.T[::-1])
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+    return order, np.flatnonzero(new)
+
+
+class Pass:
+    """One pass over one block: the digits up to `length` of its suffixes that are still in a group."""
+
+    def __init__(self, block: Block, active: np.ndarray, length: int, depth: int):
+        self.block, self.active = block, active
+        self.counts = np.frombuffer(block.counts, np.int64)
+        starts = starts_of(self.counts, depth)[active]
+        self.keys = prefix_keys(np.frombuffer(block.raw, np.uint8), starts, length, length == depth)
+        self.order, self.first = group_keys(self.keys)
+        # a settled run stands for two or more
+        self.settled = np.repeat(np.frombuffer(block.settled, np.uint8), self.counts)[active]
+
+    def questions(self, n_buckets: int) -> list[dict]:
+        """A row for each bucket with the block's distinct keys, in order, and whether each is there twice; and a row with the active suffixes."""
+        rows = [{"bucket": self.block.block % n_buckets, "block": self.block.block, "active": np.packbits(self.active).tobytes()}]
+        if not len(self.keys):
+            return rows
+        twice = np.add.reduceat((self.settled + 1).astype(np.int64)[self.order], self.first) > 1
+        keys = self.keys[self.order][self.first]
+        bucket = (keys[:, 0] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+        edges = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64)).tolist()
+        for b, (start, stop) in enumerate(zip(edges, edges[1:], strict=False)):
+            if stop > start:
+                rows.append({"bucket": b, "block": self.block.block, "n": stop - start, "keys": keys[start:stop].tobytes(), "twice": np.packbits(twice[start:stop]).tobytes()})
+        return rows
+
+    def answered(self, repeated: np.ndarray) -> np.ndarray:
+        """The suffixes whose group has two or more members, from an answer for each distinct key."""
+        of_key = np.empty(len(self.keys), bool)
+        of_key[self.order] = np.repeat(repeated, np.diff(np.append(self.first, len(self.keys))))
+        out = self.active.copy()
+        out[out] = of_key
+        return out
+
+
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
+
+
+def _ask(lengths: tuple[int, ...], n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first pass: all suffixes are in one group."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for uid, gram, low, high, raw, span, ranges in zip(*(batch.column(c).to_pylist() for c in ("uid", "gram", "low", "high", "bytes", "span", "ranges")), strict=True):
-                seed = gram & (1 << 64) - 1
-                for begin, settled in ((r["first"], r["settled"]) for r in ranges):
-                    for first in range(begin, begin + span, width):
-                        a, b = max(first, low), min(first + width - 1, high)
-                        if a <= b:
-                            last = first + width - 1
-                            # all suffixes of the full part have these bytes, whether or not the run has each of them
-                            core = digest(raw[max(0, high - first) : high - last + depth] + first.to_bytes(2, "little"), seed=seed)
-                            hull = digest(raw[high - b : high - a + depth], seed=seed ^ (a << 20 | b)) if width > 1 else core
-                            out.append((uid, first, core, hull, settled))
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["uid", "first", "core", "hull", "settled"])
+            for row in batch.to_pylist():
+                block = Block(**row)
+                yield from _table(QUESTIONS, Pass(block, np.ones(block.n, bool), lengths[0], lengths[-1]).questions(n_buckets)).to_batches()
+
+    return ask
+
+
+def _answer(key: tuple, asked: pa.Table) -> pa.Table:
+    """Of one bucket: which keys of each block are there twice or more, in all blocks together."""
+    rows = [r for r in asked.to_pylist() if r["keys"] is not None]
+    out = [{"block": r["block"], "active": r["active"]} for r in asked.select(["block", "active"]).to_pylist() if r["active"] is not None]
+    if rows:
+        width = len(rows[0]["keys"]) // rows[0]["n"] // 8
+        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]).reshape(-1, width)
+        weight = np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=r["n"]) for r in rows]).astype(np.int64) + 1
+        order, first = group_keys(keys)
+        repeated = np.empty(len(keys), bool)
+        repeated[order] = np.repeat(np.add.reduceat(weight[order], first) > 1, np.diff(np.append(first, len(keys))))
+        ends = np.cumsum([r["n"] for r in rows]).tolist()
+        out += [{"block": r["block"], "bucket": key[0].as_py(), "n": r["n"], "repeated": np.packbits(repeated[a:b]).tobytes()} for r, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True)]
+    return _table(ANSWERS, out)
+
+
+def _settle(block: pa.Table, answers: pa.Table, length: int, depth: int) -> tuple[Block, np.ndarray]:
+    """A block and its suffixes that are left in groups after the pass that ended at `length`."""
+    own = Block(**block.to_pylist()[0])
+    rows = answers.to_pylist()
+    active = next(np.unpackbits(np.frombuffer(r["active"], np.uint8), count=own.n).astype(bool) for r in rows if r["active"] is not None)
+    told = sorted((r for r in rows if r["repeated"] is not None), key=lambda r: r["bucket"])
+    if not told:
+        return own, active
+    repeated = np.concatenate([np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=r["n"]) for r in told]).astype(bool)
+    return own, Pass(own, active, length, depth).answered(repeated)
+
+
+def _advance(lengths: tuple[int, ...], k: int, n_buckets: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def advance(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+        """Suffixes alone in their group leave; the others are asked about with the next digit."""
+        own, active = _settle(block, answers, lengths[k], lengths[-1])
+        return _table(QUESTIONS, Pass(own, active, lengths[k + 1], lengths[-1]).questions(n_buckets))
+
+    return advance
+
+
+def _finish(depth: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def spans(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+        """What the suffixes cover that are in groups of two or more after the last digit."""
+        own, active = _settle(block, answers, depth, depth)
+        counts = np.frombuffer(own.counts, np.int64)
+        active &= np.repeat(np.frombuffer(own.settled, np.uint8) == 0, counts)
+        run = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(own.n) - np.repeat(np.cumsum(counts) - counts, counts) + np.frombuffer(own.starts, np.int64)[run]
+        at = np.flatnonzero(active)
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) > 1) | (run[at[1:]] != run[at[:-1]])
+        first = at[new]
+        last = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1:])
+        doc_ids = pa.array(np.frombuffer(own.doc_ids, np.int64)[run[first]], mask=np.frombuffer(own.known, np.uint8)[run[first]] == 0)
+        return pa.table([doc_ids, pa.array(np.frombuffer(own.hs, np.int64)[run[first]]), pa.array(place[first]), pa.array(place[last] + depth)], names=["doc_id", "h", "start", "stop"])
+
+    return spans
+
+
+def sieve(rows: DataFrame, depth: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(spans under runs that are settled, blocks of the suffixes to be sorted). `rows`: doc_id, h (hash of the text), text (bytes)."""
+    runs = stored(rows.where(F.octet_length("text") >= depth).mapInArrow(_runs(depth, gram), RUNS))
+    grams = stored(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    runs = stored(runs.join(grams, "gram"))
+    # equal bytes under all suffixes: settled at once if there are two; one of them goes on as a partner
+    hulls = stored(runs.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "anchor", "low", "high")).alias("run")))
+    spans = runs.join(stored(hulls.where("n > 1").select("gram", "hull")), ["gram", "hull"]).select("doc_id", "h", F.expr("anchor - high").cast("long").alias("start"), F.expr(f"anchor - low + {depth}").cast("long").alias("stop"))
+    unclear = stored(hulls.groupBy("gram").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1").select("gram"))
+    open_runs = hulls.join(unclear, "gram").select((F.col("n") > 1).alias("settled"), "run.*")
+    per_text = stored(open_runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "low", "high", "settled")).alias("runs")))
+    with_text = per_text.join(rows.withColumnsRenamed({"doc_id": "d", "h": "g"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+    return spans, stored(with_text.select("doc_id", "h", "text", "runs").mapInArrow(_blocks(depth), BLOCKS))
+
 
-    return nodes
+def radix_spans(blocks: DataFrame, depth: int) -> DataFrame:
+    """doc_id, h, start and stop of what the suffixes cover that equal another through `depth` bytes."""
+    lengths = tuple(depth * part // DIGITS[-1] for part in DIGITS)
+    n_buckets = max(LEAST_BUCKETS, (blocks.agg(F.sum("n")).first()[0] or 0) // BUCKET_SUFFIXES)
+    asked = blocks.mapInArrow(_ask(lengths, n_buckets), QUESTIONS)
+    for k in range(len(lengths)):
+        answers = stored(asked.groupBy("bucket").applyInArrow(_answer, ANSWERS))
+        pair = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+        if k + 1 < len(lengths):
+            asked = pair.applyInArrow(_advance(lengths, k, n_buckets), QUESTIONS)
+    return pair.applyInArrow(_finish(depth), SPANS)
 
 
-def _spans(start: str, stop: str) -> list:
-    return ["doc_id", "h", F.expr(start).cast("long").alias("start"), F.expr(stop).cast("long").alias("stop")]
+def text_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_bytes()).alias("h"), text_bytes().alias("text"))
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """doc_id, h (hash of the text), start and stop (bytes): the spans under repeated windows, overlapping."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_bytes()).alias("h"), text_bytes().alias("text"))
-    runs = stored(rows.where(F.octet_length("text") >= depth).mapInArrow(_runs(depth, gram), RUNS))
-    grams = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    runs = stored(runs.join(grams, "gram"))
-    # equal bytes under all suffixes: settled at once if there are two; one of them goes on as a partner
-    hulls = stored(runs.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "anchor", "low", "high")).alias("run")))
-    settled = runs.join(hulls.where("n > 1").select("gram", "hull"), ["gram", "hull"]).select(*_spans("anchor - high", f"anchor - low + {depth}"))
-    unclear = hulls.groupBy("gram").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1").select("gram")
-    open_runs = hulls.join(unclear, "gram").select("gram", (F.col("n") > 1).alias("settled"), "run.*")
-    per_text = open_runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("gram", "anchor", "low", "high", "settled")).alias("runs"))
-    with_text = per_text.join(rows.withColumnsRenamed({"doc_id": "d", "h": "g"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
-    contexts = stored(with_text.select("doc_id", "h", "text", "runs").mapInArrow(_contexts(depth), CONTEXTS))
-    contexts = stored(contexts.withColumn("uid", F.monotonically_increasing_id()))
-    spans, active, span = [settled], None, depth
-    for width in WIDTHS:
-        if active is None:
-            work = contexts.withColumn("ranges", F.array(F.struct(F.lit(0).alias("first"), F.col("settled"))))
-        else:
-            work = contexts.join(active.groupBy("uid").agg(F.collect_list(F.struct("first", "settled")).alias("ranges")), "uid")
-        nodes = stored(work.select("uid", "gram", "low", "high", "bytes", F.lit(span).alias("span"), "ranges").mapInArrow(_nodes(depth, width), NODES))
-        groups = nodes.groupBy("core", "hull").agg(F.count("*").alias("n"), F.bool_or("settled").alias("any_settled"), F.min("uid").alias("one"))
-        cores = groups.groupBy("core").agg(F.sum("n").alias("total"), F.min(F.when((F.col("n") > 1) | F.col("any_settled"), 2).otherwise(1)).alias("least"))
-        # a settled run stands for two or more
-        placed = nodes.join(groups.withColumn("equal", (F.col("n") > 1) | F.col("any_settled")).drop("n", "any_settled"), ["core", "hull"]).join(cores.where("total > 1"), "core")
-        placed = stored(placed.select("uid", "first", "settled", "equal", "one", "least"))
-        new = placed.where("equal and not settled").join(contexts.select("uid", "doc_id", "h", "anchor", "low", "high"), "uid")
-        spans.append(new.select(*_spans(f"anchor - least(first + {width - 1}, high)", f"anchor - greatest(first, low) + {depth}")))
-        active = placed.where("least = 1 and (not equal or uid = one)").select("uid", "first", F.col("equal").alias("settled"))
-        span = width
-    out = spans[0]
-    for more in spans[1:]:
-        out = out.union(more)
-    return out
+    settled, blocks = sieve(text_rows(docs), depth, gram)
+    return settled.union(radix_spans(blocks, depth))
 
 
 def remove(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
@@ -224,19 +386,18 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text, spans in zip(*(batch.column(c) for c in ("doc_id", "text", "spans")), strict=True):
             raw = text.as_py()
             kept, n = remove(raw, spans.as_py())
-            out.append((doc_id.as_py(), len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            out.append((doc_id.as_py(), len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, text (bytes) and spans (array of start and stop, null: none) of each row."""
     per_text = spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnsRenamed({"doc_id": "d", "h": "g"})
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_bytes()).alias("h"), text_bytes().alias("text"))
-    return rows.join(per_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select("doc_id", "text", "spans")
+    return text_rows(docs).join(per_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select("doc_id", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each row."""
     return with_spans(docs, repeated_spans(docs, depth, gram)).mapInArrow(_removed, RESULT)

@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.suffix_dedup import pieces, remove, remove_repeats, sliding_min
+from quire.llm.suffix_dedup import pieces, prefix_keys, remove, remove_repeats, sliding_min
 
 
 def brute(texts, depth):
@@ -24,7 +24,7 @@ def brute(texts, depth):
     for t, c in zip(texts, covered, strict=True):
         kept = bytes(b for b, x in zip(t, c, strict=True) if not x)
         runs = int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum())
-        out.append((len(t), int(c.sum()), runs, hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), int(c.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
     return out
 
 
@@ -36,12 +36,36 @@ def test_matches_brute_force(spark):
     texts = base + [base[0], base[1][:400] + " edit " + base[1][400:], "q " + passage + " r", "s " + passage, passage[7:] + base[2], "a" * 900, "ab" * 300, "", None, base[3] + base[3], base[4][1:]]
     rows = [(k, t, "clash", 1.0) for k, t in enumerate(texts)] + [(None, base[5], "n", None), (None, passage, "n", None), (6, base[6], "again", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, h double")
-    for depth, gram in ((120, 40), (80, 30)):
+    for depth, gram in ((120, 40), (80, 30), (33, 32), (16, 2)):
         want = brute([(r[1] or "").encode() for r in rows], depth)
         got = remove_repeats(docs, depth, gram).collect()
         assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted((str(i[0]), *w) for i, w in zip(rows, want, strict=True))
 
 
+def test_small_blocks_and_buckets(spark, monkeypatch):
+    """Groups that reach over many blocks, and more buckets than prefixes."""
+    import quire.llm.suffix_dedup as m
+
+    rng = random.Random(4)
+    shared = bytes(rng.randrange(97, 123) for _ in range(90)).decode()
+    rows = [(k, "".join(rng.choice("abc") for _ in range(30)) + shared[k % 7 :] + "".join(rng.choice("xyz") for _ in range(k))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = sorted((k, *w) for (k, _), w in zip(rows, brute([t.encode() for _, t in rows], 40), strict=True))
+    monkeypatch.setattr(m, "LEAST_BUCKETS", 500)
+    settled, blocks = m.sieve(m.text_rows(docs), 40, 13)
+    assert blocks.count() > 1
+    assert sorted(tuple(r) for r in remove_repeats(docs, 40, 13).collect()) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=1, max_size=80), st.integers(1, 12))
+def test_prefix_keys_group_as_the_bytes_do(raw, length):
+    starts = np.arange(max(0, len(raw) - length + 1))
+    for wide in (False, True):
+        keys = prefix_keys(np.frombuffer(raw, np.uint8), starts, length, wide)
+        assert len({tuple(k) for k in keys.tolist()}) == len({raw[s : s + length] for s in starts.tolist()})
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
