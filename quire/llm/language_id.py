@@ -27,6 +27,8 @@ WIDTH = 256
 FILTERS = ((4, 8), (3, 8), (2, 8))
 SAMPLE = 1000
 WINDOWS = 2
+#: Parts of a language that are ranked side by side.
+SPREAD = 64
 EPOCHS = 12
 SEED = 11
 UNKNOWN = "und"
@@ -124,13 +126,17 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, rows: int = SAMPLE, windows: int = WINDOWS) -> list:
     """At most `rows` labelled rows of each language, by hash order, each as a few windows of its text.
 
-    The rank is limited in each map task before the shuffle, so a frequent language moves few rows.
+    The rank is limited in each map task before the shuffle, then in each of SPREAD parts of a language, so a
+    frequent language moves few rows and no task gets more than SPREAD times `rows` of them in the end.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     start = lambda k: (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.char_length("text") - WIDTH // 2, F.lit(1))) + 1).cast("int")
     cut = F.array(*(F.substring("text", start(k), F.lit(WIDTH)) for k in range(windows)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    return labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), cut.alias("cuts")).withColumn("rank", rank).where(F.col("rank") <= rows).orderBy("lang", "rank").collect()
+    rank = lambda *parts: F.row_number().over(Window.partitionBy("lang", *parts).orderBy("h", "doc_id", "cuts"))
+    cuts = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), cut.alias("cuts"))
+    part = F.pmod("h", F.lit(SPREAD))
+    few = cuts.withColumn("part", part).withColumn("rank", rank("part")).where(F.col("rank") <= rows)
+    return few.withColumn("rank", rank()).where(F.col("rank") <= rows).orderBy("lang", "rank").collect()
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE) -> Network:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quire.llm.language_id import UNKNOWN, WIDTH, identify, learn, score_texts, train, windows_of
+from quire.llm.language_id import UNKNOWN, WIDTH, identify, learn, sample, score_texts, train, windows_of
 
 FR = "le chat est sur la table avec une souris dans les mains et il mange du pain "
 DE = "der Hund ist auf dem Tisch und die Katze schläft nicht mit einer Maus auf dem Bett "
@@ -33,6 +33,13 @@ def test_held_out_accuracy(docs):
     assert (got[got.doc_id == 903].lang_pred == "fr").all() and got.score.between(0, 1).all()
 
 
+def test_the_sample_is_the_first_by_hash(docs):
+    rows = docs.where("doc_id is not null and lang is not null and text is not null").selectExpr("lang", "xxhash64(doc_id) as h", "doc_id", "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false) as held").collect()
+    for n in (3, 50):
+        want = sorted(x for lang in ("fr", "de") for x in sorted((r.lang, r.h, r.doc_id) for r in rows if r.lang == lang and not r.held)[:n])
+        assert sorted((r.lang, r.h, r.doc_id) for r in sample(docs, n)) == want
+
+
 def test_whole_texts_count(docs):
     net = learn(docs, rows=150)
     langs, _ = score_texts(net, [DE * 2 + FR * 40, FR * 2 + DE * 40, None])
