@@ -16,12 +16,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a temporary one."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one; a cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='quire-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='quire-')}"
+        base = _own[context.applicationId]
     return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
