@@ -24,7 +24,6 @@ def token_estimate(chars: Column | str) -> Column:
     return F.greatest(F.lit(1), F.ceil((F.col(chars) if isinstance(chars, str) else chars) / 4)).cast("long")
 
 
-
 def job_int(x: Column) -> Column:
     """A count of a job record: a whole number in text, else 0; never negative."""
     t = uni_trim(x)
@@ -82,8 +81,23 @@ def remaining_ms(total: Column, completed: Column, speed: Column) -> Column:
     return F.round(F.try_divide(F.greatest(total - completed, F.lit(0)), speed) * 60000).cast("long")
 
 
+def to_fixed(x: Column, digits: int) -> Column:
+    """A number that isn't negative with so many decimals, rounded half up by its exact binary value.
+
+    format_string() rounds the shortest decimal form instead: 31.365 is a little less than it reads and has to give 31.36.
+    """
+    scale = 10**digits
+    x = x.cast("double")
+    below = F.floor(x * scale)
+    # x = near + rest; each term is exact, and so is their sum wherever it is close to a tie
+    near = x.cast("float").cast("double")
+    past_half = (near * (2 * scale) - (2 * below + 1)) + (x - near) * (2 * scale)
+    n = below + (past_half >= 0).cast("long")
+    return F.concat(F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+
+
 def speed_label(speed: Column) -> Column:
-    return F.coalesce(F.concat(F.format_string("%.1f", speed), F.lit(" blocks/min")), F.lit("Not enough data"))
+    return F.coalesce(F.concat(to_fixed(speed, 1), F.lit(" blocks/min")), F.lit("Not enough data"))
 
 
 def remaining_label(ms: Column) -> Column:
@@ -98,6 +112,6 @@ def remaining_label(ms: Column) -> Column:
 def duration_label(ms: Column) -> Column:
     minutes = F.floor(ms / 60000)
     return (
-        F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(F.format_string("%.2f", ms / 1000), F.lit("s")))
+        F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(to_fixed(ms / 1000, 2), F.lit("s")))
         .otherwise(F.concat(minutes.cast("string"), F.lit("m "), (F.floor(ms / 1000) - 60 * minutes).cast("string"), F.lit("s")))
     )

@@ -13,6 +13,8 @@ WS = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEF
 #: What trimming takes from both ends: U+0085 besides.
 TRIMMED = WS[:-1] + "\\u0085]"
 NON_LATIN = "[\\u0400-\\u04FF\\u0600-\\u06FF\\u3040-\\u30FF\\u3400-\\u9FFF\\uAC00-\\uD7AF]"
+#: Characters of two UTF-16 units.
+ASTRAL = "[\\x{10000}-\\x{10FFFF}]"
 ENGLISH_WORD = "[A-Za-z][A-Za-z'-]*"
 
 
@@ -23,7 +25,7 @@ def _col(x: Column | str) -> Column:
 def utf16_len(x: Column | str) -> Column:
     """Length in UTF-16 units: the code points, and once more those beyond the basic plane."""
     x = _col(x)
-    return F.char_length(x) + F.regexp_count(x, F.lit("[\\x{10000}-\\x{10FFFF}]"))
+    return F.char_length(x) + F.regexp_count(x, F.lit(ASTRAL))
 
 
 def uni_trim(x: Column | str) -> Column:
@@ -35,10 +37,19 @@ def collapse(x: Column | str) -> Column:
     return uni_trim(F.regexp_replace(_col(x), f"{WS}+", " "))
 
 
+def cut_units(x: Column | str, n: int) -> Column:
+    """The first n UTF-16 units; a character of two units that would be parted is left out."""
+    start = F.substring(_col(x), 1, n)
+    # a second character after each one of two units makes code points count as units
+    doubled = F.substring(F.regexp_replace(start, f"({ASTRAL})", "$1\uFFFF"), 1, n)
+    parted = F.regexp_replace(doubled, f"{ASTRAL}$", "")
+    return F.when(F.regexp_count(start, F.lit(ASTRAL)) == 0, start).otherwise(F.regexp_replace(parted, f"({ASTRAL})\uFFFF", "$1"))
+
+
 def ellipsis(x: Column | str, n: int) -> Column:
     """Collapsed; beyond n, cut to n with three dots."""
     c = collapse(x)
-    return F.when(utf16_len(c) <= n, c).otherwise(F.concat(F.substring(c, 1, n - 3), F.lit("...")))
+    return F.when(utf16_len(c) <= n, c).otherwise(F.concat(cut_units(c, n - 3), F.lit("...")))
 
 
 def strip_tags(x: Column | str) -> Column:
@@ -129,7 +140,7 @@ def sanitize_suffix(x: Column | str, most: int = 80, otherwise: str = "_translat
     """A part of a file name that is safe on all systems."""
     clean = collapse(F.regexp_replace(_col(x), "[\\\\/:*?\"<>|\\x00-\\x1F]", "_"))
     clean = F.regexp_replace(F.regexp_replace(clean, "[. ]+$", ""), "^\\.+", "")
-    short = F.when(utf16_len(clean) > most, F.regexp_replace(F.substring(clean, 1, most), "[. ]+$", "")).otherwise(clean)
+    short = F.when(utf16_len(clean) > most, F.regexp_replace(cut_units(clean, most), "[. ]+$", "")).otherwise(clean)
     return F.when(short == "", otherwise).otherwise(short)
 
 

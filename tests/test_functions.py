@@ -72,6 +72,27 @@ def test_labels_of_time(spark):
     assert r == ("999ms", "1.50s", "1m 1s", 15.0, 120000)
 
 
+def test_fixed_decimals_are_rounded_as_the_exact_number(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [k / 1000 for k in range(5, 60000, 10)] + [0.05, 0.15, 0.25, 0.35, 12.25, 12.35, 1e6 + 0.05, 7.0, 0.96, 0.99999]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", numbers.to_fixed(F.col("v"), 1).alias("one"), numbers.to_fixed(F.col("v"), 2).alias("two")).collect()
+    for r in rows:
+        assert (r.one, r.two) == tuple(str(Decimal(r.v).quantize(Decimal(q), ROUND_HALF_UP)) for q in ("0.1", "0.01"))
+    r = one(spark, a=numbers.duration_label(F.lit(31365)), b=numbers.duration_label(F.lit(1125)), c=numbers.duration_label(F.lit(59999)), d=numbers.speed_label(F.lit(12.34)), e=numbers.speed_label(F.lit(None).cast("double")))
+    assert r == ("31.36s", "1.13s", "60.00s", "12.3 blocks/min", "Not enough data")
+
+
+def test_cuts_count_utf16_units(spark):
+    smile, units = "\U0001f600", lambda t: len(t.encode("utf-16-le")) // 2
+    for raw in (smile * 300, "ab" + smile * 5 + "\uffff" + smile + "c", "x" * 9, smile + "\uffff" * 3, ""):
+        for n in (1, 2, 3, 6, 7, 12, 240):
+            got = one(spark, x=text.cut_units(F.lit(raw), n)).x
+            assert raw.startswith(got) and units(got) <= n and (got == raw or units(got) + units(raw[len(got)]) > n)
+    r = one(spark, a=text.ellipsis(F.lit(smile * 300), 240), b=text.sanitize_suffix(F.lit(smile * 100)))
+    assert units(r.a) == 239 and r.a.endswith(smile + "...") and units(r.b) == 80
+
+
 def test_lenient_counts(spark):
     read = lambda f, v: one(spark, x=f(F.lit(v))).x
     assert [read(numbers.job_int, v) for v in ("2", "-1", "10.0", None, "x")] == [2, 0, 0, 0, 0]
