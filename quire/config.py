@@ -12,6 +12,7 @@ TUNING = {
     "balanced": {"chunk_size": 5000, "max_concurrent": 4, "timeout_seconds": 150, "max_retries": 3, "retry_delay_seconds": 5},
     "fast": {"chunk_size": 8000, "max_concurrent": 8, "timeout_seconds": 120, "max_retries": 2, "retry_delay_seconds": 3},
 }
+PROVIDERS = {"deepseek": ("https://api.deepseek.com", "deepseek-chat"), "openAiCompatible": ("https://api.openai.com", "gpt-4o-mini")}
 THEMES = ("system", "light", "dark")
 
 
@@ -54,6 +55,18 @@ class Config:
     def matching_preset(self) -> str | None:
         return next((name for name, values in TUNING.items() if all(getattr(self, k) == v for k, v in values.items())), None)
 
+    def for_provider(self, name: str) -> Config:
+        """With a provider's address and model; `custom` keeps both."""
+        if name == "custom":
+            return self
+        url, model = PROVIDERS[name]
+        return replace(self, api_base_url=url, model=model)
+
+    def matching_provider(self) -> str:
+        """The provider whose address this is, or one below it; else `custom`."""
+        url = self.api_base_url.strip().lower()
+        return next((name for name, (base, _) in PROVIDERS.items() if url == base or url.startswith(f"{base}/")), "custom")
+
     def with_value(self, name: str, value: object) -> Config:
         return replace(self, **{name: _read(name, getattr(type(self)(), name), value)})
 

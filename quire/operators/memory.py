@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +39,6 @@ def recent_chapters(chapters: DataFrame, by: list[str], order: str, value: str,
     return chapters.withColumn("recent", F.collect_list(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(1 - n, 0)))
 
 
-ROLLED = "book string, chapter_no long, recent array<string>, glossary array<struct<source: string, target: string>>"
-
-
 def fold(state: dict, chapter: dict) -> dict:
     """The memory after one more chapter; state: recent and glossary (term to entry, in order of first places)."""
     glossary = dict(state["glossary"])
@@ -51,14 +47,28 @@ def fold(state: dict, chapter: dict) -> dict:
     return {"recent": [*state["recent"], chapter["summary"]][-RECENT:], "glossary": dict(list(glossary.items())[:GLOSSARY])}
 
 
-def rolling_memory(chapters: DataFrame) -> DataFrame:
-    """The memory after each chapter (book, chapter_no, summary, glossary): sequential in a book, books side by side."""
+def fold_book(memory: dict, chapter: dict) -> dict:
+    """A book's memory (see codecs.read_memory) after one more chapter (title, summary and glossary)."""
+    terms = {e["source"].lower(): e for e in memory["glossary"]}
+    after = fold({"recent": memory["recentChapters"], "glossary": terms}, {"summary": chapter, "glossary": chapter["glossary"]})
+    return memory | {"glossary": list(after["glossary"].values()), "recentChapters": after["recent"]}
 
-    def roll(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = {"recent": [], "glossary": {}}, []
-        for r in rows.sort_values("chapter_no").to_dict("records"):
-            state = fold(state, r)
-            out.append((r["book"], r["chapter_no"], state["recent"], list(state["glossary"].values())))
-        return pd.DataFrame(out, columns=["book", "chapter_no", "recent", "glossary"])
 
-    return chapters.groupBy("book").applyInPandas(roll, ROLLED)
+def rolling_memory(chapters: DataFrame) -> DataFrame:
+    """recent and glossary after each chapter (book, chapter_no, summary, glossary), as fold() gives them one by one.
+
+    A term is kept if it is among a book's first 32 by first place, and its entry is the last one so far. So the fold is
+    a window over each term of each book, and no book is gathered; a chapter gets at most 32 rows.
+    """
+    recent = recent_chapters(chapters, ["book"], "chapter_no", "summary").select("book", "chapter_no", "recent")
+    entries = chapters.select("book", "chapter_no", F.posexplode("glossary").alias("pos", "e")).withColumn("term", F.lower("e.source"))
+    first = entries.groupBy("book", "term").agg(F.min(F.struct("chapter_no", "pos")).alias("place"))
+    rank = F.row_number().over(Window.partitionBy("book").orderBy("place"))
+    terms = first.withColumn("rank", rank).where(F.col("rank") <= GLOSSARY)
+    said = entries.groupBy("book", "term", "chapter_no").agg(F.max_by("e", "pos").alias("e"))
+    known = chapters.select("book", "chapter_no").join(terms, "book").where("chapter_no >= place.chapter_no").join(said, ["book", "term", "chapter_no"], "left")
+    so_far = Window.partitionBy("book", "term").orderBy("chapter_no").rowsBetween(Window.unboundedPreceding, 0)
+    latest = known.withColumn("e", F.last("e", ignorenulls=True).over(so_far))
+    lists = latest.groupBy("book", "chapter_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "e"))), lambda x: x["e"]).alias("glossary"))
+    none = F.expr("cast(array() as array<struct<source: string, target: string>>)")
+    return recent.join(lists, ["book", "chapter_no"], "left").withColumn("glossary", F.coalesce("glossary", none))

@@ -6,14 +6,23 @@ mapInPandas; results go to the content-addressed cache, so a task that runs twic
 
 from __future__ import annotations
 
+import json
+import re
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quire.functions.html_tree import lock_structure
+from quire.functions.codecs import read_chapter_memory, read_memory
+from quire.functions.html_tree import collapse, lock_structure, parse
+from quire.functions.text import keeps_source
+from quire.operators.memory import fold_book
 
 Block = dict[str, str]
 Translator = Callable[[list[Block], dict], list[Block]]
@@ -31,12 +40,16 @@ class Cancelled(Exception):
     """The run was cancelled; nothing is retried."""
 
 
+def never() -> bool:
+    return False
+
+
 @dataclass
 class Retry:
     max_retries: int = 3
     delay: int = 5
     sleep: Callable[[float], None] = time.sleep
-    cancelled: Callable[[], bool] = lambda: False
+    cancelled: Callable[[], bool] = never
     waits: list[float] = field(default_factory=list)
 
     def attempts(self, error: Exception) -> int:
@@ -105,24 +118,120 @@ def translate_batch(blocks: list[Block], context: dict, translator: Translator,
         return [b for one in blocks for b in retry.run(lambda one=one: checked([one], translator([one], context), residual))]
 
 
-def translate_batches(batches: DataFrame, translator: Translator, concurrency: int, max_retries: int = 3, delay: int = 5) -> DataFrame:
-    """chapter_path, batch_no, block_id and translated_html; batches have blocks, an array of (id, html).
+@dataclass(frozen=True)
+class Run:
+    """How a run translates: its transform, limits and checks. It goes to the tasks."""
+
+    translator: Translator
+    concurrency: int = 3  # requests of a task side by side
+    max_retries: int = 3
+    delay: int = 5
+    language: str | None = None  # of the check for text that was left as it was; none: no check
+    stopped: Callable[[], bool] = never
+    report: Callable[[int], None] = lambda blocks: None
+    first_memory: Callable[[list[dict]], dict] | None = None  # of a book's first chapters
+    chapter_memory: Callable[[dict, dict], dict] | None = None  # of a chapter and the memory so far
+
+    def residual(self, source: str, translated: str) -> bool:
+        return bool(self.language) and keeps_source(collapse(parse(source).text), collapse(parse(translated).text), self.language)
+
+    def batch(self, blocks: list[Block], context: dict) -> list[Block]:
+        done = translate_batch(blocks, context, self.translator, Retry(self.max_retries, self.delay, cancelled=self.stopped), self.residual if self.language else None)
+        self.report(len(done))
+        return done
+
+    def batches(self, jobs: Iterator[tuple[list[Block], dict]]) -> Iterator[list[Block]]:
+        """Results in order, with at most `concurrency` batches under way."""
+        with ThreadPoolExecutor(self.concurrency) as pool:
+            under_way: deque = deque()
+            try:
+                for job in jobs:
+                    if len(under_way) == self.concurrency:
+                        yield under_way.popleft().result()
+                    under_way.append(pool.submit(self.batch, *job))
+                while under_way:
+                    yield under_way.popleft().result()
+            finally:
+                for left in under_way:
+                    left.cancel()
+
+
+def plain(value: object) -> object:
+    """Rows and arrays as dicts and lists, without nulls."""
+    if isinstance(value, dict):
+        return {k: plain(v) for k, v in value.items() if v is not None}
+    return [plain(v) for v in value] if isinstance(value, (list, tuple, np.ndarray)) else value
+
+
+DONE = "chapter_path string, batch_no long, block_id string, translated_html string"
+
+
+def _done(chapter: str, batch_no: int, blocks: list[Block]) -> pd.DataFrame:
+    return pd.DataFrame([(chapter, batch_no, b["id"], b["html"]) for b in blocks], columns=["chapter_path", "batch_no", "block_id", "translated_html"])
 
-    `concurrency` partitions run side by side, which bounds the requests in flight.
+
+def _job(row: dict, **more: object) -> tuple[list[Block], dict]:
+    context = plain(row.get("context")) or {}
+    return [{"id": b["id"], "html": b["html"]} for b in row["blocks"]], {"chapter": row["chapter_path"], **context, **more}
+
+
+def translate_batches(batches: DataFrame, run: Run, tasks: int | None = None) -> DataFrame:
+    """chapter_path, batch_no, block_id and translated_html; batches have blocks, an array of (id, html), and maybe context, a struct.
+
+    Batches are dealt over `tasks` (by default over all shuffle partitions), so a lost task repeats its own requests
+    only; each task has its requests side by side as the run says.
     """
+    optional = [c for c in ("context",) if c in batches.columns]
+    rows = batches.select("chapter_path", "batch_no", "blocks", *optional)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for row in part.to_dict("records"):
-                blocks = [{"id": b["id"], "html": b["html"]} for b in row["blocks"]]
-                done = translate_batch(blocks, {"chapter": row["chapter_path"]}, translator, Retry(max_retries, delay))
-                yield pd.DataFrame([(row["chapter_path"], row["batch_no"], b["id"], b["html"]) for b in done], columns=["chapter_path", "batch_no", "block_id", "translated_html"])
+            rows = part.to_dict("records")
+            for row, done in zip(rows, run.batches(map(_job, rows)), strict=True):
+                yield _done(row["chapter_path"], row["batch_no"], done)
+
+    dealt = rows.repartition(tasks, "chapter_path", "batch_no") if tasks else rows.repartition("chapter_path", "batch_no")
+    return dealt.mapInPandas(work, DONE)
+
 
-    return batches.select("chapter_path", "batch_no", "blocks").repartition(concurrency).mapInPandas(run, "chapter_path string, batch_no long, block_id string, translated_html string")
+def translate_books(batches: DataFrame, run: Run) -> DataFrame:
+    """As translate_batches(), with a book's memory: a book's chapters follow one another, books go side by side.
+
+    Batches also have book_path, spine_idx, pending_later (whether a later chapter has anything to do) and sources, the
+    chapters of the first memory. Memory is made when the first batch needs it, goes into the context of each batch, and
+    takes in each chapter that later ones can use. A book is one file, so one task can hold its pending blocks.
+    """
+
+    def work(book: pd.DataFrame) -> pd.DataFrame:
+        memory = read_memory(None)
+        rows = book.sort_values(["spine_idx", "batch_no"]).to_dict("records")
+        if run.first_memory and rows:
+            memory = read_memory(json.dumps(run.first_memory(plain(rows[0]["sources"]) or [])))
+        out = []
+        for _, chapter in groupby(rows, key=lambda r: r["spine_idx"]):
+            chapter = list(chapter)
+            done = list(run.batches(_job(r, memory=memory) for r in chapter))
+            out += [_done(r["chapter_path"], r["batch_no"], d) for r, d in zip(chapter, done, strict=True)]
+            if run.chapter_memory and chapter[0]["pending_later"]:
+                text = " ".join(collapse(parse(b["html"]).text) for d in done for b in d)
+                made = run.chapter_memory({"chapter": chapter[0]["chapter_path"], **(plain(chapter[0].get("context")) or {}), "text": text}, memory)
+                memory = fold_book(memory, read_chapter_memory(made))
+        return pd.concat(out) if out else _done("", 0, [])
+
+    return batches.groupBy("book_path").applyInPandas(work, DONE)
 
 
 def marking_translator(blocks: list[Block], context: dict) -> list[Block]:
-    """A deterministic stand-in: texts in upper case inside their markup."""
-    import re
+    """A deterministic stand-in: texts in upper case inside their markup; character references stay as they are."""
+    return [{"id": b["id"], "html": "".join(p if p.startswith(("<", "&")) else p.upper() for p in re.split("(<[^>]*>|&[#a-zA-Z0-9]+;)", b["html"]))} for b in blocks]
+
+
+def listing_memory(sources: list[dict]) -> dict:
+    """A deterministic stand-in for a book's first memory: its chapters' paths as the summary."""
+    return {"bookSummary": ", ".join(s["chapter_path"] for s in sources)}
+
 
-    return [{"id": b["id"], "html": "".join(p if p.startswith("<") else p.upper() for p in re.split("(<[^>]*>)", b["html"]))} for b in blocks]
+def counting_memory(chapter: dict, memory: dict) -> dict:
+    """A deterministic stand-in for a chapter's memory: its length, and its first word as a term."""
+    words = chapter["text"].split()
+    return {"title": chapter["chapter"], "summary": f"{len(words)} words", "glossary": [{"source": words[0], "target": words[0].lower()}] if words else []}

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+import threading
+import time
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.config import Config
-from quire.functions.keys import block_key
+from quire.functions.keys import block_key, job_key
+from quire.functions.labels import error_action
+from quire.functions.numbers import Limits
 from quire.functions.paths import output_path
-from quire.operators import batches, cache, html_blocks
-from quire.operators.translate import Translator, marking_translator, translate_batches
+from quire.operators import batches, blocks, cache, html_blocks, memory
+from quire.operators.translate import Run, Translator, marking_translator, translate_batches, translate_books
 from quire.sources import epub
+from quire.sources.stores import Checkpoints, clear_checkpoint, read_checkpoint
 
 CHAPTER = ["book_path", "spine_idx", "chapter_path"]
+BATCHES_PER_TASK = 16
 
 
 @dataclass
@@ -22,72 +32,232 @@ class Inspection:
     entries: DataFrame
     chapters: DataFrame
     blocks: DataFrame
+    fingerprints: DataFrame
+    elapsed_ms: int
 
 
+class StopFlag:
+    """A file that tells tasks to stop; it lies where all executors see it, as the books do."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self) -> bool:
+        return os.path.exists(self.path)
+
+    def set(self) -> None:
+        os.makedirs(os.path.dirname(self.path), exist_ok=True)
+        open(self.path, "w").close()
+
+    def clear(self) -> None:
+        if os.path.exists(self.path):
+            os.unlink(self.path)
+
+
+@dataclass
 class Engine:
-    """Inspection and translation of books in a folder. Its parts (translator, cache) can be replaced.
+    """Inspection and translation of books in a folder. Its parts (transforms, stores, planner limits, clock) can be replaced.
 
-    A run has a job tag: cancel() interrupts its Spark jobs, and a new run cancels the one before.
+    A run has a job tag and a stop flag: cancel() sets the flag, which tasks ask between requests and before a book is
+    put in place, and interrupts the run's Spark jobs; a new run cancels the one before.
     """
 
-    def __init__(self, spark: SparkSession, cache_path: str, translator: Translator = marking_translator):
-        self.spark, self.cache_path, self.translator = spark, cache_path, translator
-        self.tag: str | None = None
+    spark: SparkSession
+    cache_path: str
+    translator: Translator = marking_translator
+    first_memory: Callable[[list[dict]], dict] | None = None
+    chapter_memory: Callable[[dict, dict], dict] | None = None
+    limits: Limits = field(default_factory=Limits)
+    work_path: str = ""  # of inspections, results and checkpoints
+    clock: Callable[[], float] = time.time
+    tag: str | None = None
+    stop: StopFlag | None = None
 
-    def _begin(self, tag: str) -> None:
+    def __post_init__(self) -> None:
+        self.work_path = self.work_path or f"{self.cache_path.rstrip('/')}-work"
+        self.checkpoint_path = f"{self.work_path}/checkpoints"
+
+    def _begin(self, name: str, output_dir: str) -> tuple[str, StopFlag]:
         self.cancel()
-        self.tag = tag
+        tag = f"{name}-{uuid.uuid4().hex}"
+        self.tag, self.stop = tag, StopFlag(f"{output_dir}/.stop-{tag}")
         self.spark.addTag(tag)
+        return self.tag, self.stop
+
+    def _end(self, tag: str, stop: StopFlag) -> None:
+        self.spark.removeTag(tag)
+        stop.clear()
+        if self.tag == tag:  # no later run has begun
+            self.tag = self.stop = None
 
     def cancel(self) -> None:
-        if self.tag:
-            self.spark.interruptTag(self.tag)
-            self.spark.removeTag(self.tag)
-            self.tag = None
+        """From any thread; the run itself clears its flag when it has ended."""
+        tag, stop = self.tag, self.stop
+        if tag and stop:
+            stop.set()
+            self.spark.interruptTag(tag)
+
+    def _stored(self, df: DataFrame) -> DataFrame:
+        path = f"{self.work_path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def inspect(self, path: str) -> Inspection:
-        """Chapters with title, category and selection, and their blocks."""
-        entries = epub.read_archives(self.spark, path)
-        chapters = epub.chapters(epub.members(entries))
-        blocks = html_blocks.chapter_blocks(chapters.select(*CHAPTER, "html"))
-        return Inspection(entries, html_blocks.chapter_heads(chapters, "chapter_path"), blocks)
+        """Chapters with title, category and selection, and their blocks; archives are read and parsed once."""
+        began = self.clock()
+        entries = self._stored(epub.read_archives(self.spark, path))
+        chapters = self._stored(html_blocks.chapter_heads(epub.chapters(epub.members(entries)), "chapter_path"))
+        found = self._stored(html_blocks.chapter_blocks(chapters.select(*CHAPTER, "html")))
+        return Inspection(entries, chapters, found, epub.read_fingerprints(self.spark, path), int((self.clock() - began) * 1000))
 
-    def _keyed(self, blocks: DataFrame, config: Config) -> DataFrame:
+    def _keyed(self, found: DataFrame, config: Config) -> DataFrame:
         lit = F.lit
         key = block_key(lit(config.api_base_url), lit(config.model), lit(config.target_language), lit(config.locked_glossary), lit(config.residual_quality_check), F.col("chapter_path"), F.col("source_html"))
-        return blocks.withColumn("cache_key", key)
+        return found.withColumn("cache_key", key)
 
     def _cache(self) -> DataFrame:
         try:
             return cache.read_cache(self.spark, self.cache_path).select("cache_key", "translated_html")
-        except Exception as error:  # nothing was cached yet
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], "cache_key string, translated_html string")
+            return self.spark.createDataFrame([], "cache_key string, translated_html string")  # nothing was cached yet
+
+    def job_keys(self, found: Inspection, config: Config) -> DataFrame:
+        """book_path, fingerprint and job_key of each book with its selected chapters."""
+        paths = found.chapters.where("include").groupBy("book_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("spine_idx", "chapter_path"))), lambda c: c["chapter_path"]).alias("paths"))
+        lit = F.lit
+        key = job_key(F.col("fingerprint"), lit(config.api_base_url), lit(config.model), lit(config.target_language), lit(config.bilingual), lit(config.locked_glossary), lit(config.residual_quality_check), F.col("paths"))
+        return found.fingerprints.join(paths, "book_path").select("book_path", "fingerprint", key.alias("job_key"))
+
+    def _planned(self, found: Inspection, pending: DataFrame, config: Config) -> DataFrame:
+        """Batches with their blocks, neighbours in the chapter, title, first chapters of the book, and whether later chapters have anything to do."""
+        plan = batches.plan_batches(pending, CHAPTER, config.chunk_size, self.limits).select(*CHAPTER, "block_idx", "batch_no")
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("block_idx", F.col("cache_key").alias("id"), F.col("source_html").alias("html")))), lambda b: F.struct(b["id"], b["html"]))
+        numbered = pending.join(plan, [*CHAPTER, "block_idx"])
+        ready = numbered.groupBy(*CHAPTER, "batch_no").agg(listed.alias("blocks"), F.min("block_idx").alias("lo"), F.max("block_idx").alias("hi"))
+        near = batches.context_band(found.blocks, ready, CHAPTER, self.limits).groupBy(*CHAPTER, "batch_no").pivot("side", ["before", "after"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "snippet"))), lambda n: n["snippet"]))
+        texts = found.chapters.where("include").join(blocks.memory_texts(found.blocks, CHAPTER), CHAPTER, "left").withColumn("memory_text", F.coalesce("memory_text", F.lit("")))
+        first = memory.memory_sources(texts, ["book_path"]).groupBy("book_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chapter_path", "category", F.col("memory_text").alias("text")))), lambda c: F.struct(c["chapter_path"], c["category"], c["text"])).alias("sources"))
+        last = pending.groupBy("book_path").agg(F.max("spine_idx").alias("last"))
+        glossary = F.nullif(F.lit(config.locked_glossary.strip()), F.lit("")).alias("locked_glossary")
+        joined = ready.join(near, [*CHAPTER, "batch_no"], "left").join(found.chapters.select(*CHAPTER, "title"), CHAPTER).join(first, "book_path", "left").join(last, "book_path")
+        context = F.struct("title", "before", "after", F.lit(config.target_language).alias("language"), glossary)
+        return joined.select(*CHAPTER, "batch_no", "blocks", context.alias("context"), "sources", (F.col("spine_idx") < F.col("last")).alias("pending_later"))
 
     def translate(self, found: Inspection, config: Config, output_dir: str, tag: str = "quire-translate") -> DataFrame:
-        """Translates what the cache lacks, then writes the books; returns book_path, output_path and committed."""
-        self._begin(tag)
-        selected = found.chapters.where("include").select(*CHAPTER)
-        blocks = self._keyed(found.blocks.join(selected, CHAPTER), config)
-        config.require_runnable(selected.count(), blocks.count())
-        # equal blocks of a key are sent once; results are the same
-        pending = cache.pending_blocks(blocks, self._cache()).dropDuplicates(["cache_key"])
-        by = ["book_path", "spine_idx", "chapter_path"]
-        planned = batches.plan_batches(pending, by, config.chunk_size).select(*by, "block_idx", "batch_no")
-        ready = pending.join(planned, [*by, "block_idx"]).groupBy(*by, "batch_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", F.col("cache_key").alias("id"), F.col("source_html").alias("html")))), lambda b: F.struct(b["id"], b["html"])).alias("blocks"))
-        done = translate_batches(ready, self.translator, config.max_concurrent, config.max_retries, config.retry_delay_seconds)
-        cache.write_cache(done.select(F.col("block_id").alias("cache_key"), "translated_html", F.current_timestamp().alias("written_at")), self.cache_path)
-        translated = cache.probe(blocks.drop("translated_html"), self._cache())
-        chapters = found.chapters.where("include").select(*CHAPTER, "html")
-        rendered = html_blocks.render_chapters(chapters, translated, CHAPTER, config.bilingual)
-        outputs = found.entries.select("book_path").distinct().withColumn("output_path", output_path(F.regexp_replace("book_path", "^file:/+", "/"), F.lit(output_dir), F.lit(config.output_suffix)))
-        written = epub.write_books(found.entries, rendered.select("book_path", F.col("chapter_path").alias("member_path"), F.col("rendered").alias("html")), outputs)
-        result = self.spark.createDataFrame(written.collect(), written.schema)  # a row for each book of this run
-        self.cancel_tag()
-        return result
-
-    def cancel_tag(self) -> None:
-        if self.tag:
-            self.spark.removeTag(self.tag)
-            self.tag = None
+        """Translates what the cache lacks, then writes the books; returns book_path, output_path and committed.
+
+        The state is saved as a checkpoint of each book's job at the start, while blocks are done, and at the end, whatever it is. A
+        checkpoint of an earlier run only tells how many blocks were resumed; what is reused comes from the cache.
+        """
+        tag, stop = self._begin(tag, output_dir)
+        states: list[dict] = []
+        store = Checkpoints(self.spark, self.checkpoint_path, self.clock)
+        try:
+            selected = found.chapters.where("include").select(*CHAPTER)
+            keyed = self._keyed(found.blocks.join(selected, CHAPTER), config)
+            counts = keyed.groupBy("book_path").agg(F.count("*").alias("blocks"), F.count_distinct("chapter_path").alias("chapters"))
+            config.require_runnable(selected.count(), keyed.count())
+            # equal blocks of a key are sent once; results are the same
+            pending = self._stored(cache.pending_blocks(keyed, self._cache()))
+            open_blocks = pending.groupBy("book_path").agg(F.count("*").alias("open"))
+            states = self._states(self.job_keys(found, config).join(counts, "book_path").join(open_blocks, "book_path", "left"), output_dir, config)
+            self._save(store, states, "running", force=True)
+            plan = self._stored(self._planned(found, pending.dropDuplicates(["cache_key"]), config))
+            done = self.spark.sparkContext.accumulator(0)
+            run = Run(
+                self.translator, config.max_concurrent, config.max_retries, config.retry_delay_seconds, config.target_language if config.residual_quality_check else None,
+                stop, done.add, self.first_memory, self.chapter_memory,
+            )
+            remembers = self.first_memory or self.chapter_memory
+            work = translate_books(plan, run) if remembers else translate_batches(plan, run, max(1, -(-plan.count() // BATCHES_PER_TASK)))
+            with self._watched(store, states, done):
+                cache.write_cache(work.select(F.col("block_id").alias("cache_key"), "translated_html", F.current_timestamp().alias("written_at")), self.cache_path)
+            translated = cache.probe(keyed.drop("translated_html"), self._cache())
+            chapters = found.chapters.where("include").select(*CHAPTER, "html")
+            rendered = html_blocks.render_chapters(chapters, translated, CHAPTER, config.bilingual)
+            outputs = found.entries.select("book_path").distinct().withColumn("output_path", output_path(F.regexp_replace("book_path", "^file:/+", "/"), F.lit(output_dir), F.lit(config.output_suffix)))
+            written = epub.write_books(found.entries, rendered.select("book_path", "spine_idx", F.col("chapter_path").alias("member_path"), F.col("rendered").alias("html")), outputs, lambda: not stop())
+            result = self._stored(written)
+            self._save(store, states, "cancelled" if stop() else "completed", force=True, done=True)
+            return result
+        except BaseException:
+            self._save(store, states, "cancelled" if stop() else "failed", force=True)
+            raise
+        finally:
+            store.close()
+            self._end(tag, stop)
+
+    def _states(self, jobs: DataFrame, output_dir: str, config: Config) -> list[dict]:
+        """A record for each book's job; cached blocks that an earlier checkpoint already had count as resumed."""
+        states = []
+        for r in jobs.collect():  # a row for each book of the run
+            cached = r["blocks"] - (r["open"] or 0)
+            before = read_checkpoint(self.spark, self.checkpoint_path, r["job_key"]).first()
+            resumed = min(before["completedBlocks"], cached) if before and before["status"] in ("running", "failed", "cancelled") else 0
+            states.append({
+                "jobKey": r["job_key"], "inputFingerprint": r["fingerprint"], "inputPath": r["book_path"], "outputPath": output_dir, "completedFiles": 0, "totalFiles": r["chapters"], "completedBlocks": cached,
+                "totalBlocks": r["blocks"], "cachedBlocks": cached - resumed, "resumedBlocks": resumed, "currentChapter": "",
+            })
+        return states
+
+    def _save(self, store: Checkpoints, states: list[dict], status: str, force: bool = False, done: bool = False) -> None:
+        for state in states:
+            state["status"] = status
+            if done and status == "completed":
+                state |= {"completedBlocks": state["totalBlocks"], "completedFiles": state["totalFiles"]}
+            store.report(dict(state), force)
+
+    def _watched(self, store: Checkpoints, states: list[dict], done) -> Watch:
+        return Watch(lambda: self._progress(store, states, done.value))
+
+    def _progress(self, store: Checkpoints, states: list[dict], n: int) -> None:
+        """Blocks done so far are known for the run; they count for its books in order."""
+        for state in states:
+            room = state["totalBlocks"] - state["cachedBlocks"] - state["resumedBlocks"]
+            state["completedBlocks"] = state["cachedBlocks"] + state["resumedBlocks"] + min(n, room)
+            n -= min(n, room)
+            store.report(dict(state))
+
+    def clear(self, key: str) -> None:
+        """Forgets the checkpoint of a job."""
+        clear_checkpoint(self.spark, self.checkpoint_path, key)
+
+    def retry(self, job: dict, config: Config, output_dir: str) -> tuple[Inspection, DataFrame | None]:
+        """A job of the history again: it is inspected, and translated too if it was a translation and chapters are selected."""
+        found = self.inspect(job["inputPath"])
+        was = "translation" in job.get("phase", "").lower() or any(job.get(c, 0) for c in ("completedBlocks", "cachedBlocks", "resumedBlocks"))
+        ready = was and found.chapters.where("include").limit(1).count() > 0
+        return found, self.translate(found, config, output_dir) if ready else None
+
+    def recover(self, message: str, job: dict, config: Config, output_dir: str) -> tuple[str | None, Config, object]:
+        """(action, settings to go on with, what a retry gave) for an error of a job."""
+        action = self.spark.range(1).select(error_action(F.lit(message))).first()[0]
+        if action == "reduceConcurrency":
+            return action, config.fewer_at_once(), None
+        if action == "retryTranslation":
+            return action, config, self.retry(job, config, output_dir)
+        if action == "retryInspection":
+            return action, config, self.inspect(job["inputPath"])
+        return action, config, None
+
+
+class Watch:
+    """Calls something each second while its block runs."""
+
+    def __init__(self, action: Callable[[], None], seconds: float = 1.0):
+        self.action, self.seconds, self.over = action, seconds, threading.Event()
+
+    def _loop(self) -> None:
+        while not self.over.wait(self.seconds):
+            self.action()
+
+    def __enter__(self) -> Watch:
+        self.thread = threading.Thread(target=self._loop, daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.over.set()
+        self.thread.join()

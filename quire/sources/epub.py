@@ -118,19 +118,21 @@ def write_book(entries: list[tuple[str, bool, bool, bytes]], final: str, should_
     return commit_file(temp, final, should_commit)
 
 
-def write_books(entries: DataFrame, replacements: DataFrame, outputs: DataFrame) -> DataFrame:
+def write_books(entries: DataFrame, replacements: DataFrame, outputs: DataFrame, should_commit: Callable[[], bool] = lambda: True) -> DataFrame:
     """Writes each book with its replaced members (book_path, member_path, html) to its output (book_path, output_path).
 
-    Returns book_path, output_path and committed. Replacements for unknown members are ignored. A second attempt
-    of a task writes the same file again.
+    Returns book_path, output_path and committed. Of replacements for one member that with the largest spine_idx counts (if there is such a
+    column), and those for unknown members are ignored. should_commit() is asked right before a file is put in place. A
+    second attempt of a task writes the same file again.
     """
-    new = replacements.groupBy("book_path", "member_path").agg(F.first("html").alias("html"))
+    order = F.col("spine_idx") if "spine_idx" in replacements.columns else F.col("html")
+    new = replacements.groupBy("book_path", "member_path").agg(F.max_by("html", order).alias("html"))
     overlaid = entries.join(new, ["book_path", "member_path"], "left").withColumn("content", F.coalesce(F.encode("html", "utf-8"), "content")).drop("html").join(outputs, "book_path")
 
     def write(book: pd.DataFrame) -> pd.DataFrame:
         book = book.sort_values("entry_ord")
         rows = list(zip(book["member_path"], book["is_dir"], book["stored"], book["content"], strict=True))
         final = book["output_path"].iloc[0]
-        return pd.DataFrame([(book["book_path"].iloc[0], final, write_book(rows, final))], columns=["book_path", "output_path", "committed"])
+        return pd.DataFrame([(book["book_path"].iloc[0], final, write_book(rows, final, should_commit))], columns=["book_path", "output_path", "committed"])
 
     return overlaid.groupBy("book_path").applyInPandas(write, "book_path string, output_path string, committed boolean")

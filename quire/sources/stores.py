@@ -1,9 +1,16 @@
-"""Stored job records: history, checkpoints, settings."""
+"""Stored job records: history, checkpoints, settings, last paths."""
 
 from __future__ import annotations
 
+import json
+import os
+import time
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+from datetime import datetime
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +78,85 @@ def write_checkpoints(states: DataFrame, path: str) -> None:
 
 def read_checkpoint(spark: SparkSession, path: str, job_key: str) -> DataFrame:
     """The checkpoint of a job, or no row."""
-    lines = spark.read.schema("value string, job_key string").format("text").load(path)
-    return decode_checkpoints(lines.where(F.col("job_key") == job_key).select(F.col("value").alias("json")))
+    try:
+        lines = spark.read.text(f"{path.rstrip('/')}/job_key={job_key}").withColumnRenamed("value", "json")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "json string")
+    return decode_checkpoints(lines.select("json"))
+
+
+def clear_checkpoint(spark: SparkSession, path: str, job_key: str) -> None:
+    """Removes a job's checkpoint; others stay."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/job_key={job_key}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+CHECKPOINT = ", ".join([*(f"{c} string" for c in ("jobKey", "inputFingerprint", "inputPath", "outputPath", "status", "currentChapter", "updatedAtIso8601")), *(f"{c} long" for c in COUNTS)])
+
+
+def new_job_id(clock: Callable[[], float] = time.time) -> str:
+    """Milliseconds since the epoch."""
+    return str(int(clock() * 1000))
+
+
+def iso_time(clock: Callable[[], float] = time.time) -> str:
+    return datetime.fromtimestamp(clock()).isoformat()
+
+
+class Checkpoints:
+    """Saves of one job's state: when forced, after 20 more blocks or after 10 seconds; one writer, in order, so that no older state
+    comes after a newer one. A save that fails doesn't stop those after it."""
+
+    BLOCKS, SECONDS = 20, 10.0
+
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time):
+        self.spark, self.path, self.clock = spark, path, clock
+        self.blocks, self.at = 0, float("-inf")
+        self.writer = ThreadPoolExecutor(1)
+
+    def report(self, state: dict, force: bool = False) -> Future | None:
+        done, now = state.get("completedBlocks", 0), self.clock()
+        if not (force or done - self.blocks >= self.BLOCKS or now - self.at >= self.SECONDS):
+            return None
+        self.blocks, self.at = done, now
+        row = state | {"updatedAtIso8601": iso_time(self.clock)}
+        return self.writer.submit(self._save, row)
+
+    def _save(self, row: dict) -> None:
+        names = [f.split()[0] for f in CHECKPOINT.split(", ")]
+        write_checkpoints(self.spark.createDataFrame([tuple(row.get(n) for n in names)], CHECKPOINT), self.path)
+
+    def close(self) -> None:
+        """Waits for what is still to be written."""
+        self.writer.shutdown(wait=True)
+
+
+def load_session(path: str) -> dict[str, str]:
+    """inputPath and outputDirectory of the last session; what isn't readable is empty."""
+    try:
+        read = json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        read = {}
+    read = read if isinstance(read, dict) else {}
+    return {name: read[name] if isinstance(read.get(name), str) else "" for name in ("inputPath", "outputDirectory")}
+
+
+def save_session(path: str, input_path: str, output_directory: str) -> None:
+    Path(path).write_text(json.dumps({"inputPath": input_path, "outputDirectory": output_directory}), encoding="utf-8")
+
+
+def accept_input(path: str) -> tuple[str, str] | None:
+    """(path, its folder as the output directory) of a trimmed path to a book; None for anything else."""
+    trimmed = path.strip()
+    return (trimmed, os.path.dirname(trimmed)) if trimmed.lower().endswith(".epub") else None
+
+
+def canonical_path(path: str, windows: bool = os.name == "nt") -> str:
+    """Trimmed, absolute and normal; in lower case on Windows."""
+    full = os.path.normpath(os.path.abspath(path.strip()))
+    return full.lower() if windows else full
 
 
 def load_settings(path: str) -> Config:
