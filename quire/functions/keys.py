@@ -38,3 +38,9 @@ def input_fingerprint(path: Column, size: Column, modified: Column) -> Column:
 def key_prefix(key: Column) -> Column:
     """Partition of the cache that holds a key."""
     return F.substring(key, 1, 2)
+
+
+def same_map(a: Column, b: Column) -> Column:
+    """Whether two maps have the same keys with the same values, in whatever order."""
+    entries = lambda m: F.array_sort(F.map_entries(m))
+    return entries(a) == entries(b)

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions.text import uni_trim, utf16_len
 
-TINY_TEXT, TINY_HTML, TINY_BUDGET, TINY_EXTRA, BLOCK_EXTRA = 80, 360, 48, 24, 96
+class Limits(NamedTuple):
+    """Thresholds of the batch planner."""
+
+    tiny_text: int = 80
+    tiny_html: int = 360
+    tiny_budget: int = 48
+    tiny_extra: int = 24
+    block_extra: int = 96
+    before: int = 2  # neighbours of a batch
+    after: int = 1
+    context_chars: int = 240
 
 
-def is_tiny(text: Column | str, html: Column | str) -> Column:
-    return (utf16_len(text) <= TINY_TEXT) & (utf16_len(html) <= TINY_HTML)
+def is_tiny(text: Column | str, html: Column | str, limits: Limits = Limits()) -> Column:
+    return (utf16_len(text) <= limits.tiny_text) & (utf16_len(html) <= limits.tiny_html)
 
 
-def block_budget(text: Column | str, html: Column | str) -> Column:
+def block_budget(text: Column | str, html: Column | str, limits: Limits = Limits()) -> Column:
     """Characters that a block costs in a batch."""
     t, h = utf16_len(text), utf16_len(html)
-    return F.when(is_tiny(text, html), F.greatest(F.lit(TINY_BUDGET), t + TINY_EXTRA)).otherwise(F.greatest(h, t) + BLOCK_EXTRA)
+    return F.when(is_tiny(text, html, limits), F.greatest(F.lit(limits.tiny_budget), t + limits.tiny_extra)).otherwise(F.greatest(h, t) + limits.block_extra)
 
 
 def token_estimate(chars: Column | str) -> Column:
@@ -77,6 +89,11 @@ def blocks_per_minute(blocks: Column, elapsed_ms: Column) -> Column:
     return F.when((blocks > 0) & (elapsed_ms > 0), blocks / (elapsed_ms / 60000))
 
 
+def completed_of(completed: Column, job_total: Column, total: Column) -> Column:
+    """Blocks that count as done: at most the job's total, or the run's where the job has none."""
+    return F.least(F.coalesce(completed, F.lit(0)), F.coalesce(job_total, total))
+
+
 def remaining_ms(total: Column, completed: Column, speed: Column) -> Column:
     return F.round(F.try_divide(F.greatest(total - completed, F.lit(0)), speed) * 60000).cast("long")
 

@@ -5,6 +5,8 @@ Lengths count UTF-16 units; white space is the Unicode set, which neither trim()
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,10 +48,15 @@ def cut_units(x: Column | str, n: int) -> Column:
     return F.when(F.regexp_count(start, F.lit(ASTRAL)) == 0, start).otherwise(F.regexp_replace(parted, f"({ASTRAL})\uFFFF", "$1"))
 
 
+def shorten(x: Column | str, n: int) -> Column:
+    """Beyond n, cut to n with three dots."""
+    x = _col(x)
+    return F.when(utf16_len(x) <= n, x).otherwise(F.concat(cut_units(x, n - 3), F.lit("...")))
+
+
 def ellipsis(x: Column | str, n: int) -> Column:
     """Collapsed; beyond n, cut to n with three dots."""
-    c = collapse(x)
-    return F.when(utf16_len(c) <= n, c).otherwise(F.concat(cut_units(c, n - 3), F.lit("...")))
+    return shorten(collapse(x), n)
 
 
 def strip_tags(x: Column | str) -> Column:
@@ -70,20 +77,46 @@ def longest_english_run(x: Column | str) -> Column:
     return F.array_max(F.transform(runs, english_words))
 
 
+#: Names and codes of languages in which text in the source's script is suspicious.
+RESIDUAL_LANGUAGES = tuple("zh chinese 中文 汉语 漢語 ja japanese 日本語 日语 日語 ko korean 한국어 韩语 韓語 ru russian русский 俄语 俄語 ar arabic العربية 阿拉伯语 阿拉伯語".split())
+
+
 def checks_residual(language: Column | str) -> Column:
     """Whether text in the source's script is suspicious in this target language (by substring)."""
-    # Names and codes of languages.
-    names = "zh chinese 中文 汉语 漢語 ja japanese 日本語 日语 日語 ko korean 한국어 韩语 韓語 ru russian русский 俄语 俄語 ar arabic العربية 阿拉伯语 阿拉伯語"
-    return F.lower(uni_trim(language)).rlike("|".join(names.split()))
+    return F.lower(uni_trim(language)).rlike("|".join(RESIDUAL_LANGUAGES))
 
 
-def suspicious_residual(source: Column | str, translated: Column | str, language: Column | str) -> Column:
-    """Whether a translation seems to have kept its source's words."""
+def residual_counts(source: Column | str, translated: Column | str) -> Column:
+    """What the residual rule counts, once for each pair: a struct of source_words, words, letters, others and run."""
     text = collapse(translated)
-    words, letters, others = english_words(text), F.regexp_count(text, F.lit("[A-Za-z]")), non_latin_chars(text)
+    return F.struct(
+        english_words(source).alias("source_words"), english_words(text).alias("words"), F.regexp_count(text, F.lit("[A-Za-z]")).alias("letters"), non_latin_chars(text).alias("others"), longest_english_run(text).alias("run")
+    )
+
+
+def suspicious_counts(counts: Column, language: Column | str) -> Column:
+    """The residual rule over residual_counts()."""
+    letters, others = counts["letters"], counts["others"]
     share = F.coalesce(F.try_divide(letters, letters + others), F.lit(0.0))
-    left = (longest_english_run(text) >= 7) | ((letters >= 40) & (others == 0)) | ((words >= 10) & (share >= 0.65))
-    return checks_residual(language) & (english_words(source) >= 6) & (words >= 7) & left
+    left = (counts["run"] >= 7) | ((letters >= 40) & (others == 0)) | ((counts["words"] >= 10) & (share >= 0.65))
+    return checks_residual(language) & (counts["source_words"] >= 6) & (counts["words"] >= 7) & left
+
+
+def suspicious_residual(source: Column | str, translated: Column | str, language: Column | str) -> Column:
+    """Whether a translation seems to have kept its source's words."""
+    return suspicious_counts(residual_counts(source, translated), language)
+
+
+def keeps_source(source: str, translated: str, language: str) -> bool:
+    """suspicious_residual() of one pair, for a task that translates."""
+    if not any(name in language.strip().lower() for name in RESIDUAL_LANGUAGES):
+        return False
+    words = lambda t: len(re.findall(ENGLISH_WORD, t))
+    n, letters, others = words(translated), len(re.findall("[A-Za-z]", translated)), len(re.findall(NON_LATIN, translated))
+    if words(source) < 6 or n < 7:
+        return False
+    run = max(map(words, re.split(NON_LATIN, translated)))
+    return run >= 7 or (letters >= 40 and not others) or (n >= 10 and letters >= 0.65 * (letters + others))
 
 
 def _compact(x: Column | str) -> Column:

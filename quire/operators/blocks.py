@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import collapse, ellipsis, english_words, strip_tags, uni_trim, utf16_len
+from quire.functions.text import collapse, english_words, shorten, strip_tags, uni_trim, utf16_len
 
 PREVIEW_BLOCKS, EXCERPT_PARTS, MEMORY_CHARS = 12, 8, 2400
 NO_TEXT = "No readable text found."
@@ -16,9 +16,9 @@ def line_blocks(documents: DataFrame, text: str = "text") -> DataFrame:
 
     No shuffle: a document's lines stay in one row until they are kept and numbered.
     """
-    kept = F.filter(F.split(F.col(text), "\n"), lambda line: collapse(line) != "")
+    kept = F.filter(F.transform(F.split(F.col(text), "\n"), collapse), lambda line: line != "")
     others = [c for c in documents.columns if c != text]
-    rows = documents.select(*others, F.posexplode(F.transform(kept, collapse)).alias("block_idx", "source_text"))
+    rows = documents.select(*others, F.posexplode(kept).alias("block_idx", "source_text"))
     return rows.withColumn("block_id", F.concat(F.lit("p-"), (F.col("block_idx") + 1).cast("string")))
 
 
@@ -60,6 +60,15 @@ def excerpts(blocks: DataFrame, by: list[str], html: str = "translated_html") ->
     return first.groupBy(*by).agg(ordered_texts("plain", "block_idx").alias("excerpt"))
 
 
+def line_memory_texts(documents: DataFrame, text: str = "text", limit: int = MEMORY_CHARS) -> DataFrame:
+    """memory_texts() of chapters whose blocks are the lines of a text, with all other columns, and without a shuffle."""
+    others = [c for c in documents.columns if c != text]
+    lines = F.filter(F.transform(F.split(F.col(text), "\n"), collapse), lambda line: line != "")
+    # one row at a time: the joined lines are made once and then shortened
+    joined = documents.select(*others, F.explode(F.array(F.array_join(lines, " "))).alias("memory_text"))
+    return joined.where("memory_text <> ''").withColumn("memory_text", shorten("memory_text", limit))
+
+
 def memory_texts(blocks: DataFrame, by: list[str], prefer_translated: bool = False, limit: int = MEMORY_CHARS) -> DataFrame:
     """memory_text: a chapter's text on one line, cut to the limit.
 
@@ -69,7 +78,7 @@ def memory_texts(blocks: DataFrame, by: list[str], prefer_translated: bool = Fal
     kept = blocks.withColumn("memory", collapse(text)).where("memory <> ''")
     before = F.coalesce(F.sum(utf16_len("memory") + 1).over(Window.partitionBy(*by).orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = kept.withColumn("before", before).where(F.col("before") <= limit + 1)
-    return near.groupBy(*by).agg(ellipsis(ordered_texts("memory", "block_idx", separator=" "), limit).alias("memory_text"))
+    return near.groupBy(*by).agg(shorten(ordered_texts("memory", "block_idx", separator=" "), limit).alias("memory_text"))
 
 
 def chapter_totals(blocks: DataFrame, by: list[str]) -> DataFrame:
@@ -77,10 +86,16 @@ def chapter_totals(blocks: DataFrame, by: list[str]) -> DataFrame:
     return blocks.groupBy(*by).agg(F.count("*").alias("n_blocks"), F.count("translated_html").alias("n_translated"), F.sum(utf16_len("source_text")).cast("long").alias("n_chars"))
 
 
-def preview_rows(chapters: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
-    """Chapters with their block counts; a lone placeholder if there are none."""
+def preview_rows(chapters: DataFrame, totals: DataFrame, by: list[str], placeholder: dict | None = None) -> DataFrame:
+    """Chapters with their block counts; if there are none, one row with the values of `placeholder` (others null, counts 0)."""
     rows = chapters.join(totals, by, "left").withColumns({"block_count": F.coalesce("n_blocks", F.lit(0)), "translated_block_count": F.coalesce("n_translated", F.lit(0))})
-    return rows.drop("n_blocks", "n_translated", "n_chars")
+    rows = rows.drop("n_blocks", "n_translated", "n_chars")
+    if placeholder is None:
+        return rows
+    values = {"block_count": 0, "translated_block_count": 0} | placeholder
+    lone = chapters.sparkSession.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
+    none = chapters.limit(1).agg((F.count("*") == 0).alias("none"))
+    return rows.unionByName(lone.join(none, F.col("none")).drop("none"))
 
 
 def smallest_chapter(chapters: DataFrame, by: list[str]) -> DataFrame:

@@ -38,8 +38,9 @@ def pending_blocks(blocks: DataFrame, cache: DataFrame) -> DataFrame:
 def pending_chapters(probed: DataFrame, book: list[str], order: str) -> DataFrame:
     """has_pending of each chapter, and pending_later: whether a later chapter of the book has any."""
     chapters = probed.groupBy(*book, order).agg(F.bool_or("pending").alias("has_pending"))
-    later = Window.partitionBy(*book).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return chapters.withColumn("pending_later", F.coalesce(F.bool_or("has_pending").over(later), F.lit(False)))
+    # the last pending chapter of each book answers for all before it, so no book is put in order
+    last = chapters.where("has_pending").groupBy(*book).agg(F.max(order).alias("last_pending"))
+    return chapters.join(last, book, "left").withColumn("pending_later", F.coalesce(F.col(order) < F.col("last_pending"), F.lit(False))).drop("last_pending")
 
 
 def overlay(base: DataFrame, changes: DataFrame, on: list[str], column: str, change: str) -> DataFrame:

@@ -68,6 +68,31 @@ def run_metrics(steps: DataFrame, by: list[str]) -> DataFrame:
     return totals.withColumns({"speed": speed, "left_ms": remaining_ms(F.col("blocks") + F.col("steps"), F.col("blocks"), speed), "took": duration_label(F.col("elapsed_ms"))})
 
 
+class Unset:
+    """Says that copy_with() leaves a column as it is; None sets it to null."""
+
+
+UNSET = Unset()
+
+
+def copy_with(jobs: DataFrame, **changes: object) -> DataFrame:
+    """Records with some columns set: to a column or value, to null (None), or left as they are (UNSET)."""
+    kinds = {f.name: f.dataType for f in jobs.schema.fields}
+    set_to = {n: (v if isinstance(v, Column) else F.lit(v)).cast(kinds[n]) for n, v in changes.items() if v is not UNSET}
+    return jobs.withColumns(set_to) if set_to else jobs
+
+
+def with_checkpoints(jobs: DataFrame, checkpoints: DataFrame, key: str) -> DataFrame:
+    """Jobs and resumed: whether there is a checkpoint of their key."""
+    known = checkpoints.select(key).distinct().withColumn("resumed", F.lit(True))
+    return jobs.join(known, key, "left").withColumn("resumed", F.coalesce("resumed", F.lit(False)))
+
+
+def find_jobs(wanted: DataFrame, jobs: DataFrame) -> DataFrame:
+    """For each id of `wanted` the first record with it; ids without a record are left out."""
+    return keep_first(jobs.join(wanted.select("id").distinct(), "id", "left_semi"), "id", ["ord"])
+
+
 def find_job(jobs: DataFrame, job_id: str) -> DataFrame:
     """The first record with this id: the current job before the history."""
     return jobs.where(F.col("id") == job_id).orderBy("ord").limit(1)
