@@ -6,13 +6,18 @@ blocks; events are job steps of a user; pages are archive members.
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import codecs, keys, labels, numbers, paths, text
 from quire.operators import batches, blocks, cache, history, html_blocks, memory, translate
+from quire.sources import epub
 from quire.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +36,20 @@ def query(sql: str | None = None):
     return register
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new local path that all executors see: below spark.checkpoint.dir; only where that is unset, in a temporary folder (local sessions)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = os.path.join(re.sub("^file:/+", "/", base) if base else tempfile.mkdtemp(prefix="quire-"), f"{name}-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    return folder
+
+
+def _escaped(x):
+    return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def document_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = blocks.line_blocks(table(spark, d, "documents").select("doc_id", "source", "text"))
     return rows.withColumns({"block_idx": F.col("block_idx").cast("long"), "source_html": F.concat(F.lit("<p>"), F.col("source_text"), F.lit("</p>"))})
@@ -144,19 +163,54 @@ def href_resolve(spark, d):
     return table(spark, d, "pages").select("page_id", paths.resolve_href(F.lit("OPS"), href).alias("member_path"))
 
 
-@query(
-    """WITH m AS (SELECT 'p' || CAST(page_id AS VARCHAR) AS id, url FROM pages), s AS (SELECT doc_id AS spine_idx, 'p' || CAST(doc_id % 400 AS VARCHAR) AS idref FROM documents)
-    SELECT s.spine_idx, m.id, m.url, (SELECT count(*) FROM s) AS total_files FROM s JOIN m ON s.idref = m.id"""
-)
+def package_books(spark: SparkSession, d: str) -> DataFrame:
+    """Archive entries of books of at most 50 documents (by doc_id), as archives are read; every seventh item has no member, and a style sheet is in the spine too."""
+    rows = table(spark, d, "documents").select((F.floor(F.col("doc_id") / 50)).cast("string").alias("book_path"), "doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("item"), _escaped(F.col("text")).alias("text"))
+    html = F.concat(F.lit("<html><body><p>"), "text", F.lit("</p></body></html>"))
+    members = rows.where("doc_id % 7 <> 6").select("book_path", F.concat(F.lit("OPS/"), "item", F.lit(".xhtml")).alias("member_path"), (F.col("doc_id") % 50 + 3).cast("int").alias("entry_ord"), html.alias("text"))
+    listed = rows.groupBy("book_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]).alias("items"))  # 50 at most
+    item = lambda i: F.concat(F.lit('<item id="'), i, F.lit('" href="'), i, F.lit('.xhtml"/>'))
+    ref = lambda i: F.concat(F.lit('<itemref idref="'), i, F.lit('"/>'))
+    opf = F.concat(F.lit('<package><manifest><item id="css" href="s.css"/>'), F.array_join(F.transform("items", item), ""), F.lit('</manifest><spine><itemref idref="css"/>'), F.array_join(F.transform("items", ref), ""), F.lit("</spine></package>"))
+    container = '<container><rootfiles><rootfile full-path="OPS/content.opf"/></rootfiles></container>'
+    entry = lambda path, k, content: F.struct(F.lit(path).alias("m"), F.lit(k).alias("k"), content.alias("t"))
+    head = listed.select("book_path", F.explode(F.array(
+        entry("mimetype", 0, F.lit("application/epub+zip")), entry(epub.CONTAINER, 1, F.lit(container)), entry("OPS/content.opf", 2, opf),
+    )).alias("x")).select("book_path", F.col("x.m").alias("member_path"), F.col("x.k").alias("entry_ord"), F.col("x.t").alias("text"))
+    return head.unionByName(members).select("book_path", "member_path", "entry_ord", F.lit(False).alias("is_dir"), F.lit(False).alias("stored"), F.encode("text", "utf-8").alias("content"))
+
+
+PACKAGED = """p AS (SELECT CAST(doc_id // 50 AS VARCHAR) AS book_path, doc_id, 'OPS/c' || CAST(doc_id AS VARCHAR) || '.xhtml' AS chapter_path, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS spine_idx,
+    count(*) OVER (PARTITION BY doc_id // 50) AS total_files, text FROM documents)"""
+
+
+@query(f"WITH {PACKAGED} SELECT book_path, CAST(spine_idx AS BIGINT) AS spine_idx, chapter_path, CAST(total_files AS BIGINT) AS total_files, sha256('<html><body><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p></body></html>') AS html_sha256 FROM p WHERE doc_id % 7 <> 6")
 def spine_manifest_join(spark, d):
-    manifest = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), "url")
-    spine = table(spark, d, "documents").select(F.col("doc_id").alias("spine_idx"), F.concat(F.lit("p"), (F.col("doc_id") % 400).cast("string")).alias("idref"))
-    return spine.join(manifest, spine["idref"] == manifest["id"]).select("spine_idx", "id", "url").withColumn("total_files", F.lit(spine.count()).cast("long"))
+    rows = epub.chapters(epub.members(package_books(spark, d)))
+    return rows.select("book_path", F.col("spine_idx").cast("long"), "chapter_path", "total_files", F.sha2("html", 256).alias("html_sha256"))
 
 
-@query("SELECT CAST(user_id AS BIGINT) AS item_id, arg_max(event_type, event_id) AS href FROM events GROUP BY 1")
+@query("SELECT CAST(user_id AS VARCHAR) AS book_path, event_type AS item_id, 'OPS/' || CAST(max(event_id) AS VARCHAR) || '.xhtml' AS member_path FROM events GROUP BY user_id, event_type")
 def manifest_last_wins(spark, d):
-    return table(spark, d, "events").groupBy(F.col("user_id").cast("long").alias("item_id")).agg(F.max_by("event_type", "event_id").alias("href"))
+    """A user's events as the items of a package document; of equal ids the last counts."""
+    item = lambda e: F.concat(F.lit('<item id="'), e["event_type"], F.lit('" href="'), e["event_id"].cast("string"), F.lit('.xhtml"/>'))
+    events = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), item), "").alias("items"))
+    opf = events.select(F.col("user_id").cast("string").alias("book_path"), F.lit("OPS/content.opf").alias("opf_path"), F.concat(F.lit("<package><manifest>"), "items", F.lit("</manifest></package>")).alias("opf"))
+    return epub.manifests(opf)
+
+
+@query(f"WITH {PACKAGED} SELECT book_path, chapter_path, CASE WHEN doc_id % 2 = 0 THEN sha256('<html><body><p>' || CAST(doc_id AS VARCHAR) || '</p></body></html>') ELSE sha256('<html><body><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p></body></html>') END AS html_sha256 FROM p WHERE doc_id % 7 <> 6")
+def zip_round_trip(spark, d):
+    """Books written as archives with every second chapter replaced, and read back."""
+    folder = shared_folder(spark, "zip")
+    entries = package_books(spark, d)
+    even = entries.where("entry_ord >= 3").select("book_path", "member_path", F.regexp_extract("member_path", "(\\d+)", 1).alias("n")).where("n % 2 = 0")
+    new = even.select("book_path", "member_path", F.concat(F.lit("<html><body><p>"), "n", F.lit("</p></body></html>")).alias("html"))
+    outputs = entries.select("book_path").distinct().withColumn("output_path", F.concat(F.lit(folder), F.lit("/"), "book_path", F.lit(".epub")))
+    written = epub.write_books(entries, new, outputs)
+    written.where("committed").count()  # the archives are the result
+    rows = epub.chapters(epub.members(epub.read_archives(spark, f"file://{folder}")))
+    return rows.select(F.regexp_extract("book_path", "([^/]*)[.]epub$", 1).alias("book_path"), "chapter_path", F.sha2("html", 256).alias("html_sha256"))
 
 
 @query(f"WITH {BLOCKS}, {CHAPTERS} SELECT source, doc_id, chapter_path, category, CASE category WHEN 'content' THEN 'Content' WHEN 'frontMatter' THEN 'Front matter' WHEN 'backMatter' THEN 'Back matter' WHEN 'reference' THEN 'Reference' ELSE 'Ancillary' END AS label FROM c")
@@ -242,10 +296,16 @@ def response_join(spark, d):
     SELECT o.*, t.n_translated FROM o JOIN t USING (doc_id)"""
 )
 def write_back_overlay(spark, d):
+    """One probe gives both the text that stands in the end and the number of hits of its document."""
+    rows = document_blocks(spark, d).withColumn("cache_key", F.sha2("source_text", 256))
+    hits = cache.probe(rows, cached(spark, d)).select("doc_id", "block_idx", F.coalesce("translated_html", "source_text").alias("final"), "translated_html")
+    return hits.select("doc_id", "block_idx", "final", F.count("translated_html").over(Window.partitionBy("doc_id")).alias("n_translated"))
+
+
+@query(f"WITH {BLOCKS}, {CACHE} SELECT b.doc_id, b.block_idx, coalesce(k.translated_html, b.source_text) AS final FROM b LEFT JOIN k ON sha256(b.source_text) = k.cache_key")
+def block_overlay(spark, d):
     rows = document_blocks(spark, d).withColumns({"cache_key": F.sha2("source_text", 256), "final": F.col("source_text")})
-    done = cache.overlay(rows, cached(spark, d), ["cache_key"], "final", "translated_html")
-    totals = blocks.chapter_totals(cache.probe(rows, cached(spark, d)), ["doc_id"]).select("doc_id", "n_translated")
-    return done.join(totals, "doc_id").select("doc_id", "block_idx", "final", "n_translated")
+    return cache.overlay(rows, cached(spark, d), ["cache_key"], "final", "translated_html").select("doc_id", "block_idx", "final")
 
 
 @query(
@@ -276,6 +336,12 @@ def translated_excerpt(spark, d):
 
 @query(f"WITH {BLOCKS}, t AS (SELECT doc_id, string_agg(source_text, ' ' ORDER BY block_idx) AS t FROM b GROUP BY 1) SELECT doc_id, CASE WHEN length(t) <= 2400 THEN t ELSE t[1:2397] || '...' END AS memory_text FROM t")
 def memory_text(spark, d):
+    return blocks.line_memory_texts(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query(f"WITH {BLOCKS}, t AS (SELECT doc_id, string_agg(source_text, ' ' ORDER BY block_idx) AS t FROM b GROUP BY 1) SELECT doc_id, CASE WHEN length(t) <= 2400 THEN t ELSE t[1:2397] || '...' END AS memory_text FROM t")
+def memory_text_blocks(spark, d):
+    """As memory_text, from exploded blocks."""
     return blocks.memory_texts(document_blocks(spark, d), ["doc_id"])
 
 
@@ -289,7 +355,7 @@ def memory_text(spark, d):
     SELECT source, place, chapter_path, category, memory_text FROM w JOIN t USING (doc_id)"""
 )
 def memory_sources(spark, d):
-    rows = chapters(spark, d).join(blocks.memory_texts(document_blocks(spark, d), ["doc_id"]), "doc_id", "left").withColumn("memory_text", F.coalesce("memory_text", F.lit("")))
+    rows = chapters(spark, d).join(blocks.line_memory_texts(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "left").withColumn("memory_text", F.coalesce("memory_text", F.lit("")))
     return memory.memory_sources(rows, ["source"]).withColumn("place", F.col("place").cast("long"))
 
 
@@ -416,8 +482,10 @@ def longest_english_run(spark, d):
     SELECT doc_id, block_idx, language, language <> 'English' AND sw >= 6 AND w >= 7 AND (run >= 7 OR (letters >= 40 AND han = 0) OR (w >= 10 AND coalesce(letters / nullif(letters + han, 0), 0) >= 0.65)) AS suspicious FROM y"""
 )
 def residual_flag(spark, d):
-    rows = mixed_blocks(spark, d).withColumn("language", F.explode(F.array(*map(F.lit, ["Chinese", "English", "Hungarian", " 日本語 "]))))
-    return rows.select("doc_id", "block_idx", "language", text.suspicious_residual("source_text", "mixed", "language").alias("suspicious"))
+    """Each block is counted once, and judged for each language."""
+    counted = mixed_blocks(spark, d).select("doc_id", "block_idx", text.residual_counts("source_text", "mixed").alias("counts"))
+    told = [F.struct(F.lit(x).alias("language"), text.suspicious_counts(F.col("counts"), F.lit(x)).alias("suspicious")) for x in ("Chinese", "English", "Hungarian", " 日本語 ")]
+    return counted.select("doc_id", "block_idx", F.explode(F.array(*told)).alias("x")).select("doc_id", "block_idx", "x.*")
 
 
 @query(
@@ -486,15 +554,17 @@ def backoff(spark, d):
     return rows.select("attempt", "delay", "status", numbers.retry_delay(F.col("status"), F.lit(None).cast("long"), F.col("delay"), F.col("attempt")).alias("seconds"), numbers.max_attempts(F.col("status"), F.lit(3)).cast("long").alias("attempts"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct([t FOR t IN regexp_split_to_array(lower(string_split(text, chr(10))[1]), '\\s+') IF t <> ''])), ' ') AS tokens FROM documents")
+TOKENS = "SELECT doc_id, array_to_string(list_sort(list_distinct([t FOR t IN regexp_split_to_array(lower(text), '\\s+') IF t <> ''])), ' ') AS tokens FROM documents"
+
+
+@query(TOKENS)
 def token_set(spark, d):
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.token_set(first)), " ").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.token_set("text")), " ").alias("tokens"))
 
 
-@query()
+@query(TOKENS)
 def token_set_text(spark, d):
-    """As token_set, over whole texts."""
+    """As token_set."""
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.token_set("text")), " ").alias("tokens"))
 
 
@@ -539,18 +609,18 @@ def workflow_step(spark, d):
     f"""WITH {JOBS}, x AS (SELECT id, min(ord) AS ord FROM j GROUP BY 1) SELECT j.id, j.ord, CASE WHEN j.ord % 2 = 0 THEN NULL ELSE j.status END AS label, k.ord IS NOT NULL AS resumed FROM j JOIN x ON j.id = x.id AND j.ord = x.ord LEFT JOIN (SELECT DISTINCT event_id AS ord FROM events WHERE event_id % 3 = 0) k ON k.ord = j.ord"""
 )
 def job_lookup(spark, d):
-    first = history.keep_first(jobs(spark, d), "id", ["ord"])
-    checkpoints = table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("ord"), F.lit(True).alias("found"))
-    joined = first.join(checkpoints, "ord", "left")
-    return joined.select("id", "ord", F.when(F.col("ord") % 2 == 0, F.lit(None)).otherwise(F.col("status")).alias("label"), F.coalesce("found", F.lit(False)).alias("resumed"))
+    rows = jobs(spark, d)
+    first = history.find_jobs(rows.select("id"), rows)
+    resumed = history.with_checkpoints(first, table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("ord")), "ord")
+    told = history.copy_with(resumed, status=F.when(F.col("ord") % 2 == 1, F.col("status")), phase=history.UNSET)
+    return told.select("id", "ord", F.col("status").alias("label"), "resumed")
 
 
 @query("SELECT doc_id, doc_id % 3 <> 1 AS equal FROM documents")
 def attr_map_equal(spark, d):
     left = F.create_map(F.lit("class"), F.lit("lead"), F.lit("id"), F.col("doc_id").cast("string"))
     right = F.create_map(F.lit("id"), F.col("doc_id").cast("string"), F.lit("class"), F.when(F.col("doc_id") % 3 == 1, "other").otherwise("lead"))
-    same = lambda m: F.array_sort(F.map_entries(m))
-    return table(spark, d, "documents").select("doc_id", (same(left) == same(right)).alias("equal"))
+    return table(spark, d, "documents").select("doc_id", keys.same_map(left, right).alias("equal"))
 
 
 @query(f"WITH {BLOCKS}, x AS (SELECT DISTINCT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark) SELECT doc_id, block_idx FROM b WHERE source_text NOT IN (SELECT t FROM x)")
@@ -617,7 +687,10 @@ def message_content(spark, d):
     return rows.select("conv_id", "turn", codecs.message_content(F.when(F.col("turn") % 2 == 0, whole).otherwise(parts)).alias("content"))
 
 
-@query()
+@query(
+    """SELECT conv_id, '{' || CASE WHEN conv_id % 2 = 0 THEN '"context":{"title":"T"},' ELSE '' END || '"blocks":[' || string_agg('{"id":"p-' || CAST(turn AS VARCHAR) || '","html":' || CAST(to_json('<p>' || text || '</p>') AS VARCHAR) || '}', ',' ORDER BY turn) || ']}' AS payload
+    FROM conversations GROUP BY 1"""
+)
 def payload_json(spark, d):
     rows = turns(spark, d).withColumn("id", F.concat(F.lit("p-"), F.col("block_idx").cast("string")))
     lists = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "id", F.col("source_html").alias("html")))), lambda b: F.struct(b["id"], b["html"])).alias("blocks"))
@@ -625,18 +698,30 @@ def payload_json(spark, d):
     return lists.select("conv_id", codecs.batch_payload(F.col("blocks"), context).alias("payload"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS chapter_path, 'p-' || CAST(turn AS VARCHAR) AS block_id, upper(text) AS translated FROM conversations WHERE NOT regexp_matches(text, '[<>&ß]')")
+def _unescaped(x):
+    return F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS chapter_path, 'p-' || CAST(turn AS VARCHAR) AS block_id, upper(replace(text, 'ß', 'SS')) AS translated FROM conversations")
 def translate_fake(spark, d):
-    rows = turns(spark, d).where("not source_text rlike '[<>&ß]'").withColumn("chapter_path", F.col("conv_id").cast("string"))
+    rows = turns(spark, d).withColumns({"chapter_path": F.col("conv_id").cast("string"), "source_html": F.concat(F.lit("<p>"), _escaped(F.col("source_text")), F.lit("</p>"))})
     planned = batches.plan_batches(rows, ["chapter_path"], CHUNK)
     ready = rows.join(planned.drop("cost"), ["chapter_path", "block_idx"]).groupBy("chapter_path", "batch_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", F.concat(F.lit("p-"), F.col("block_idx").cast("string")).alias("id"), F.col("source_html").alias("html")))), lambda b: F.struct(b["id"], b["html"])).alias("blocks"))
-    done = translate.translate_batches(ready, translate.marking_translator, 3)
-    return done.select("chapter_path", "block_id", F.regexp_replace("translated_html", "^<p>|</p>$", "").alias("translated"))
+    done = translate.translate_batches(ready, translate.Run(translate.marking_translator))
+    return done.select("chapter_path", "block_id", _unescaped(F.regexp_replace("translated_html", "^<p>|</p>$", "")).alias("translated"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS book, turn AS chapter_no, coalesce(lag(left(text, 20)) OVER w || '/', '') || left(text, 20) AS recent FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query(
+    """WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS book, turn AS chapter_no, text, string_split(text, ' ')[1] AS word FROM conversations),
+    r AS (SELECT book, chapter_no, coalesce(lag(text) OVER w || '/', '') || text AS recent FROM c WINDOW w AS (PARTITION BY book ORDER BY chapter_no)),
+    t AS (SELECT book, lower(word) AS term, min(chapter_no) AS place FROM c GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY place) AS rank FROM t),
+    g AS (SELECT a.book, a.chapter_no, k.rank, arg_max(c.word, c.chapter_no) || '=' || CAST(max(c.chapter_no) AS VARCHAR) AS e FROM c a JOIN k ON k.book = a.book AND k.place <= a.chapter_no AND k.rank <= 32
+          JOIN c ON c.book = a.book AND c.chapter_no <= a.chapter_no AND lower(c.word) = k.term GROUP BY 1, 2, 3)
+    SELECT r.book, r.chapter_no, r.recent, string_agg(g.e, ';' ORDER BY g.rank) AS glossary FROM r JOIN g USING (book, chapter_no) GROUP BY 1, 2, 3"""
+)
 def rolling_memory(spark, d):
     word = F.split_part("text", F.lit(" "), F.lit(1))
     entry = F.array(F.struct(word.alias("source"), F.col("turn").cast("string").alias("target")))
-    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("book"), F.col("turn").alias("chapter_no"), F.substring("text", 1, 20).alias("summary"), entry.alias("glossary"))
-    return memory.rolling_memory(rows).select("book", "chapter_no", F.array_join("recent", "/").alias("recent"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("book"), F.col("turn").alias("chapter_no"), F.col("text").alias("summary"), entry.alias("glossary"))
+    glossary = F.array_join(F.transform("glossary", lambda e: F.concat(e["source"], F.lit("="), e["target"])), ";")
+    return memory.rolling_memory(rows).select("book", "chapter_no", F.array_join("recent", "/").alias("recent"), glossary.alias("glossary"))
