@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -37,6 +38,7 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped or str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     _shipped.add(app)
-    with tempfile.TemporaryDirectory() as tmp:
-        shutil.copytree(ROOT / "quire", Path(tmp, "code", "quire"), ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp(), "quire")), "zip", Path(tmp, "code")))
+    tmp = tempfile.mkdtemp(prefix="quire-code-")  # the driver serves the archive from here as long as it lives
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    shutil.copytree(ROOT / "quire", Path(tmp, "code", "quire"), ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(Path(tmp, "quire")), "zip", Path(tmp, "code")))
