@@ -8,7 +8,7 @@ documents), to which the documents are reduced exactly. Rates then become whole
 source are dealt by hash into as many bounded groups as the source's own documents fill, and each group is gone through
 from the largest document to the smallest. The words that are owed so far decide the copies of each: those among 0
 to `cap` that leave the smallest error which the smaller documents can still make good. What a group misses in the end is
-about half of its smallest size, unless no choice of copies comes nearer.
+about one or two of its smallest sizes, unless its documents are too few to come so near.
 
 Defined cases: null text has size 0; a null source is a source of its own, the last one; sources without
 words have target 0; documents of size 0 take no words; rows that agree in doc_id (also null), source and size
