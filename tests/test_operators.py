@@ -4,20 +4,23 @@ import json
 
 from pyspark.sql import functions as F
 
-from quire.operators import batches, cache, history, memory
+from quire.functions import labels
+from quire.functions.keys import same_map
+from quire.functions.numbers import Limits, completed_of
+from quire.operators import batches, blocks, cache, history, memory
 from quire.sources import stores
 from quire.streaming import progress
 
 
 def test_tiny_blocks_share_a_batch(spark):
-    html = lambda i: f'<p class="footnote-ref" id="fnref-{i}"><a href="#fn-{i}">[{i}]</a></p>'
-    rows = spark.createDataFrame([("c", i, f"[{i}]", html(i)) for i in range(4)], "chapter string, block_idx long, source_text string, source_html string")
+    html = lambda i: f'<li lang="en"><a id="back{i}" href="#below{i}">({i})</a></li>'
+    rows = spark.createDataFrame([("c", i, f"({i})", html(i)) for i in range(4)], "chapter string, block_idx long, source_text string, source_html string")
     planned = batches.plan_batches(rows, ["chapter"], 220).collect()
     assert {(r.batch_no, r.cost) for r in planned} == {(1, 48)}
 
 
 def test_context_of_a_middle_block(spark):
-    texts = ["Alice opened the door.", "She looked back.", "The hallway was empty."]
+    texts = ["Rain fell on the quay.", "Two boats came in.", "Nobody was there to see."]
     rows = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], "chapter string, block_idx long, source_text string")
     ranges = spark.createDataFrame([("c", 1, 1, 1)], "chapter string, batch_no long, lo long, hi long")
     got = {(r.side, r.snippet) for r in batches.context_band(rows, ranges, ["chapter"]).collect()}
@@ -108,3 +111,53 @@ def test_progress_stream(spark, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert [(r.job_id, r.completed) for r in spark.read.parquet(str(tmp_path / "saved")).collect()] == [("j", 2)]
+
+
+def test_chapters_can_be_toggled_and_previewed(spark):
+    chapters = spark.createDataFrame([("b", "x", True), ("b", "y", False)], "book string, chapter_path string, include boolean")
+    assert {r.chapter_path: r.include for r in blocks.toggle_chapter(chapters, "y", True).collect()} == {"x": True, "y": True}
+    totals = spark.createDataFrame([("b", "x", 2, 1)], "book string, chapter_path string, n_blocks long, n_translated long")
+    lone = {"chapter_path": "No chapter"}
+    rows = blocks.preview_rows(chapters, totals, ["book", "chapter_path"], lone).collect()
+    assert {r.chapter_path: (r.block_count, r.translated_block_count) for r in rows} == {"x": (2, 1), "y": (0, 0)}
+    assert [tuple(r) for r in blocks.preview_rows(chapters.limit(0), totals, ["book", "chapter_path"], lone).collect()] == [(None, "No chapter", None, 0, 0)]
+    assert blocks.preview_rows(chapters.limit(0), totals, ["book", "chapter_path"]).count() == 0
+
+
+def test_memory_of_lines_is_that_of_their_blocks(spark):
+    texts = ["one  two\n\n three\u0085\nfour", "\n \n", "😀 " * 2000, None, "x" * 2401, "a\n" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_line = {r.doc_id: r.memory_text for r in blocks.line_memory_texts(docs).collect()}
+    by_block = {r.doc_id: r.memory_text for r in blocks.memory_texts(blocks.line_blocks(docs), ["doc_id"]).collect()}
+    assert by_line == by_block and set(by_line) == {0, 2, 4, 5} and all(len(t.encode("utf-16-le")) <= 4800 for t in by_line.values())
+
+
+def test_records_are_found_and_changed(spark):
+    jobs = spark.createDataFrame([("a", 2, "running", "x"), ("a", 1, "failed", None), ("b", 3, "idle", "y")], "id string, ord long, status string, note string")
+    found = history.find_jobs(spark.createDataFrame([("a",), ("c",)], "id string"), jobs)
+    assert [(r.id, r.ord) for r in found.collect()] == [("a", 1)] and history.find_job(jobs, "a").first().ord == 1
+    changed = history.copy_with(jobs, status=None, note=history.UNSET, ord=F.col("ord") + 1).orderBy("ord").collect()
+    assert [tuple(r) for r in changed] == [("a", 2, None, None), ("a", 3, None, "x"), ("b", 4, None, "y")]
+    assert history.copy_with(jobs).collect() == jobs.collect()
+    marked = history.with_checkpoints(jobs, spark.createDataFrame([(1,), (1,)], "ord long"), "ord").collect()
+    assert sorted((r.ord, r.resumed) for r in marked) == [(1, True), (2, False), (3, False)]
+
+
+def test_planner_limits_and_small_labels(spark):
+    rows = spark.createDataFrame([("c", k, f"[{k}]", f"<p>[{k}]</p>") for k in range(6)], "c string, block_idx long, source_text string, source_html string")
+    batches_of = lambda limits: [r.batch_no for r in batches.plan_batches(rows, ["c"], 100, limits).orderBy("block_idx").collect()]
+    assert batches_of(Limits()) == [1, 1, 2, 2, 3, 3] and batches_of(Limits(tiny_budget=30)) == [1, 1, 1, 2, 2, 2] and batches_of(Limits(tiny_text=0)) == [1, 2, 3, 4, 5, 6]
+    ranges = batches.batch_ranges(batches.plan_batches(rows, ["c"], 100), ["c"])
+    near = batches.context_band(rows, ranges, ["c"], Limits(before=1, after=0)).collect()
+    assert sorted((r.batch_no, r.block_idx, r.side) for r in near) == [(2, 1, "before"), (3, 3, "before")]
+    r = spark.range(1).select(
+        labels.glossary_instruction(F.lit(" A => B ")), labels.glossary_instruction(F.lit(" ")), labels.error_title(F.lit("dismiss")), labels.estimate_summary(F.lit(2), F.lit(30)),
+        completed_of(F.lit(7), F.lit(5), F.lit(9)), completed_of(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(9)), completed_of(F.lit(12), F.lit(None).cast("long"), F.lit(9)), same_map(F.create_map(F.lit("a"), F.lit(1)), F.create_map(F.lit("a"), F.lit(2))),
+    ).first()
+    assert tuple(r) == (" Locked terminology (always honor these mappings):\nA => B", "", "Run error", "2 batches · 30 tokens", 5, 0, 9, False)
+
+
+def test_pending_later_chapters(spark):
+    rows = spark.createDataFrame([("b", 1, True), ("b", 2, False), ("b", 3, True), ("b", 4, False), ("c", 1, False)], "book string, k long, pending boolean")
+    got = {(r.book, r.k): (r.has_pending, r.pending_later) for r in cache.pending_chapters(rows, ["book"], "k").collect()}
+    assert got == {("b", 1): (True, True), ("b", 2): (False, True), ("b", 3): (True, False), ("b", 4): (False, False), ("c", 1): (False, False)}
