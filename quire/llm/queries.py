@@ -59,6 +59,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source of op7's mix: its documents, words and target, and whether the words taken come near it."""
+    told = mix(documents(spark, sf_dir)).withColumn("taken", F.col("copies") * F.col("size"))
+    sums = told.groupBy("source").agg(F.count("*").alias("n_docs"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    near = F.abs(F.col("taken") - F.col("target")) <= 0.005 * F.col("target") + 4 * F.coalesce("least", F.lit(0))
+    return sums.select("source", "n_docs", "source_size", F.round("target", 3).alias("target"), near.alias("near"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(documents(spark, sf_dir), 4, 85).select("doc_id", "n_shingles", "component_id")
 
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extract": op9_html_extract,
     "op10_matroska": op10_matroska,
+    "mixing_targets": mixing_targets,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,6 +116,17 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(any_value(e.formatted_chars) AS BIGINT) AS formatted_chars
         FROM n JOIN e ON n.conv_id IS NOT DISTINCT FROM e.conv_id GROUP BY n.conv_id""",
+    "mixing_targets": """
+        WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+        w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight FROM s),
+        f AS (SELECT *, 2.0 * source_size / weight AS full_at FROM w),
+        l AS (SELECT *, row_number() OVER o AS place,
+                     (1.5 * sum(source_size) OVER () - 2.0 * coalesce(sum(source_size) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+              FROM f WINDOW o AS (ORDER BY full_at, source NULLS LAST)),
+        x AS (SELECT arg_min(level, place) AS share FROM l WHERE level <= full_at)
+        SELECT source, n_docs, source_size, round(least(2.0 * source_size, weight * share)::DOUBLE, 3) AS target, true AS near FROM l, x""",
     "op8_jaccard_join": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
