@@ -31,8 +31,8 @@ BUDGET = 1.5
 CAP = 2.0
 #: Documents that one group of the rounding is meant to hold.
 GROUP = 500
-#: Each so many steps one halves the bracket, so that the steps end.
-HALVING = 4
+#: Steps after which each second one halves the bracket, so that the steps end.
+HALVING = 16
 #: Newton stops when each source's expected words are within this share of its target.
 TOLERANCE = 1e-9
 
@@ -75,8 +75,8 @@ def solve(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, tolerance:
 
     Each step is one aggregation of the histogram; the driver sees only the worst error. A source's
     step is held inside the bracket that earlier steps have left it (the gradient is monotone), and goes to the
-    middle of it when Newton would leave it, and at each fourth step in any case. A source is done within the tolerance, or when
-    no number is left between the ends of its bracket.
+    middle of it when Newton would leave it; after HALVING steps, each second one goes there in any case. A source is done
+    within the tolerance, or when no number is left between the ends of its bracket.
     """
     duals = stored(
         wanted.select(
@@ -96,7 +96,7 @@ def solve(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, tolerance:
         low, high = F.when(error < 0, F.col("dual")).otherwise(F.col("low")), F.when(error > 0, F.col("dual")).otherwise(F.col("high"))
         newton = F.col("dual") - F.try_divide(error, F.col("slope"))
         middle = (low + high) / 2
-        to = F.when((newton > low) & (newton < high) & F.lit(turn % HALVING > 0), newton).otherwise(middle)
+        to = F.when((newton > low) & (newton < high) & F.lit(turn <= HALVING or turn % 2 > 0), newton).otherwise(middle)
         done = (F.abs(error) <= tolerance * F.col("target")) | (middle == low) | (middle == high)
         step = duals.join(words, F.col("source").eqNullSafe(F.col("s")), "left")
         duals = stored(step.select("source", "source_size", "n_docs", "target", "mean", low.alias("low"), high.alias("high"), F.when(free & ~done, to).otherwise(F.col("dual")).alias("dual"), F.coalesce(free & ~done, F.lit(False)).alias("open")))
