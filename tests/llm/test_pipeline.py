@@ -73,3 +73,18 @@ def test_clashing_names_repeats_and_nulls(spark):
         assert all(tuple(r) in {tuple(x) for x in rows} for r in found)
     mixed = p.mixing(spark, docs, "").collect()
     assert mixed and all(tuple(r) in {tuple(x) for x in rows} for r in mixed)
+
+
+def test_numbers_of_rows(spark, tmp_path):
+    """Rows of Parquet files are numbered by file and place, others once and for all; a row that is there twice has two numbers."""
+    docs = spark.range(0, 1000, 1, 7).selectExpr("id as doc_id", "cast(id as string) as text", "id % 3 as row")
+    path = f"file://{tmp_path}/docs"
+    docs.write.parquet(path)
+    read = spark.read.parquet(path)
+    for df, n in ((read, 1000), (read.where("row = 1").select("text", "doc_id"), 333), (read.union(read), 2000), (docs, 1000), (read.limit(0), 0)):
+        rows = p.numbered(df)
+        assert rows.select("id").distinct().count() == rows.count() == n and rows.select("row.*").columns == df.columns
+        if n:
+            first, again = (sorted((r.id, r.doc_id) for r in rows.select("id", "row.doc_id").collect()) for _ in range(2))
+            assert first == again
+    assert "quire-" not in "".join(p.numbered(read).inputFiles())  # no copy
