@@ -146,6 +146,11 @@ class Block(NamedTuple):
     raw: bytes  # counts[k] + depth - 1 bytes of each run
 
 
+def task_number() -> int:
+    """Number of the task's partition, so that blocks are told apart (they are stored at once)."""
+    return TaskContext.get().partitionId()
+
+
 def _blocks(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks of the open runs, with the bytes under their suffixes."""
 
@@ -154,7 +159,7 @@ def _blocks(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         known = np.array([d is not None for d in doc_ids], np.uint8)
         n = np.array(counts, np.int64)
         b = Block(
-            (pa_partition() << 33) + no, int(n.sum()), np.array([d or 0 for d in doc_ids], np.int64).tobytes(), known.tobytes(), np.array(hs, np.int64).tobytes(), np.array(starts, np.int64).tobytes(),
+            (task_number() << 33) + no, int(n.sum()), np.array([d or 0 for d in doc_ids], np.int64).tobytes(), known.tobytes(), np.array(hs, np.int64).tobytes(), np.array(starts, np.int64).tobytes(),
             n.tobytes(), np.array(settled, np.uint8).tobytes(), b"".join(raws),
         )
         return pa.record_batch([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in b], names=list(Block._fields))
@@ -179,11 +184,6 @@ def _blocks(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return blocks
 
 
-def pa_partition() -> int:
-    """Number of the task's partition, so that blocks are told apart (they are stored at once)."""
-    return TaskContext.get().partitionId()
-
-
 def starts_of(counts: np.ndarray, depth: int) -> np.ndarray:
     """Where each suffix starts in a block's bytes."""
     lengths = counts + depth - 1
