@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces whose ids a worker keeps, and how many characters such a piece has at most.
-KEPT, SHORT = 200_000, 64
+KEPT, SHORT = 400_000, 64
 #: More than any rank times the positions of a piece.
 NO_PAIR = 1 << 62
 
@@ -43,79 +43,90 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PairTree:
     """The live byte positions of a piece, and the least pair among them."""
 
-    def __init__(self, piece: bytes, ranks: dict[bytes, int]):
-        n = len(piece)
-        self.piece, self.ranks, self.n = piece, ranks, n
+    def __init__(self, piece: bytes, ranks: dict[bytes, int], single: list[int]):
+        """single: the ids of all bytes."""
+        self.piece, self.rank_of, self.n = piece, ranks.get, len(piece)
+        n, rank_of = self.n, ranks.get
+        self.ids = [single[c] for c in piece]  # of the token at each live position
         self.after = list(range(1, n + 1))  # the live position after each live one; n at the end
         self.before = list(range(-1, n))
-        self.leaves = 1 << max(0, (n - 1).bit_length())
-        self.least = [NO_PAIR] * (2 * self.leaves)
-        for at in range(n - 1):
-            self.least[self.leaves + at] = self.pair(at)
-        for node in range(self.leaves - 1, 0, -1):
-            left, right = self.least[2 * node], self.least[2 * node + 1]
-            self.least[node] = left if left < right else right
-
-    def pair(self, at: int) -> int:
-        """Rank of the pair that starts here, with the position, so that of equal ranks the leftmost is the least."""
-        middle = self.after[at]
-        if middle >= self.n:
-            return NO_PAIR
-        rank = self.ranks.get(self.piece[at : self.after[middle]])
-        return NO_PAIR if rank is None else rank * self.n + at
+        # a pair is its rank and its position in one number, so of equal ranks the leftmost is the least
+        pairs = [NO_PAIR if (rank := rank_of(piece[k : k + 2])) is None else rank * n + k for k in range(n - 1)]
+        self.leaves = leaves = 1 << max(0, len(pairs) - 1).bit_length()
+        self.least = least = [NO_PAIR] * leaves + pairs + [NO_PAIR] * (leaves - len(pairs))
+        for node in range(leaves - 1, 0, -1):
+            left, right = least[2 * node], least[2 * node + 1]
+            least[node] = left if left < right else right
 
     def put(self, at: int, value: int) -> None:
+        """The pair that starts here is now this one."""
         least, node = self.least, self.leaves + at
-        least[node] = value
-        while node > 1:
+        while least[node] != value:
+            least[node] = value
+            if node == 1:
+                return
             other = least[node ^ 1]
-            value = value if value < other else other
+            if other < value:
+                value = other
             node >>= 1
-            if least[node] == value:
-                return
-            least[node] = value
 
     def merge(self) -> bool:
         """Merges the least pair; False if there is none."""
         if (least := self.least[1]) == NO_PAIR:
             return False
-        at = least % self.n
-        gone = self.after[at]
-        self.after[at] = end = self.after[gone]
+        n, after, piece = self.n, self.after, self.piece
+        rank, at = divmod(least, n)
+        self.ids[at] = rank
+        gone = after[at]
+        after[at] = end = after[gone]
         self.before[end] = at
-        self.put(gone, NO_PAIR)
-        self.put(at, self.pair(at))
+        if end == n:  # no pair starts at the last position, and none has a leaf there
+            grown = None
+        else:
+            grown = self.rank_of(piece[at : after[end]])
+        if gone < n - 1:
+            self.put(gone, NO_PAIR)
+        self.put(at, NO_PAIR if grown is None else grown * n + at)
         if (back := self.before[at]) >= 0:
-            self.put(back, self.pair(back))
+            rank = self.rank_of(piece[back:end])
+            self.put(back, NO_PAIR if rank is None else rank * n + back)
         return True
 
-    def tokens(self) -> list[bytes]:
+    def tokens(self) -> list[int]:
+        """The ids of the live positions."""
         out, at = [], 0
         while at < self.n:
-            out.append(self.piece[at : self.after[at]])
+            out.append(self.ids[at])
             at = self.after[at]
         return out
 
 
 class Encoder(dict):
-    """Ids of pieces, by piece; what isn't kept is worked out."""
+    """Ids of pieces, by piece; what isn't kept is worked out.
+
+    Kept are the pieces used since the last change of generations, and those of the generation before.
+    """
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
+        self.single = [self.ranks[bytes([c])] for c in range(256)]
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
+    def worked_out(self, data: bytes) -> tuple[int, ...]:
         if (whole := self.ranks.get(data)) is not None:
-            ids = (whole,)
-        else:
-            tree = PairTree(data, self.ranks)
-            while tree.merge():
-                pass
-            ids = tuple(map(self.ranks.__getitem__, tree.tokens()))
+            return (whole,)
+        tree = PairTree(data, self.ranks, self.single)
+        while tree.merge():
+            pass
+        return tuple(tree.tokens())
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece) or self.worked_out(piece.encode())
         if len(piece) <= SHORT:
-            if len(self) >= KEPT:
+            if len(self) >= KEPT // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
