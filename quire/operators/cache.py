@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +10,72 @@ from quire.functions.keys import key_prefix
 from quire.functions.text import uni_trim
 
 
+STORE = "cache_key string, translated_html string, written_at timestamp, key_prefix string"
+#: Files of a prefix beyond which compact() rewrites it.
+MAX_FILES = 8
+
+
+def stored_entries(spark: SparkSession, path: str) -> DataFrame:
+    """All entries of an append-only cache table, partitioned by key prefix; none where nothing was written yet."""
+    try:
+        return spark.read.schema(STORE).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STORE)
+
+
+def newest(entries: DataFrame) -> DataFrame:
+    """key_prefix, cache_key, translated_html and written_at of the newest entry of each key; of equal times, the greatest text."""
+    last = F.max(F.struct("written_at", "translated_html")).alias("e")
+    return entries.groupBy("key_prefix", "cache_key").agg(last).select("key_prefix", "cache_key", "e.translated_html", "e.written_at")
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Newest entry of each key of an append-only cache table, partitioned by key prefix."""
-    rows = spark.read.schema("cache_key string, translated_html string, written_at timestamp, key_prefix string").parquet(path)
-    return rows.groupBy("key_prefix", "cache_key").agg(F.max_by("translated_html", "written_at").alias("translated_html"))
+    """key_prefix, cache_key and translated_html of the newest entry of every key."""
+    return newest(stored_entries(spark, path)).drop("written_at")
+
+
+def _sorted_by_prefix(keyed: DataFrame) -> DataFrame:
+    """A prefix's rows in one task, in order of their keys; in several where they exceed Spark's advisory partition size."""
+    return keyed.hint("rebalance", "key_prefix").sortWithinPartitions("key_prefix", "cache_key")
 
 
 def write_cache(entries: DataFrame, path: str) -> None:
-    """Appends cache_key, translated_html and written_at; one file for each prefix and task."""
-    entries.withColumn("key_prefix", key_prefix(F.col("cache_key"))).write.mode("append").partitionBy("key_prefix").parquet(path)
+    """Appends cache_key, translated_html and written_at: one file for each prefix (more only beyond the advisory partition size), sorted by key."""
+    keyed = entries.select("cache_key", "translated_html", "written_at", key_prefix(F.col("cache_key")).alias("key_prefix"))
+    _sorted_by_prefix(keyed).write.mode("append").partitionBy("key_prefix").parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """cache_key and translated_html of the newest entry of each key that `keys` (cache_key) asks for.
+
+    Only the folders of the asked prefixes are read (there are 256 prefixes at most, so the driver may know them), and
+    only entries of asked keys go on, so the history of other keys is neither grouped nor shuffled where the asked
+    keys are few: Spark sends these to all tasks, or a Bloom filter of them where the cache is large.
+    """
+    prefix = key_prefix(F.col("cache_key"))
+    asked = sorted(r[0] for r in keys.select(prefix.alias("p")).where("p is not null").distinct().collect())
+    wanted = keys.select("cache_key").where(prefix.isin(asked))
+    there = stored_entries(spark, path).where(F.col("key_prefix").isin(asked))
+    return newest(there.join(wanted, "cache_key", "left_semi")).select("cache_key", "translated_html")
+
+
+def compact(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> list[str]:
+    """Rewrites each prefix that has more files than that, with the newest entry of each key, in order of keys; returns these prefixes.
+
+    A prefix is replaced when its new files are complete. It runs between runs: entries that are written to such a prefix meanwhile
+    are lost, which costs their work again and nothing else.
+    """
+    entries = stored_entries(spark, path)
+    if not entries.inputFiles():
+        return []
+    files = entries.groupBy("key_prefix").agg(F.count_distinct("_metadata.file_path").alias("n"))
+    worn = sorted(r[0] for r in files.where(F.col("n") > max_files).select("key_prefix").collect())  # 256 at most
+    if worn:
+        kept = newest(entries.where(F.col("key_prefix").isin(worn))).select("cache_key", "translated_html", "written_at", "key_prefix")
+        _sorted_by_prefix(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_prefix").parquet(path)
+    return worn
 
 
 def is_pending(html: Column) -> Column:
