@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,8 +14,10 @@ from quire.functions.text import uni_trim
 
 
 STORE = "cache_key string, translated_html string, written_at timestamp, key_prefix string"
-#: Files of a prefix beyond which compact() rewrites it.
+#: Files of a prefix beyond which compact() rewrites it, if they are small.
 MAX_FILES = 8
+#: Bytes; a prefix whose files are larger than this on average stays as it is.
+SMALL_FILE = 32 << 20
 
 
 def stored_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -62,16 +67,17 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> list[str]:
-    """Rewrites each prefix that has more files than that, with the newest entry of each key, in order of keys; returns these prefixes.
+    """Rewrites each prefix that has more (small) files than that, with the newest entry of each key, in order of keys; returns these prefixes.
 
     A prefix is replaced when its new files are complete. It runs between runs: entries that are written to such a prefix meanwhile
     are lost, which costs their work again and nothing else.
     """
     entries = stored_entries(spark, path)
-    if not entries.inputFiles():
+    many = sorted(prefix for prefix, n in Counter(re.findall("key_prefix=([^/]*)/", " ".join(entries.inputFiles()))).items() if n > max_files)
+    if not many:
         return []
-    files = entries.groupBy("key_prefix").agg(F.count_distinct("_metadata.file_path").alias("n"))
-    worn = sorted(r[0] for r in files.where(F.col("n") > max_files).select("key_prefix").collect())  # 256 at most
+    files = entries.where(F.col("key_prefix").isin(many)).groupBy("key_prefix", "_metadata.file_path").agg(F.first("_metadata.file_size").alias("size"))
+    worn = sorted(r[0] for r in files.groupBy("key_prefix").agg(F.avg("size").alias("size")).where(F.col("size") < SMALL_FILE).select("key_prefix").collect())  # 256 at most
     if worn:
         kept = newest(entries.where(F.col("key_prefix").isin(worn))).select("cache_key", "translated_html", "written_at", "key_prefix")
         _sorted_by_prefix(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_prefix").parquet(path)

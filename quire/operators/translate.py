@@ -17,9 +17,11 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quire.functions.codecs import read_chapter_memory, read_memory
+from quire.functions.codecs import read_chapter_memory, read_memory, write_memory
 from quire.functions.html_tree import collapse, lock_structure, parse
 from quire.functions.text import keeps_source
 from quire.operators.memory import fold_book
@@ -123,12 +125,11 @@ class Run:
     """How a run translates: its transform, limits and checks. It goes to the tasks."""
 
     translator: Translator
-    concurrency: int = 3  # requests of a task side by side
+    concurrency: int = 3  # requests side by side, in all tasks together
     max_retries: int = 3
     delay: int = 5
     language: str | None = None  # of the check for text that was left as it was; none: no check
     stopped: Callable[[], bool] = never
-    report: Callable[[int], None] = lambda blocks: None
     first_memory: Callable[[list[dict]], dict] | None = None  # of a book's first chapters
     chapter_memory: Callable[[dict, dict], dict] | None = None  # of a chapter and the memory so far
 
@@ -136,17 +137,23 @@ class Run:
         return bool(self.language) and keeps_source(collapse(parse(source).text), collapse(parse(translated).text), self.language)
 
     def batch(self, blocks: list[Block], context: dict) -> list[Block]:
-        done = translate_batch(blocks, context, self.translator, Retry(self.max_retries, self.delay, cancelled=self.stopped), self.residual if self.language else None)
-        self.report(len(done))
-        return done
+        return translate_batch(blocks, context, self.translator, Retry(self.max_retries, self.delay, cancelled=self.stopped), self.residual if self.language else None)
 
-    def batches(self, jobs: Iterator[tuple[list[Block], dict]]) -> Iterator[list[Block]]:
-        """Results in order, with at most `concurrency` batches under way."""
-        with ThreadPoolExecutor(self.concurrency) as pool:
+    def lanes(self, slots: int) -> int:
+        """Tasks among which the requests are dealt: no more than may be under way, nor than run at once."""
+        return max(1, min(self.concurrency, slots))
+
+    def share(self, lane: int, lanes: int) -> int:
+        """Requests that this lane may have side by side; those of all lanes add up to `concurrency`."""
+        return self.concurrency // lanes + (lane < self.concurrency % lanes)
+
+    def batches(self, jobs: Iterator[tuple[list[Block], dict]], side_by_side: int) -> Iterator[list[Block]]:
+        """Results in order, with at most so many batches under way."""
+        with ThreadPoolExecutor(side_by_side) as pool:
             under_way: deque = deque()
             try:
                 for job in jobs:
-                    if len(under_way) == self.concurrency:
+                    if len(under_way) == side_by_side:
                         yield under_way.popleft().result()
                     under_way.append(pool.submit(self.batch, *job))
                 while under_way:
@@ -175,50 +182,78 @@ def _job(row: dict, **more: object) -> tuple[list[Block], dict]:
     return [{"id": b["id"], "html": b["html"]} for b in row["blocks"]], {"chapter": row["chapter_path"], **context, **more}
 
 
-def translate_batches(batches: DataFrame, run: Run, tasks: int | None = None) -> DataFrame:
-    """chapter_path, batch_no, block_id and translated_html; batches have blocks, an array of (id, html), and maybe context, a struct.
+def _dealt(rows: DataFrame, run: Run, by: list[str], order: list[str]) -> tuple[DataFrame, int]:
+    """Rows in as many partitions as the run has lanes, each with its rows in order.
 
-    Batches are dealt over `tasks` (by default over all shuffle partitions), so a lost task repeats its own requests
-    only; each task has its requests side by side as the run says.
+    A stage has one task for each lane, so the lanes' shares bound the requests of the whole run, whatever
+    the size of the cluster; a task that is run again has its lane's share again.
     """
+    lanes = run.lanes(rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(lanes, *by).sortWithinPartitions(*order), lanes
+
+
+def _records(parts: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    for part in parts:
+        yield from part.to_dict("records")
+
+
+def _lane(run: Run, lanes: int) -> int:
+    return run.share(TaskContext.get().partitionId() % lanes, lanes)
+
+
+def translate_batches(batches: DataFrame, run: Run) -> DataFrame:
+    """chapter_path, batch_no, block_id and translated_html; batches have blocks, an array of (id, html), and maybe context, a struct."""
     optional = [c for c in ("context",) if c in batches.columns]
-    rows = batches.select("chapter_path", "batch_no", "blocks", *optional)
+    rows, lanes = _dealt(batches.select("chapter_path", "batch_no", "blocks", *optional), run, ["chapter_path", "batch_no"], ["chapter_path", "batch_no"])
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = part.to_dict("records")
-            for row, done in zip(rows, run.batches(map(_job, rows)), strict=True):
-                yield _done(row["chapter_path"], row["batch_no"], done)
+        asked: deque = deque()
+
+        def jobs() -> Iterator[tuple[list[Block], dict]]:
+            for row in _records(parts):
+                asked.append((row["chapter_path"], row["batch_no"]))
+                yield _job(row)
 
-    dealt = rows.repartition(tasks, "chapter_path", "batch_no") if tasks else rows.repartition("chapter_path", "batch_no")
-    return dealt.mapInPandas(work, DONE)
+        for done in run.batches(jobs(), _lane(run, lanes)):
+            yield _done(*asked.popleft(), done)
+
+    return rows.mapInPandas(work, DONE)
 
 
 def translate_books(batches: DataFrame, run: Run) -> DataFrame:
     """As translate_batches(), with a book's memory: a book's chapters follow one another, books go side by side.
 
-    Batches also have book_path, spine_idx, pending_later (whether a later chapter has anything to do) and sources, the
-    chapters of the first memory. Memory is made when the first batch needs it, goes into the context of each batch, and
-    takes in each chapter that later ones can use. A book is one file, so one task can hold its pending blocks.
+    Batches also have book_path, spine_idx, pending_later (whether a later chapter has anything to do), sources, the
+    chapters of the first memory, and maybe memory (JSON), what earlier chapters have left. Memory is made when the first
+    batch needs it, goes into the context of each batch, and takes in each chapter that later ones can use. The result
+    has a column memory besides: null, but for one row of each book (no block_id; book_path as its chapter_path) with
+    the memory after its last chapter here. A task holds one chapter's batches at a time.
     """
+    if "memory" not in batches.columns:
+        batches = batches.withColumn("memory", F.lit(None).cast("string"))
+    rows, lanes = _dealt(batches, run, ["book_path"], ["book_path", "spine_idx", "batch_no"])
 
-    def work(book: pd.DataFrame) -> pd.DataFrame:
-        memory = read_memory(None)
-        rows = book.sort_values(["spine_idx", "batch_no"]).to_dict("records")
-        if run.first_memory and rows:
-            memory = read_memory(json.dumps(run.first_memory(plain(rows[0]["sources"]) or [])))
-        out = []
-        for _, chapter in groupby(rows, key=lambda r: r["spine_idx"]):
-            chapter = list(chapter)
-            done = list(run.batches(_job(r, memory=memory) for r in chapter))
-            out += [_done(r["chapter_path"], r["batch_no"], d) for r, d in zip(chapter, done, strict=True)]
-            if run.chapter_memory and chapter[0]["pending_later"]:
-                text = " ".join(collapse(parse(b["html"]).text) for d in done for b in d)
-                made = run.chapter_memory({"chapter": chapter[0]["chapter_path"], **(plain(chapter[0].get("context")) or {}), "text": text}, memory)
-                memory = fold_book(memory, read_chapter_memory(made))
-        return pd.concat(out) if out else _done("", 0, [])
-
-    return batches.groupBy("book_path").applyInPandas(work, DONE)
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        side_by_side = _lane(run, lanes)
+        for path, book in groupby(_records(parts), key=lambda r: r["book_path"]):
+            memory = None
+            for _, chapter in groupby(book, key=lambda r: r["spine_idx"]):
+                chapter = list(chapter)
+                head = chapter[0]
+                if memory is None:
+                    first = head["memory"]
+                    if first is None and run.first_memory:
+                        first = json.dumps(run.first_memory(plain(head["sources"]) or []))
+                    memory = read_memory(first)
+                done = list(run.batches((_job(r, memory=memory) for r in chapter), side_by_side))
+                yield pd.concat([_done(r["chapter_path"], r["batch_no"], d) for r, d in zip(chapter, done, strict=True)]).assign(memory=None)
+                if run.chapter_memory and head["pending_later"]:
+                    text = " ".join(collapse(parse(b["html"]).text) for d in done for b in d)
+                    made = run.chapter_memory({"chapter": head["chapter_path"], **(plain(head.get("context")) or {}), "text": text}, memory)
+                    memory = fold_book(memory, read_chapter_memory(made))
+            yield pd.DataFrame([(path, None, None, None, write_memory(memory))], columns=["chapter_path", "batch_no", "block_id", "translated_html", "memory"])
+
+    return rows.mapInPandas(work, f"{DONE}, memory string")
 
 
 def marking_translator(blocks: list[Block], context: dict) -> list[Block]:

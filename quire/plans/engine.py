@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.config import Config
@@ -19,12 +19,14 @@ from quire.functions.labels import error_action
 from quire.functions.numbers import Limits
 from quire.functions.paths import output_path
 from quire.operators import batches, blocks, cache, html_blocks, memory
-from quire.operators.translate import Run, Translator, marking_translator, translate_batches, translate_books
+from quire.operators.translate import Cancelled, Run, Translator, marking_translator, translate_batches, translate_books
 from quire.sources import epub
-from quire.sources.stores import Checkpoints, clear_checkpoint, read_checkpoint
+from quire.sources.stores import Checkpoints, clear_checkpoint, read_checkpoints
 
 CHAPTER = ["book_path", "spine_idx", "chapter_path"]
-BATCHES_PER_TASK = 16
+#: Seconds that a slice of a run is meant to take, and for its first one, batches for each request under way.
+SLICE_SECONDS, FIRST_BATCHES = 10.0, 4
+FINISHED = "chapter_path string, batch_no long, block_id string, translated_html string, memory string"
 
 
 @dataclass
@@ -72,6 +74,7 @@ class Engine:
     clock: Callable[[], float] = time.time
     tag: str | None = None
     stop: StopFlag | None = None
+    elapsed_ms: dict[str, int] = field(default_factory=dict)  # of the steps of the last run
 
     def __post_init__(self) -> None:
         self.work_path = self.work_path or f"{self.cache_path.rstrip('/')}-work"
@@ -115,14 +118,6 @@ class Engine:
         key = block_key(lit(config.api_base_url), lit(config.model), lit(config.target_language), lit(config.locked_glossary), lit(config.residual_quality_check), F.col("chapter_path"), F.col("source_html"))
         return found.withColumn("cache_key", key)
 
-    def _cache(self) -> DataFrame:
-        try:
-            return cache.read_cache(self.spark, self.cache_path).select("cache_key", "translated_html")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], "cache_key string, translated_html string")  # nothing was cached yet
-
     def job_keys(self, found: Inspection, config: Config) -> DataFrame:
         """book_path, fingerprint and job_key of each book with its selected chapters."""
         paths = found.chapters.where("include").groupBy("book_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("spine_idx", "chapter_path"))), lambda c: c["chapter_path"]).alias("paths"))
@@ -148,77 +143,122 @@ class Engine:
     def translate(self, found: Inspection, config: Config, output_dir: str, tag: str = "quire-translate") -> DataFrame:
         """Translates what the cache lacks, then writes the books; returns book_path, output_path and committed.
 
-        The state is saved as a checkpoint of each book's job at the start, while blocks are done, and at the end, whatever it is. A
-        checkpoint of an earlier run only tells how many blocks were resumed; what is reused comes from the cache.
+        Batches go in slices of about ten seconds, each a job of its own. What a slice has done is stored when it ends, so it counts
+        once, whatever tasks were run again; and it is in the cache after the run, however the run ends. The states of all books' jobs
+        are a table: they are saved at the start, after slices, and at the end, whatever it is. A checkpoint of an earlier run only
+        tells how many blocks were resumed; what is reused comes from the cache.
         """
         tag, stop = self._begin(tag, output_dir)
-        states: list[dict] = []
-        store = Checkpoints(self.spark, self.checkpoint_path, self.clock)
+        store = Checkpoints(self.spark, self.checkpoint_path, self.clock, f"{self.work_path}/saves")
+        progress: Progress | None = None
+        self.elapsed_ms = {}
         try:
-            selected = found.chapters.where("include").select(*CHAPTER)
-            keyed = self._keyed(found.blocks.join(selected, CHAPTER), config)
-            counts = keyed.groupBy("book_path").agg(F.count("*").alias("blocks"), F.count_distinct("chapter_path").alias("chapters"))
-            config.require_runnable(selected.count(), keyed.count())
-            # equal blocks of a key are sent once; results are the same
-            pending = self._stored(cache.pending_blocks(keyed, self._cache()))
-            open_blocks = pending.groupBy("book_path").agg(F.count("*").alias("open"))
-            states = self._states(self.job_keys(found, config).join(counts, "book_path").join(open_blocks, "book_path", "left"), output_dir, config)
-            self._save(store, states, "running", force=True)
-            plan = self._stored(self._planned(found, pending.dropDuplicates(["cache_key"]), config))
-            done = self.spark.sparkContext.accumulator(0)
+            with self._timed("plan"):
+                self._absorb()  # of a run whose driver was lost
+                selected = found.chapters.where("include").select(*CHAPTER)
+                keyed = self._stored(self._keyed(found.blocks.join(selected, CHAPTER), config))
+                config.require_runnable(selected.count(), keyed.count())
+                # equal blocks of a key are sent once; results are the same
+                pending = self._stored(cache.pending_blocks(keyed, cache.lookup(self.spark, self.cache_path, keyed)))
+                progress = Progress(self._stored(self._jobs(found, keyed, pending, output_dir, config)), pending, self._stored)
+                store.report(progress.states("running"), force=True)
+                plan = self._planned(found, pending.dropDuplicates(["cache_key"]), config)
             run = Run(
                 self.translator, config.max_concurrent, config.max_retries, config.retry_delay_seconds, config.target_language if config.residual_quality_check else None,
-                stop, done.add, self.first_memory, self.chapter_memory,
+                stop, self.first_memory, self.chapter_memory,
             )
-            remembers = self.first_memory or self.chapter_memory
-            work = translate_books(plan, run) if remembers else translate_batches(plan, run, max(1, -(-plan.count() // BATCHES_PER_TASK)))
-            with self._watched(store, states, done):
-                cache.write_cache(work.select(F.col("block_id").alias("cache_key"), "translated_html", F.current_timestamp().alias("written_at")), self.cache_path)
-            translated = cache.probe(keyed.drop("translated_html"), self._cache())
-            chapters = found.chapters.where("include").select(*CHAPTER, "html")
-            rendered = html_blocks.render_chapters(chapters, translated, CHAPTER, config.bilingual)
-            outputs = found.entries.select("book_path").distinct().withColumn("output_path", output_path(F.regexp_replace("book_path", "^file:/+", "/"), F.lit(output_dir), F.lit(config.output_suffix)))
-            written = epub.write_books(found.entries, rendered.select("book_path", "spine_idx", F.col("chapter_path").alias("member_path"), F.col("rendered").alias("html")), outputs, lambda: not stop())
-            result = self._stored(written)
-            self._save(store, states, "cancelled" if stop() else "completed", force=True, done=True)
+            try:
+                with self._timed("translate"):
+                    for done in self._slices(plan, run):
+                        progress.add(done)
+                        store.report(progress.states("running"))
+            finally:
+                self._absorb()
+            with self._timed("write"):
+                translated = cache.probe(keyed.drop("translated_html"), cache.lookup(self.spark, self.cache_path, keyed))
+                chapters = found.chapters.where("include").select(*CHAPTER, "html")
+                rendered = html_blocks.render_chapters(chapters, translated, CHAPTER, config.bilingual)
+                outputs = found.entries.select("book_path").distinct().withColumn("output_path", output_path(F.regexp_replace("book_path", "^file:/+", "/"), F.lit(output_dir), F.lit(config.output_suffix)))
+                written = epub.write_books(found.entries, rendered.select("book_path", "spine_idx", F.col("chapter_path").alias("member_path"), F.col("rendered").alias("html")), outputs, lambda: not stop())
+                result = self._stored(written)
+            store.report(progress.states("cancelled" if stop() else "completed"), force=True)
+            cache.compact(self.spark, self.cache_path)
             return result
         except BaseException:
-            self._save(store, states, "cancelled" if stop() else "failed", force=True)
+            if progress:
+                store.report(progress.states("cancelled" if stop() else "failed"), force=True)
             raise
         finally:
             store.close()
             self._end(tag, stop)
 
-    def _states(self, jobs: DataFrame, output_dir: str, config: Config) -> list[dict]:
-        """A record for each book's job; cached blocks that an earlier checkpoint already had count as resumed."""
-        states = []
-        for r in jobs.collect():  # a row for each book of the run
-            cached = r["blocks"] - (r["open"] or 0)
-            before = read_checkpoint(self.spark, self.checkpoint_path, r["job_key"]).first()
-            resumed = min(before["completedBlocks"], cached) if before and before["status"] in ("running", "failed", "cancelled") else 0
-            states.append({
-                "jobKey": r["job_key"], "inputFingerprint": r["fingerprint"], "inputPath": r["book_path"], "outputPath": output_dir, "completedFiles": 0, "totalFiles": r["chapters"], "completedBlocks": cached,
-                "totalBlocks": r["blocks"], "cachedBlocks": cached - resumed, "resumedBlocks": resumed, "currentChapter": "",
-            })
-        return states
-
-    def _save(self, store: Checkpoints, states: list[dict], status: str, force: bool = False, done: bool = False) -> None:
-        for state in states:
-            state["status"] = status
-            if done and status == "completed":
-                state |= {"completedBlocks": state["totalBlocks"], "completedFiles": state["totalFiles"]}
-            store.report(dict(state), force)
-
-    def _watched(self, store: Checkpoints, states: list[dict], done) -> Watch:
-        return Watch(lambda: self._progress(store, states, done.value))
-
-    def _progress(self, store: Checkpoints, states: list[dict], n: int) -> None:
-        """Blocks done so far are known for the run; they count for its books in order."""
-        for state in states:
-            room = state["totalBlocks"] - state["cachedBlocks"] - state["resumedBlocks"]
-            state["completedBlocks"] = state["cachedBlocks"] + state["resumedBlocks"] + min(n, room)
-            n -= min(n, room)
-            store.report(dict(state))
+    @contextmanager
+    def _timed(self, step: str) -> Iterator[None]:
+        began = self.clock()
+        try:
+            yield
+        finally:
+            self.elapsed_ms[step] = int((self.clock() - began) * 1000)
+
+    def _jobs(self, found: Inspection, keyed: DataFrame, pending: DataFrame, output_dir: str, config: Config) -> DataFrame:
+        """A row for each book's job; cached blocks that an earlier, unfinished checkpoint already had count as resumed."""
+        counts = keyed.groupBy("book_path").agg(F.count("*").alias("totalBlocks"), F.count_distinct("chapter_path").alias("totalFiles"))
+        left = pending.groupBy("book_path").agg(F.count("*").alias("open"))
+        before = read_checkpoints(self.spark, self.checkpoint_path).where(F.col("status").isin("running", "failed", "cancelled")).select("job_key", F.col("completedBlocks").alias("before"))
+        jobs = self.job_keys(found, config).join(counts, "book_path").join(left, "book_path", "left").join(before, "job_key", "left")
+        cached = F.col("totalBlocks") - F.coalesce("open", F.lit(0))
+        resumed = F.least(F.coalesce("before", F.lit(0)), cached)
+        return jobs.select(
+            "book_path", F.col("job_key").alias("jobKey"), F.col("fingerprint").alias("inputFingerprint"), F.col("book_path").alias("inputPath"), F.lit(output_dir).alias("outputPath"), F.lit("").alias("currentChapter"),
+            "totalFiles", "totalBlocks", (cached - resumed).alias("cachedBlocks"), resumed.alias("resumedBlocks"),
+        )
+
+    def _slices(self, plan: DataFrame, run: Run) -> Iterator[DataFrame]:
+        """Runs the batches slice by slice, each as large as ten seconds allow at the speed of the one before; yields what each has done.
+
+        A slice is a part of the batches by hash. With a book's memory, it is the next pending chapters of each book, and the
+        memory that they leave goes on to the next slice.
+        """
+        remembers = bool(run.first_memory or run.chapter_memory)
+        if remembers:
+            turns = plan.select("book_path", "spine_idx").distinct().withColumn("at", F.row_number().over(Window.partitionBy("book_path").orderBy("spine_idx")) - 1.0)
+            plan = plan.join(turns, ["book_path", "spine_idx"])
+        else:
+            plan = plan.withColumn("at", F.pmod(F.xxhash64(*CHAPTER, "batch_no"), F.lit(1 << 30)) / float(1 << 30))
+        plan = self._stored(plan.repartitionByRange("at").sortWithinPartitions("at"))
+        n, most = plan.agg(F.count("*"), F.max("at")).first()
+        first, end = (1.0, (most or 0.0) + 1.0) if remembers else (run.concurrency * FIRST_BATCHES / max(n, 1), 1.0)
+        begin, size, memories, folder = 0.0, first, None, f"{self.work_path}/results/{uuid.uuid4().hex}"
+        while n and begin < end:
+            if run.stopped():
+                raise Cancelled
+            began = time.monotonic()
+            part = plan.where((F.col("at") >= begin) & (F.col("at") < begin + size))
+            if remembers and memories is not None:
+                part = part.join(memories, "book_path", "left")
+            work = translate_books(part, run) if remembers else translate_batches(part, run).withColumn("memory", F.lit(None).cast("string"))
+            work.write.parquet(path := f"{folder}/{begin:.9f}")
+            done = self.spark.read.schema(FINISHED).parquet(path)
+            if remembers:
+                left = done.where("block_id is null").select(F.col("chapter_path").alias("book_path"), "memory")
+                memories = left if memories is None else self._stored(left.unionByName(memories.join(left, "book_path", "left_anti")))
+            yield done.where("block_id is not null").select(F.col("block_id").alias("cache_key"))
+            begin += size
+            size = max(first, size * min(8.0, SLICE_SECONDS / (time.monotonic() - began)))
+            size = float(int(size)) if remembers else size
+
+    def _absorb(self) -> None:
+        """Moves what slices have done into the cache, in one append."""
+        folder = f"{self.work_path}/results"
+        try:
+            done = self.spark.read.schema(FINISHED).option("recursiveFileLookup", "true").parquet(folder)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        cache.write_cache(done.where("block_id is not null").select(F.col("block_id").alias("cache_key"), "translated_html", F.current_timestamp().alias("written_at")), self.cache_path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def clear(self, key: str) -> None:
         """Forgets the checkpoint of a job."""
@@ -243,21 +283,22 @@ class Engine:
         return action, config, None
 
 
-class Watch:
-    """Calls something each second while its block runs."""
-
-    def __init__(self, action: Callable[[], None], seconds: float = 1.0):
-        self.action, self.seconds, self.over = action, seconds, threading.Event()
+class Progress:
+    """How far the jobs of a run are, as tables: nothing of it is gathered on the driver."""
 
-    def _loop(self) -> None:
-        while not self.over.wait(self.seconds):
-            self.action()
+    def __init__(self, jobs: DataFrame, pending: DataFrame, stored: Callable[[DataFrame], DataFrame]):
+        self.jobs, self.pending, self.stored = jobs, pending.select("book_path", "cache_key"), stored
+        self.done: DataFrame | None = None  # book_path, done
 
-    def __enter__(self) -> Watch:
-        self.thread = threading.Thread(target=self._loop, daemon=True)
-        self.thread.start()
-        return self
+    def add(self, keys: DataFrame) -> None:
+        """These keys (cache_key) are done: so are all blocks of them, in whatever books."""
+        counts = self.pending.join(keys, "cache_key").groupBy("book_path").agg(F.count("*").alias("done"))
+        both = counts if self.done is None else counts.unionByName(self.done).groupBy("book_path").agg(F.sum("done").alias("done"))
+        self.done = self.stored(both)
 
-    def __exit__(self, *error: object) -> None:
-        self.over.set()
-        self.thread.join()
+    def states(self, status: str) -> DataFrame:
+        """A checkpoint of each job, but for its time."""
+        known = self.jobs.withColumn("done", F.lit(0).cast("long")) if self.done is None else self.jobs.join(self.done, "book_path", "left")
+        over = F.lit(status == "completed")
+        blocks = F.when(over, F.col("totalBlocks")).otherwise(F.col("cachedBlocks") + F.col("resumedBlocks") + F.coalesce("done", F.lit(0)))
+        return known.select(*(c for c in self.jobs.columns if c != "book_path"), F.lit(status).alias("status"), blocks.alias("completedBlocks"), F.when(over, F.col("totalFiles")).otherwise(0).alias("completedFiles"))

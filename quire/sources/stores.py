@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import datetime
@@ -76,15 +77,21 @@ def write_checkpoints(states: DataFrame, path: str) -> None:
     states.withColumn("job_key", F.col("jobKey")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_key").json(path)
 
 
-def read_checkpoint(spark: SparkSession, path: str, job_key: str) -> DataFrame:
-    """The checkpoint of a job, or no row."""
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """The checkpoints of all jobs, or of those in this folder, in one read, with job_key (of their folders); no row where nothing is saved."""
     try:
-        lines = spark.read.text(f"{path.rstrip('/')}/job_key={job_key}").withColumnRenamed("value", "json")
+        # the folders' names are read as text: a key of digits is no number
+        lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("value").alias("json"), F.regexp_extract("_metadata.file_path", "/job_key=([^/]*)/", 1).alias("job_key"))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        lines = spark.createDataFrame([], "json string")
-    return decode_checkpoints(lines.select("json"))
+        lines = spark.createDataFrame([], "json string, job_key string")
+    return decode_checkpoints(lines)
+
+
+def read_checkpoint(spark: SparkSession, path: str, job_key: str) -> DataFrame:
+    """The checkpoint of a job, or no row; its folder alone is read."""
+    return read_checkpoints(spark, f"{path.rstrip('/')}/job_key={job_key}").drop("job_key")
 
 
 def clear_checkpoint(spark: SparkSession, path: str, job_key: str) -> None:
@@ -106,27 +113,34 @@ def iso_time(clock: Callable[[], float] = time.time) -> str:
 
 
 class Checkpoints:
-    """Saves of one job's state: when forced, after 20 more blocks or after 10 seconds; one writer, in order, so that no older state
-    comes after a newer one. A save that fails doesn't stop those after it."""
+    """Saves of jobs' states: each job's when forced, after 20 more blocks of it or 10 seconds after its last one.
+
+    A report has the states of any number of jobs and is one write; what was saved last, and when, is kept as a table beside
+    it. One writer, in order, so that no older state comes after a newer one. A save that fails doesn't stop those after it.
+    """
 
     BLOCKS, SECONDS = 20, 10.0
 
-    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time):
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time, work_path: str | None = None):
         self.spark, self.path, self.clock = spark, path, clock
-        self.blocks, self.at = 0, float("-inf")
+        self.work_path = work_path or f"{path.rstrip('/')}-saves"
+        self.saved: DataFrame | None = None
         self.writer = ThreadPoolExecutor(1)
 
-    def report(self, state: dict, force: bool = False) -> Future | None:
-        done, now = state.get("completedBlocks", 0), self.clock()
-        if not (force or done - self.blocks >= self.BLOCKS or now - self.at >= self.SECONDS):
-            return None
-        self.blocks, self.at = done, now
-        row = state | {"updatedAtIso8601": iso_time(self.clock)}
-        return self.writer.submit(self._save, row)
-
-    def _save(self, row: dict) -> None:
-        names = [f.split()[0] for f in CHECKPOINT.split(", ")]
-        write_checkpoints(self.spark.createDataFrame([tuple(row.get(n) for n in names)], CHECKPOINT), self.path)
+    def report(self, states: DataFrame, force: bool = False) -> Future:
+        """States as CHECKPOINT has them, but for updatedAtIso8601."""
+        return self.writer.submit(self._save, states, self.clock(), iso_time(self.clock), force)
+
+    def _save(self, states: DataFrame, now: float, at: str, force: bool) -> None:
+        saved = self.saved if self.saved is not None else self.spark.createDataFrame([], "jobKey string, savedBlocks long, savedAt double")
+        due = F.col("savedAt").isNull() | (F.col("completedBlocks") - F.col("savedBlocks") >= self.BLOCKS) | (now - F.col("savedAt") >= self.SECONDS) | F.lit(force)
+        judged = states.withColumn("updatedAtIso8601", F.lit(at)).join(saved, "jobKey", "left").withColumn("due", due)
+        path = f"{self.work_path}/{uuid.uuid4().hex}"
+        judged.write.parquet(path)
+        kept = self.spark.read.schema(judged.schema).parquet(path)
+        write_checkpoints(kept.where("due").select(*(field.split()[0] for field in CHECKPOINT.split(", "))), self.path)
+        blocks, seconds = F.when(F.col("due"), F.col("completedBlocks")).otherwise(F.col("savedBlocks")), F.when(F.col("due"), now).otherwise(F.col("savedAt"))
+        self.saved = kept.select("jobKey", blocks.alias("savedBlocks"), seconds.alias("savedAt"))
 
     def close(self) -> None:
         """Waits for what is still to be written."""

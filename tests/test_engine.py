@@ -11,8 +11,10 @@ from pyspark import cloudpickle
 from quire.config import Config
 from quire.functions.codecs import read_chapter_memory, read_memory, write_memory
 from quire.functions.text import keeps_source, suspicious_residual
+from quire.operators.cache import read_cache
 from quire.operators.memory import fold_book
-from quire.operators.translate import counting_memory, listing_memory, marking_translator
+from quire.operators.translate import Run, counting_memory, listing_memory, marking_translator, translate_batches
+from quire.plans import engine as engine_module
 from quire.plans.engine import Engine
 from quire.sources import stores
 from test_books import make_book, page
@@ -36,11 +38,42 @@ def slow_translator(blocks, context):
     return marking_translator(blocks, context)
 
 
+def failing_after(log, n):
+    def translator(blocks, context):
+        with open(log, "a") as f:
+            f.write("x\n")
+        if len(open(log).read().split()) > n:
+            raise RuntimeError("no more")
+        return marking_translator(blocks, context)
+
+    return translator
+
+
+def counting_requests(log):
+    def translator(blocks, context):
+        with open(log, "a") as f:
+            f.write("".join(f"{b['id']}\n" for b in blocks))
+        return marking_translator(blocks, context)
+
+    return translator
+
+
+def flying(log):
+    def translator(blocks, context):
+        began = time.time()
+        time.sleep(0.05)
+        with open(log, "a") as f:
+            f.write(f"{began} 1\n{time.time()} -1\n")
+        return marking_translator(blocks, context)
+
+    return translator
+
+
 def told_by(engine, config, book, tmp_path):
     """What each block was told, by chapter and place."""
     found = engine.inspect(book)
     engine.translate(found, config, str(tmp_path / "out")).collect()
-    keyed = engine._keyed(found.blocks, config).join(engine._cache(), "cache_key")
+    keyed = engine._keyed(found.blocks, config).join(read_cache(engine.spark, engine.cache_path), "cache_key")
     return {(r.spine_idx, r.block_idx): json.loads(r.translated_html[3:-4]) for r in keyed.collect()}
 
 
@@ -94,15 +127,88 @@ def test_checkpoints_resume_and_clear(spark, tmp_path):
     assert read().count() == 0
 
 
-def test_saves_are_throttled_and_in_order(spark, tmp_path):
+def test_each_jobs_saves_are_throttled_and_in_order(spark, tmp_path, monkeypatch):
     now, saved = [0.0], []
-    store = stores.Checkpoints(spark, str(tmp_path), lambda: now[0])
-    store._save = lambda row: saved.append(row["completedBlocks"])
-    for seconds, blocks, force in ((0, 0, False), (1, 5, False), (2, 20, False), (3, 30, False), (4, 31, True), (13, 32, False), (14, 33, False), (15, 53, False)):
+    monkeypatch.setattr(stores, "write_checkpoints", lambda states, path: saved.append({r.jobKey: r.completedBlocks for r in states.collect()}))
+    store = stores.Checkpoints(spark, f"file://{tmp_path}/c", lambda: now[0])
+    names = [f.split()[0] for f in stores.CHECKPOINT.split(", ") if not f.startswith("updatedAt")]
+    for seconds, a, b, force in ((0, 0, 0, False), (1, 5, 25, False), (2, 20, 26, False), (3, 30, 44, False), (4, 31, 45, True), (13, 32, 65, False), (14, 33, 66, False), (15, 53, 67, False)):
         now[0] = seconds
-        store.report({"completedBlocks": blocks}, force)
+        rows = [{"jobKey": key, "completedBlocks": n} for key, n in (("a", a), ("b", b))]
+        store.report(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(f for f in stores.CHECKPOINT.split(", ") if not f.startswith("updatedAt"))), force)
     store.close()
-    assert saved == [0, 20, 31, 33, 53]
+    assert saved == [{"a": 0, "b": 0}, {"b": 25}, {"a": 20}, {}, {"a": 31, "b": 45}, {"b": 65}, {"a": 33}, {"a": 53}]
+
+
+def test_two_books_have_their_own_saves_and_counts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(engine_module, "SLICE_SECONDS", 0.0)
+    shared = "<p>shared line</p>"
+    long = "word " * 150
+    for name, n in (("a", 60), ("b", 55)):
+        make_book(tmp_path / f"{name}.epub", {f"{name}{k}.xhtml": page(shared + "".join(f"<p>{name} {k} {b} {long}</p>" for b in range(n // 5))) for k in range(5)})
+    engine = Engine(spark, f"file://{tmp_path}/cache")
+    found = engine.inspect(str(tmp_path))
+    saves = []
+    write = stores.write_checkpoints
+    monkeypatch.setattr(stores, "write_checkpoints", lambda states, path: (saves.append({r.inputPath[-6:-5]: (r.status, r.completedBlocks) for r in states.collect()}), write(states, path)))
+    engine.translate(found, CONFIG.with_value("residual_quality_check", False), str(tmp_path / "out")).collect()
+    for name, total in (("a", 65), ("b", 60)):
+        own = [s[name] for s in saves if name in s]
+        assert own[0] == ("running", 0) and own[-1] == ("completed", total) and len(own) >= 4
+        assert [n for _, n in own] == sorted(n for _, n in own) and any(0 < n < total for status, n in own if status == "running")
+    rows = stores.read_checkpoints(spark, engine.checkpoint_path).collect()
+    assert sorted((r.status, r.completedBlocks, r.totalBlocks) for r in rows) == [("completed", 60, 60), ("completed", 65, 65)]
+    assert set(engine.elapsed_ms) == {"plan", "translate", "write"} and all(v > 0 for v in engine.elapsed_ms.values())
+
+
+def test_what_slices_have_done_outlives_a_failure(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(engine_module, "SLICE_SECONDS", 0.0)
+    long = "word " * 150
+    book = make_book(tmp_path / "a.epub", {"c.xhtml": page("".join(f"<p>{k} {long}</p>" for k in range(40)))})
+    log = f"{tmp_path}/asked"
+    config = CONFIG.with_value("max_retries", 1).with_value("max_concurrent", 2).with_value("residual_quality_check", False)
+    engine = Engine(spark, f"file://{tmp_path}/cache", failing_after(log, 25))
+    found = engine.inspect(book)
+    with pytest.raises(Exception, match="no more"):
+        engine.translate(found, config, str(tmp_path / "out"))
+    kept = read_cache(spark, engine.cache_path).count()
+    state = stores.read_checkpoints(spark, engine.checkpoint_path).first()
+    assert 0 < kept < 40 and (state.status, state.completedBlocks) == ("failed", kept)
+    again = Engine(spark, f"file://{tmp_path}/cache", counting_requests(log2 := f"{tmp_path}/again"))
+    assert again.translate(found, config, str(tmp_path / "out")).first().committed
+    assert len(open(log2).read().split()) == 40 - kept
+    state = stores.read_checkpoints(spark, engine.checkpoint_path).first()
+    assert (state.status, state.resumedBlocks, state.cachedBlocks, state.completedBlocks) == ("completed", kept, 0, 40)
+
+
+def test_a_run_has_one_bound_for_all_tasks(spark, tmp_path):
+    rows = [("c", k, [(f"b{k}", f"<p>{k}</p>")]) for k in range(60)]
+    batches = spark.createDataFrame(rows, "chapter_path string, batch_no long, blocks array<struct<id: string, html: string>>").repartition(8)
+    for limit in (1, 3, 6):
+        log = f"{tmp_path}/flights{limit}"
+        done = translate_batches(batches, Run(flying(log), limit))
+        assert done.count() == 60
+        events = sorted((float(at), int(step)) for at, step in (line.split() for line in open(log)))
+        under_way, most = 0, 0
+        for _, step in events:
+            under_way += step
+            most = max(most, under_way)
+        assert len(events) == 120 and most <= limit and (limit == 1 or most > 1)
+    assert [[Run(None, n).share(k, lanes) for k in range(lanes)] for n, lanes in ((8, 3), (3, 3), (2, 1))] == [[3, 3, 2], [1, 1, 1], [2]]
+
+
+def test_memory_goes_on_from_slice_to_slice(spark, tmp_path, monkeypatch):
+    long = " ".join(f"word{k}" for k in range(150))
+    pages = {f"chapter{k}.xhtml": page("".join(f"<p>c{k} b{b} {long}</p>" for b in range(2)), f"Title {k}") for k in range(6)}
+    book = make_book(tmp_path / "a.epub", pages)
+    config = CONFIG.with_value("residual_quality_check", False)
+    told = {}
+    for seconds in (0.0, 1000.0):
+        monkeypatch.setattr(engine_module, "SLICE_SECONDS", seconds)
+        engine = Engine(spark, f"file://{tmp_path}/c{seconds}", telling_translator, listing_memory, counting_memory)
+        told[seconds] = told_by(engine, config, book, tmp_path)
+    assert told[0.0] == told[1000.0] and len(told[0.0]) == 12
+    assert [c["title"] for c in told[0.0][5, 0]["memory"]["recentChapters"]] == ["OPS/chapter3.xhtml", "OPS/chapter4.xhtml"]
 
 
 def test_cancel_reaches_tasks_and_the_commit(spark, tmp_path):
