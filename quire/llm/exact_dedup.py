@@ -26,6 +26,8 @@ from quire.llm.common import stored, text_bytes
 
 SLOTS = 4
 MAX_KICKS = 200
+#: Rows that a shard takes at once.
+BATCH = 512
 #: Live texts that one shard is meant to hold; the number of shards follows from it.
 KEYS_PER_SHARD = 50_000
 INDEX = "shard int, digest binary, check long, n_bytes long, keep_id long, copies long, n_buckets int, slots binary"
@@ -122,16 +124,17 @@ class Shard:
         self.cuckoo = fresh
 
     def insert(self, table: pa.Table) -> None:
-        """Adds partial counts (a digest may come from many map tasks).
+        """Adds partial counts (a digest may come from many map tasks), batch by batch.
 
-        They are added up by digest first, so that the filter alone decides: a miss goes in without a look at the
-        records, and only a hit is looked up and verified.
+        Only within a batch are equal digests added up first. Whether one was seen in an earlier batch, or an earlier insertion, the
+        filter says: a miss goes in without a look at the records, a hit is looked up and verified.
         """
-        t = table.select(["digest", "check", "n_bytes", "keep_id", "copies"]).group_by(["digest", "check", "n_bytes"]).aggregate([("keep_id", "max"), ("copies", "sum")])
-        if len(t) and pc.count_distinct(t["digest"]).as_py() < len(t):
-            raise ValueError("two texts share a SHA-256 digest")
-        for batch in t.to_batches(max_chunksize=8192):
-            rows = batch.to_pydict()
+        columns = table.select(["digest", "check", "n_bytes", "keep_id", "copies"])
+        for begin in range(0, len(columns), BATCH):
+            t = columns.slice(begin, BATCH).group_by(["digest", "check", "n_bytes"]).aggregate([("keep_id", "max"), ("copies", "sum")])
+            if pc.count_distinct(t["digest"]).as_py() < len(t):
+                raise ValueError("two texts share a SHA-256 digest")
+            rows = t.to_pydict()
             hits = self.cuckoo.contains(hashes_of(rows["digest"])).tolist()
             new = []
             for hit, digest, *record in zip(hits, *(rows[c] for c in ("digest", "check", "n_bytes", "keep_id_max", "copies_sum")), strict=True):
