@@ -12,8 +12,8 @@ about one or two of its smallest sizes, unless its documents are too few to come
 
 Defined cases: null text has size 0; a null source is a source of its own, the last one; sources without
 words have target 0; documents of size 0 take no words; rows that agree in doc_id (also null), source and size
-are interchangeable and are counted together within each input partition, so that they fill no group; ties go by
-doc_id; empty tables give no rows; other columns than doc_id, source and text are left out, whatever their names.
+are interchangeable and are counted together, in pieces of at most as many as a group holds; how the rows are
+split into partitions decides nothing; ties go by doc_id; empty tables give no rows; other columns than doc_id, source and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,13 +107,18 @@ def solve(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, tolerance:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, group: int = GROUP) -> DataFrame:
     """doc_id, source, size, source_size, target, rate and copies (0 to cap) of each row."""
-    rows = stored(sizes(docs).groupBy("doc_id", "source", "size", F.spark_partition_id().alias("split")).agg(F.count("*").alias("rows")))
-    histogram = stored(rows.groupBy("source", "size").agg(F.sum("rows").alias("n")))
+    alike = sizes(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("all"))
+    pieces = alike.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / group))))
+    rows = stored(pieces.select("doc_id", "source", "size", "piece", F.least(F.lit(group), F.col("all") - F.col("piece") * group).alias("rows")))
+    histogram = stored(rows.groupBy("source", "size").agg(F.sum("rows").alias("n"), F.count("*").alias("pieces")))
+    groups = histogram.groupBy(F.col("source").alias("of")).agg(F.ceil(F.sum("pieces") / group).alias("groups"))
     duals = solve(histogram, targets(histogram, weights, budget, cap), cap)
+    # sums of doubles hang on their order; beyond these digits the duals may differ from run to run
+    duals = duals.withColumn("dual", F.round("dual", 6)).join(groups, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     dealt = rows.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     wanted = rate(F.col("dual"), F.col("size"), F.col("mean"), cap)
-    entry = F.struct((-F.col("size")).alias("less"), "doc_id", "split", "size", F.col("rows").alias("n"), wanted.alias("rate"))
-    part = F.pmod(F.xxhash64("doc_id", "size", "split", F.lit("part")), F.ceil(F.col("n_docs") / group)).alias("part")
+    entry = F.struct((-F.col("size")).alias("less"), "doc_id", "piece", "size", F.col("rows").alias("n"), wanted.alias("rate"))
+    part = F.pmod(F.xxhash64("doc_id", "size", "piece", F.lit("part")), F.col("groups")).alias("part")
     lists = dealt.groupBy("source", "source_size", "target", part).agg(F.array_sort(F.collect_list(entry)).alias("list"))
     words = lambda x: x["rate"] * x["n"] * x["size"]
     most = lambda x: cap * x["n"] * x["size"]

@@ -77,6 +77,13 @@ def test_full_sources_are_taken_twice_and_reruns_agree(docs):
     assert full.where("copies <> 2").count() == 0 < full.count()
 
 
+def test_the_split_of_the_input_decides_nothing(spark, docs):
+    rows = spark.createDataFrame([(k % 400, "w " * (1 + k % 400 * 37 % 90), f"s{k % 3}") for k in range(1000)] + [(5000, "w w", "s1")] * 60, "doc_id long, text string, source string")
+    for frame in (rows, docs.select("doc_id", "text", "source")):
+        told = [sorted(map(repr, mix(frame.repartition(n, F.rand(n)), group=10).select("doc_id", "source", "size", "copies").collect())) for n in (1, 3, 7)]
+        assert told[0] == told[1] == told[2]
+
+
 def test_empty_and_wordless(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(empty).count() == 0
