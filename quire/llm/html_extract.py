@@ -1,12 +1,15 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Blocks inside menus, page headers and footers, sidebars, notices,
-adverts, forms and reader comments (by tag, role, class or id) are boilerplate at once. In the first pass,
-link density, length and stop-word density decide the others; short ones without a clear sign stay
-ambiguous. In the second pass these take the label of their nearest decided neighbours. If the articles of a page (or else
+adverts, forms and reader comments (by tag, role, or a class or id that names such a part) are boilerplate at once; what a blog
+files an article under (category-, tag-) names no part, headings and articles are none, and an element with most of a
+page's text isn't one for a loose name such as "related". In the first pass,
+link density, length and stop-word density decide the others: bad are links without text of their own, good is what is long and
+has stop words, and all else stays ambiguous. In the second pass these take the label of their nearest decided
+neighbours; without any, the longest block with a letter is good. If the articles of a page (or else
 its <main>) hold a good part of what was found good, only blocks in them are taken. There a long block needs no stop words,
-and links speak against a block only in a run of linked list items or boxes, a menu. Where the stop words at hand find no
-good block, the page's own frequent short words (single characters in scripts without spaces) take their place.
+and links speak against a block only in a run of short linked list items or boxes, a menu. The page's own frequent short
+words (single characters in scripts without spaces) count as stop words too.
 
 Defined cases: null or empty html gives an empty text; unclosed tags and comments end with their parent or
 the page; an embedded object without an end tag is passed over, and its content kept; unknown character references stay as they are; repeated rows and equal ids are kept; empty tables
@@ -44,11 +47,18 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces cette dans de des du elle en est et eux il ils je la le les leur lui ma mais me ne nous on ou où par pas plus pour qu que qui sa se ses son sont sur un une vous y à été être "
     "al con como cual de del desde donde el ella ellos en entre era es esta este fue ha hay la las le lo los más me mi muy no o os para pero por porque que se ser si sin sobre son su sus también te tu un una uno ya".split()
 )
-LONG, LONGER = 70, 200  # characters
-STOPS_LOW, STOPS_HIGH = 0.2, 0.3
+#: Of these, those of reader comments, and those that an article may have, too.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond".split())
+LOOSE_NAMES = frozenset("banner header masthead notice notices promo promoted promotion recommended related share sharing skip social teaser teasers widget widgets".split())
+#: How blogs begin the classes that tell what an article is, or is filed under.
+FILED = ("category-", "tag-", "post-", "type-", "format-", "status-")
+#: Share of a page's text from which an element is no boilerplate by a loose name.
+MOST = 0.5
+LONG = 70  # characters
+STOPS = 0.2
 LINKS_HIGH = 0.5
-#: Linked blocks in a row that make a menu inside an article.
-MENU = 3
+#: Linked blocks in a row that make a menu inside an article, if they have fewer characters than that on average.
+MENU, MENU_ITEM = 3, 25
 #: Share of a page's good text from which its articles, or its <main>, are taken alone.
 SHARE = 0.3
 #: Letters of a short word, and how often it must stand on a page, for a stop word of the page's own.
@@ -67,6 +77,7 @@ GOOD, BAD, AMBIGUOUS = "good", "bad", "ambiguous"
 class Block:
     tag: str
     containers: frozenset[str]  # article and main, as far as it is inside them
+    regions: tuple[int, ...]  # the elements around it that are boilerplate by name
     pieces: list[str] = field(default_factory=list)
     linked: int = 0  # characters inside links
     text: str = ""
@@ -84,23 +95,37 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)} if source.strip(" /") else {}
 
 
+def names_of(value: str) -> set[str]:
+    """What the classes or the id of an element call it: each as a whole, and the last word of a compound."""
+    tokens = [re.sub(r"([a-z])([A-Z])", r"\1-\2", t).lower() for t in value.split()]
+    tokens = [re.sub(r"[^a-z]+", "-", t).strip("-") for t in tokens if not t.startswith(FILED)]
+    return {name for t in tokens for name in (t.replace("-", ""), t.rpartition("-")[2])}
+
+
 def is_boilerplate(tag: str, attrs: dict[str, str], inside: frozenset[str]) -> bool:
-    """By tag, role, visibility, class or id; inside: the enclosing containers."""
+    """By tag, role or visibility; inside: the enclosing containers."""
     if tag in BOILERPLATE_TAGS or (tag == "header" and not inside):
         return True
     if tag in ("html", "body", "main") or not attrs:
         return False
-    if attrs.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
-    names = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
-    found = names & BOILERPLATE_NAMES
-    return bool(found) and not (found == {"header"} and inside)
+    return attrs.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+
+
+def called_boilerplate(tag: str, attrs: dict[str, str], inside: frozenset[str]) -> frozenset[str]:
+    """The names of boilerplate that an element has by its class or id."""
+    if tag in ("html", "body", "main") or tag in HEADINGS or not attrs:
+        return frozenset()
+    found = names_of(f"{attrs.get('class', '')} {attrs.get('id', '')}") & BOILERPLATE_NAMES
+    if tag == "article":
+        found &= COMMENT_NAMES
+    return frozenset(found - {"header"} if inside else found)
 
 
 def cut(page: str) -> list[Block]:
     """The blocks with text that aren't boilerplate by their place."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, frozenset[str]]] = []  # tag, boilerplate, containers
+    stack: list[tuple[str, bool, frozenset[str], tuple[int, ...]]] = []  # tag, boilerplate, containers, regions
+    called: list[frozenset[str]] = []  # the names of each region
     links, current, at = 0, None, 0
     endless: set[str] = set()  # embedded objects without a further end tag
 
@@ -110,8 +135,8 @@ def cut(page: str) -> list[Block]:
             if current is None:
                 if not text.strip():
                     return
-                tag = next((t for t, _, _ in reversed(stack) if t in BLOCKS), "")
-                current = Block(tag, stack[-1][2] if stack else frozenset())
+                tag = next((entry[0] for entry in reversed(stack) if entry[0] in BLOCKS), "")
+                current = Block(tag, *((stack[-1][2], stack[-1][3]) if stack else (frozenset(), ())))
                 blocks.append(current)
             current.pieces.append(text)
             current.linked += len(text.strip()) if links else 0
@@ -129,8 +154,8 @@ def cut(page: str) -> list[Block]:
         if m["end"] or m["end2"]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             # an inline end tag closes nothing beyond its block
-            if depth is not None and (tag in BLOCKS or not any(t in BLOCKS for t, _, _ in stack[depth + 1 :])):
-                links -= sum(t == "a" for t, _, _ in stack[depth:])
+            if depth is not None and (tag in BLOCKS or not any(entry[0] in BLOCKS for entry in stack[depth + 1 :])):
+                links -= sum(entry[0] == "a" for entry in stack[depth:])
                 del stack[depth:]
             continue
         attrs_source = m["attrs"] if m["tag"] else m["attrs2"]
@@ -154,18 +179,28 @@ def cut(page: str) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 name = stack[k][0]
                 if name == "p" or name in like:
-                    links -= sum(t == "a" for t, _, _ in stack[k:])
+                    links -= sum(entry[0] == "a" for entry in stack[k:])
                     del stack[k:]
                     if name != "p":
                         break
                 elif name in BLOCKS and (not like or name in stops):
                     break
-        above, inside = (stack[-1][1], stack[-1][2]) if stack else (False, frozenset())
-        dropped = above or is_boilerplate(tag, attributes(attrs_source), inside)
-        stack.append((tag, dropped, inside | {tag} if tag in ("article", "main") else inside))
+        above, inside, regions = stack[-1][1:] if stack else (False, frozenset(), ())
+        attrs = attributes(attrs_source)
+        dropped = above or is_boilerplate(tag, attrs, inside)
+        if not dropped and (names := called_boilerplate(tag, attrs, inside)):
+            regions = (*regions, len(called))
+            called.append(names)
+        stack.append((tag, dropped, inside | {tag} if tag in ("article", "main") else inside, regions))
         links += tag == "a"
     add(page[at:])
-    return [b for b in blocks if b.close().text]
+    found = [b for b in blocks if b.close().text]
+    size = Counter()
+    for b in found:
+        size.update(dict.fromkeys(b.regions, len(b.text)))
+    whole = sum(len(b.text) for b in found)
+    gone = {k for k, names in enumerate(called) if not names <= LOOSE_NAMES or size[k] <= MOST * whole}
+    return [b for b in found if not gone & set(b.regions)]
 
 
 def own_stop_words(blocks: list[Block]) -> frozenset[str]:
@@ -175,14 +210,11 @@ def own_stop_words(blocks: list[Block]) -> frozenset[str]:
 
 
 def menus(blocks: list[Block]) -> list[bool]:
-    """Whether each block is in a run of at least MENU linked ones that aren't prose."""
-    out = [b.is_linked and b.tag not in PROSE for b in blocks]
-    at = 0
-    for linked, run in groupby(out[:]):
-        n = len(list(run))
-        if linked and n < MENU:
-            out[at : at + n] = [False] * n
-        at += n
+    """Whether each block is in a run of at least MENU linked ones that are short and no prose."""
+    out: list[bool] = []
+    for linked, run in groupby(blocks, lambda b: b.is_linked and b.tag not in PROSE):
+        lengths = [len(b.text) for b in run]
+        out += [linked and len(lengths) >= MENU and sum(lengths) < MENU_ITEM * len(lengths)] * len(lengths)
     return out
 
 
@@ -190,18 +222,14 @@ def first_pass(b: Block, in_menu: bool, stop_words: frozenset[str]) -> str:
     words = WORDS.findall(b.text.lower())
     stops = sum(w in stop_words for w in words) / len(words) if words else 0.0
     if b.containers:
-        return BAD if in_menu else GOOD if len(b.text) >= LONG or stops >= STOPS_LOW else AMBIGUOUS
-    if b.is_linked:
+        return BAD if in_menu else GOOD if len(b.text) >= LONG or stops >= STOPS else AMBIGUOUS
+    if in_menu or b.is_linked:
         return BAD
-    if b.tag in HEADINGS or len(b.text) < LONG:
-        return BAD if b.linked and b.tag not in HEADINGS else AMBIGUOUS
-    if stops >= STOPS_HIGH or (stops >= STOPS_LOW and len(b.text) >= LONGER):
-        return GOOD
-    return AMBIGUOUS if stops >= STOPS_LOW else BAD
+    return GOOD if len(b.text) >= LONG and stops >= STOPS else AMBIGUOUS
 
 
-def second_pass(labels: list[str], otherwise: str) -> list[str]:
-    """Ambiguous blocks take the label of the nearest decided one; if two are as near, good wins; without any: `otherwise`."""
+def second_pass(labels: list[str]) -> list[str]:
+    """Ambiguous blocks take the label of the nearest decided one; if two are as near, good wins; without any, they are good."""
     n = len(labels)
     before, after = [n + 1] * n, [n + 1] * n  # distances
     for k in range(n):
@@ -211,22 +239,24 @@ def second_pass(labels: list[str], otherwise: str) -> list[str]:
     out = []
     for k, label in enumerate(labels):
         near = [labels[j] for j, d in ((k - before[k], before[k]), (k + after[k], after[k])) if d == min(before[k], after[k]) and d <= n and 0 <= j < n]
-        out.append(label if label != AMBIGUOUS else GOOD if GOOD in near else BAD if near else otherwise)
+        out.append(label if label != AMBIGUOUS else GOOD if GOOD in near or not near else BAD)
     return out
 
 
 def good_blocks(blocks: list[Block], stop_words: frozenset[str]) -> list[Block]:
-    held = bool(blocks) and all(b.containers for b in blocks)
-    labels = second_pass([first_pass(b, m, stop_words) for b, m in zip(blocks, menus(blocks), strict=True)], GOOD if held else BAD)
-    return [b for b, label in zip(blocks, labels, strict=True) if label == GOOD]
+    labels = [first_pass(b, m, stop_words) for b, m in zip(blocks, menus(blocks), strict=True)]
+    if GOOD not in labels:
+        rest = [k for k, label in enumerate(labels) if label == AMBIGUOUS and (blocks[k].containers or any(c.isalpha() for c in blocks[k].text))]
+        if not rest:
+            return []
+        labels[max(rest, key=lambda k: len(blocks[k].text))] = GOOD
+    return [b for b, label in zip(blocks, second_pass(labels), strict=True) if label == GOOD]
 
 
 def extract(page: str) -> str:
     blocks = cut(page)
-    stop_words = STOP_WORDS
-    if not (good := good_blocks(blocks, stop_words)):
-        stop_words = own_stop_words(blocks)
-        good = good_blocks(blocks, stop_words)
+    stop_words = STOP_WORDS | own_stop_words(blocks)
+    good = good_blocks(blocks, stop_words)
     size = lambda found: sum(len(b.text) for b in found)
     for container in ("article", "main"):
         inside = good_blocks([b for b in blocks if container in b.containers], stop_words)

@@ -3,6 +3,7 @@
 from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm.html_extract import extract, extract_pages
 
@@ -75,6 +76,38 @@ def test_extract(page, text):
     assert extract(page) == text
 
 
+SOURCES = ["Smith, A history of the northern harbours", "Jones, Boats and those who build them", "Miller, Letters from the coast, volume two"]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<p>{RUSSIAN}</p><p>{RUSSIAN}</p><p>{LONG}</p><p>{RUSSIAN}</p>", "\n\n".join([RUSSIAN, RUSSIAN, LONG, RUSSIAN])),
+        *((f"<{tag} class='post category-social tag-ads'><p>{LONG}</p><p>{LONG}</p></{tag}>", f"{LONG}\n\n{LONG}") for tag in ("article", "div")),
+        *((f"<{tag} class='post related'><p>{LONG}</p></{tag}><p>Short.</p>", f"{LONG}\n\nShort." if tag == "div" else LONG) for tag in ("article", "div")),
+        ("<html><body><p>Closed today.</p></body></html>", "Closed today."),
+        ("<p>Bugün hava çok güzel.</p>", "Bugün hava çok güzel."),
+        (f"<p>{LONG}</p><table><tr><td>H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn<td>12 34</table><p>{LONG}</p>", f"{LONG}\n\nH He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn\n\n12 34\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><ul>{''.join(f'<li><a href=x>{s}</a>' for s in SOURCES)}</ul></article>", "\n\n".join([LONG, *SOURCES])),
+        (f"<article><p>{LONG}</p><h2 class='related-work'>Related work</h2><p>{LONG}</p></article>", f"{LONG}\n\nRelated work\n\n{LONG}"),
+        (f"<div class='ad'>{LONG} {LONG}</div><div><p>Short text.</p></div>", "Short text."),
+        (f"<p>{LONG}</p><div class='comments'>{''.join(f'<article><p>{LONG}</p></article>' for _ in range(5))}</div>", LONG),
+        (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article>", LONG),
+    ],
+)
+def test_nothing_else_is_dropped(page, text):
+    assert extract(page) == text
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_rules_find_what_the_article_tag_marks(spark, sf):
+    """The pages of the tables with their articles turned into plain boxes give the same texts."""
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace("html", "<(/?)article\\b", "<$1div"))
+    told = [{r.page_id: r.text for r in extract_pages(p).collect()} for p in (pages, plain)]
+    assert told[0] == told[1] and len(told[0]) >= 50
+
+
 def test_frames(spark):
     rows = [(1, "u", "<article><p>x</p></article>", "t"), (1, "u", "<article><p>x</p></article>", "t"), (None, None, None, None), (2, "v", "<p>" + LONG * 3000, "t")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
