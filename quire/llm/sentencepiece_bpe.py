@@ -13,7 +13,7 @@ child of the first merge that its key skips, and so on; where the tree isn't kep
 
 Characters without a piece become byte pieces; so does U+2581, which stands for a space inside pieces.
 Defined cases: null text has null ids, empty text none; a null doc_id is hashed as a key of its own; repeated
-rows get equal ids; empty tables give no rows. Whole texts are encoded.
+rows get equal ids, unless they are told to be copies; empty tables give no rows. Whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -276,9 +276,10 @@ class DropoutEncoder:
             both[rp, sp], score[rp, sp] = self._both(result[rp, sp], piece[prior])
         return result, np.concatenate([r for r, _ in taken]), np.concatenate([c for _, c in taken])
 
-    def _keys(self, doc_id: int | None, n: int) -> np.ndarray:
-        """The keys of a document's first n units."""
+    def _keys(self, doc_id: int | None, n: int, copy: int = 0) -> np.ndarray:
+        """The keys of a document's first n units; each further copy has its own."""
         key = mix(mix(self.seed) + (0x5EED if doc_id is None else doc_id * 2 + 1) & MASK)
+        key = mix(key + copy & MASK) if copy else key
         keys = mix_all(np.arange(n, dtype=np.uint64) + np.uint64(key))
         return keys if self.variants is None else mix_all(keys % np.uint64(self.variants) + np.uint64(mix(self.seed)))
 
@@ -340,10 +341,10 @@ class DropoutEncoder:
         out[spread(places[kept], counts[kept])] = t.ids.all[spread(starts, counts[kept])]
         return out, counts
 
-    def encode_all(self, doc_ids: list[int | None], texts: list[str]) -> list[np.ndarray]:
+    def encode_all(self, doc_ids: list[int | None], texts: list[str], copies: list[int] | None = None) -> list[np.ndarray]:
         by_doc = [self.units(text) for text in texts]
         units = list(chain.from_iterable(by_doc))
-        keys = np.concatenate([np.empty(0, np.uint64), *(self._keys(d, len(u)) for d, u in zip(doc_ids, by_doc, strict=True))])
+        keys = np.concatenate([np.empty(0, np.uint64), *(self._keys(d, len(u), c) for d, u, c in zip(doc_ids, by_doc, copies or repeat(0), strict=copies is not None))])
         parts = []
         for k in range(0, len(units), WALK):
             if len(self.nodes.unit) > KEPT_UNITS:
@@ -363,15 +364,27 @@ def encoder_of(path: str, dropout: float, seed: int, variants: int | None) -> Dr
     return DropoutEncoder(path, dropout, seed, variants)
 
 
-def _encoder(path: str, dropout: float, seed: int, variants: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _copies(doc_ids: list[int | None], texts: list[str | None], before: tuple) -> tuple[list[int], tuple]:
+    """How many rows with the same doc_id and text stand right before each row; before: doc_id, text and number of the last row."""
+    out = []
+    for doc_id, text in zip(doc_ids, texts, strict=True):
+        before = (doc_id, text, before[2] + 1 if before[:2] == (doc_id, text) else 0)
+        out.append(before[2])
+    return out, before
+
+
+def _encoder(path: str, dropout: float, seed: int, variants: int | None, copies_follow: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
+        coder, before, copies = None, (None, None, -1), None
         for batch in batches:
             coder = coder or encoder_of(path, dropout, seed, variants)
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 texts = part.column("text").to_pylist()
-                coded = coder.encode_all(part.column("doc_id").to_pylist(), [t or "" for t in texts])
+                doc_ids = part.column("doc_id").to_pylist()
+                if copies_follow:
+                    copies, before = _copies(doc_ids, texts, before)
+                coded = coder.encode_all(doc_ids, [t or "" for t in texts], copies)
                 ends = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
                 null = pa.array([t is None for t in texts])
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded)), mask=null)
@@ -380,11 +393,15 @@ def _encoder(path: str, dropout: float, seed: int, variants: int | None) -> Call
     return encode
 
 
-def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS) -> DataFrame:
-    """All columns of the documents and ids (array of int); a column named ids is replaced."""
+def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS, copies_follow: bool = False) -> DataFrame:
+    """All columns of the documents and ids (array of int); a column named ids is replaced.
+
+    copies_follow: a row that follows one with its doc_id and text is a further copy, and draws skips of its own (but for one
+    that is the first of a task).
+    """
     rows = docs.drop("ids").withColumns({"doc_id": docs["doc_id"].cast("long"), "text": docs["text"].cast("string")})
     schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(_encoder(path, dropout, seed, variants), schema)
+    return rows.mapInArrow(_encoder(path, dropout, seed, variants, copies_follow), schema)
 
 
 def _decoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

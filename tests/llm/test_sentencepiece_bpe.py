@@ -78,3 +78,16 @@ def test_tree_is_the_plain_agenda():
         for k, (text, got) in enumerate(zip(texts, coder.encode_all(list(range(len(texts))), texts), strict=True)):
             units = coder.units(text)
             assert got.tolist() == [i for u, key in zip(units, coder._keys(k, len(units)).tolist(), strict=True) for i in coder.segment(u, key)]
+
+
+def test_copies_that_follow_draw_anew(spark):
+    """Of a row's copies, each has its own segmentation, and all decode to its text; reruns agree."""
+    text = "the quick brown foxes were jumping over several lazy dogs yesterday " * 20
+    rows = [(1, text)] * 3 + [(2, text)] * 2 + [(2, "other words")] + [(None, text)] * 2 + [(None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    first, again = ([r.ids for r in encode(docs, path, copies_follow=True).collect()] for _ in range(2))
+    plain = [r.ids for r in encode(docs, path).collect()]
+    assert first == again and [first[k] for k in (0, 3, 5, 6)] == [plain[k] for k in (0, 3, 5, 6)]
+    assert len({tuple(first[k]) for k in (0, 1, 2, 3, 4, 6, 7)}) == 7 and len({tuple(plain[k]) for k in (0, 1, 2)}) == 1
+    assert [r.decoded for r in decode(encode(docs, path, copies_follow=True), path).collect()] == [t for _, t in rows]
