@@ -48,6 +48,11 @@ def test_stages(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = {r.doc_id: r.text for r in apart.collect()}
     assert len(coded) == mixed.count() and all(model.decode(list(r.ids)) == texts[r.doc_id] and r.n_tokens == len(r.ids) for r in coded)
+    copies = {}
+    for r in coded:
+        copies.setdefault(r.doc_id, set()).add(tuple(r.ids))
+    twice = [d for d, n in Counter(ids(mixed)).items() if n == 2 and d >= 0]
+    assert sum(len(copies[d]) == 2 for d in twice) > 0.9 * len(twice) > 0
 
 
 def test_run_and_empty(spark, tmp_path):
