@@ -3,7 +3,7 @@
 A text is cut by a pattern; each piece is merged on its own, the adjacent pair with the least rank first, the leftmost
 of equal ones. A segment tree over the byte positions of a piece holds, at each node, the least (rank, position) of
 the pairs that start below it. A merge takes the root's pair and makes point updates for what it changed: the pair that is
-gone, the grown one, and that of the live neighbour before it, each in a logarithmic number of steps. So a piece of n bytes
+gone, the grown one, and that of the live neighbour before it, each up to the root. So a piece of n bytes
 (a line of a million letters, say) takes n log n steps. A piece that is a token as a whole is this token at once.
 
 Workers keep the ids of short pieces, at most KEPT of them.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces whose ids a worker keeps, and how many characters such a piece has at most.
-KEPT, SHORT = 400_000, 64
+KEPT, SHORT = 600_000, 64
+#: Characters from which a text's pieces are found one by one.
+LONG = 1 << 20
 #: More than any rank times the positions of a piece.
 NO_PAIR = 1 << 62
 
@@ -52,45 +54,48 @@ class PairTree:
         self.before = list(range(-1, n))
         # a pair is its rank and its position in one number, so of equal ranks the leftmost is the least
         pairs = [NO_PAIR if (rank := rank_of(piece[k : k + 2])) is None else rank * n + k for k in range(n - 1)]
-        self.leaves = leaves = 1 << max(0, len(pairs) - 1).bit_length()
-        self.least = least = [NO_PAIR] * leaves + pairs + [NO_PAIR] * (leaves - len(pairs))
+        self.leaves = leaves = 1 << (n - 1).bit_length()
+        self.least = least = [NO_PAIR] * leaves + pairs + [NO_PAIR] * (leaves - n + 1)
         for node in range(leaves - 1, 0, -1):
             left, right = least[2 * node], least[2 * node + 1]
             least[node] = left if left < right else right
 
-    def put(self, at: int, value: int) -> None:
-        """The pair that starts here is now this one."""
-        least, node = self.least, self.leaves + at
-        while least[node] != value:
-            least[node] = value
-            if node == 1:
-                return
-            other = least[node ^ 1]
-            if other < value:
-                value = other
-            node >>= 1
-
-    def merge(self) -> bool:
-        """Merges the least pair; False if there is none."""
-        if (least := self.least[1]) == NO_PAIR:
-            return False
-        n, after, piece = self.n, self.after, self.piece
-        rank, at = divmod(least, n)
-        self.ids[at] = rank
-        gone = after[at]
-        after[at] = end = after[gone]
-        self.before[end] = at
-        if end == n:  # no pair starts at the last position, and none has a leaf there
-            grown = None
-        else:
-            grown = self.rank_of(piece[at : after[end]])
-        if gone < n - 1:
-            self.put(gone, NO_PAIR)
-        self.put(at, NO_PAIR if grown is None else grown * n + at)
-        if (back := self.before[at]) >= 0:
-            rank = self.rank_of(piece[back:end])
-            self.put(back, NO_PAIR if rank is None else rank * n + back)
-        return True
+    def merge(self, most: int = NO_PAIR) -> int:
+        """Merges the least pair, again and again, at most so many times; tells how often.
+
+        A merge changes three leaves: the pair that is gone, the grown one, and that of the live neighbour before it. Their ancestors
+        are renewed level by level, those that they share once.
+        """
+        piece, rank_of, n, ids, after, before, least, leaves = self.piece, self.rank_of, self.n, self.ids, self.after, self.before, self.least, self.leaves
+        done = 0
+        while done < most and (top := least[1]) != NO_PAIR:
+            rank, at = divmod(top, n)
+            ids[at] = rank
+            gone = after[at]
+            after[at] = end = after[gone]
+            before[end] = at
+            rank = None if end == n else rank_of(piece[at : after[end]])
+            high, middle = leaves + gone, leaves + at
+            least[high] = NO_PAIR
+            least[middle] = NO_PAIR if rank is None else rank * n + at
+            if (back := before[at]) >= 0:
+                rank = rank_of(piece[back:end])
+                low = leaves + back
+                least[low] = NO_PAIR if rank is None else rank * n + back
+            else:
+                low = middle
+            while high > 1:
+                low, middle, high = low >> 1, middle >> 1, high >> 1
+                left, right = least[2 * high], least[2 * high + 1]
+                least[high] = left if left < right else right
+                if middle != high:
+                    left, right = least[2 * middle], least[2 * middle + 1]
+                    least[middle] = left if left < right else right
+                if low != middle:
+                    left, right = least[2 * low], least[2 * low + 1]
+                    least[low] = left if left < right else right
+            done += 1
+        return done
 
     def tokens(self) -> list[int]:
         """The ids of the live positions."""
@@ -118,8 +123,7 @@ class Encoder(dict):
         if (whole := self.ranks.get(data)) is not None:
             return (whole,)
         tree = PairTree(data, self.ranks, self.single)
-        while tree.merge():
-            pass
+        tree.merge()
         return tuple(tree.tokens())
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -132,7 +136,9 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> array:
-        return array("i", chain.from_iterable(map(self.__getitem__, map(itemgetter(0), self.pattern.finditer(text)))))
+        # the pieces of a long text are never all there at once
+        pieces = self.pattern.findall(text) if len(text) < LONG else map(itemgetter(0), self.pattern.finditer(text))
+        return array("i", chain.from_iterable(map(self.__getitem__, pieces)))
 
 
 @lru_cache(1)

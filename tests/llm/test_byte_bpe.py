@@ -36,7 +36,7 @@ def test_tree_merges_the_leftmost_least_pair():
     for _ in range(500):
         piece = bytes(draw.choices(b"abcd", k=draw.randrange(1, 40)))
         tree = PairTree(piece, ranks, list(range(256)))
-        while tree.merge():
+        while tree.merge(1):
             live = [k for k in range(tree.n - 1) if tree.least[tree.leaves + k] < byte_bpe.NO_PAIR]
             assert tree.least[1] == min((tree.least[tree.leaves + k] for k in live), default=byte_bpe.NO_PAIR)
         assert tree.tokens() == [ranks[t] for t in plain_merges(piece, ranks)]
@@ -56,6 +56,13 @@ def test_long_pieces(library):
         assert list(coder.encode(text)) == library.encode_ordinary(text)
 
 
+def test_texts_beyond_the_limit_of_a_list(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LONG", 50)
+    coder = Encoder(PATH, public_tokenizers.PATTERN)
+    for text in ("one two three, " * 30, "short", "x" * 50, "x" * 49):
+        assert list(coder.encode(text)) == library.encode_ordinary(text)
+
+
 def test_kept_pieces_are_bounded(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "KEPT", 10)
     coder = Encoder(PATH, public_tokenizers.PATTERN)
