@@ -242,6 +242,21 @@ def cache_probe(spark, d):
     return cache.probe(rows, cached(spark, d)).select("doc_id", "block_idx", "translated_html", "pending")
 
 
+@query(
+    f"""WITH {BLOCKS}, k AS (SELECT sha256(source_text) AS cache_key, max(CASE WHEN doc_id % 3 = 0 THEN 'new:' ELSE 'old:' END || source_text) FILTER (doc_id % 3 = 0) AS newer, max('old:' || source_text) FILTER (doc_id % 3 = 1) AS older FROM b WHERE doc_id % 3 < 2 GROUP BY 1)
+    SELECT b.doc_id, b.block_idx, coalesce(k.newer, k.older) AS translated_html FROM b LEFT JOIN k ON sha256(b.source_text) = k.cache_key"""
+)
+def cache_store(spark, d):
+    """Two runs write lines to a stored cache, which is compacted; then all lines look theirs up."""
+    path = f"file://{shared_folder(spark, 'cache')}"
+    rows = document_blocks(spark, d).withColumn("cache_key", F.sha2("source_text", 256))
+    for run, (third, word) in enumerate(((1, "old:"), (0, "new:"))):
+        part = rows.where(F.col("doc_id") % 3 == third).select("cache_key", F.concat(F.lit(word), "source_text").alias("translated_html"), F.timestamp_seconds(F.lit(run)).alias("written_at"))
+        cache.write_cache(part, path)
+    cache.compact(spark, path, 1)
+    return cache.probe(rows, cache.lookup(spark, path, rows)).select("doc_id", "block_idx", "translated_html")
+
+
 @query(f"WITH {BLOCKS}, {CACHE} SELECT doc_id, block_idx FROM b WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.cache_key = sha256(b.source_text))")
 def cache_pending(spark, d):
     rows = document_blocks(spark, d).withColumn("cache_key", F.sha2("source_text", 256))
@@ -546,12 +561,14 @@ def lenient_ints(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT unnest(range(1, 9)) AS attempt), x AS (SELECT attempt, delay, status FROM a, (SELECT unnest([1, 5, 20]) AS delay) d, (SELECT unnest([429, 500]) AS status) s)
-    SELECT CAST(attempt AS BIGINT) AS attempt, CAST(delay AS BIGINT) AS delay, CAST(status AS BIGINT) AS status, CAST(CASE WHEN status = 429 THEN least(90, greatest(5, delay) * power(2, least(attempt - 1, 4))) ELSE greatest(1, delay) END AS BIGINT) AS seconds, CAST(CASE WHEN status = 429 THEN 8 ELSE 3 END AS BIGINT) AS attempts FROM x"""
+    """WITH x AS (SELECT event_id, event_id % 9 + 1 AS attempt, [1, 5, 20][CAST(event_id // 9 % 3 + 1 AS INT)] AS delay, CASE WHEN event_id % 2 = 0 THEN 429 ELSE 500 END AS status FROM events)
+    SELECT event_id, CAST(attempt AS BIGINT) AS attempt, CAST(delay AS BIGINT) AS delay, CAST(status AS BIGINT) AS status, CAST(CASE WHEN status = 429 THEN least(90, greatest(5, delay) * power(2, least(attempt - 1, 4))) ELSE greatest(1, delay) END AS BIGINT) AS seconds, CAST(CASE WHEN status = 429 THEN 8 ELSE 3 END AS BIGINT) AS attempts FROM x"""
 )
 def backoff(spark, d):
-    rows = spark.range(1, 9).select(F.col("id").alias("attempt"), F.explode(F.array(F.lit(1), F.lit(5), F.lit(20)).cast("array<long>")).alias("delay")).withColumn("status", F.explode(F.array(F.lit(429), F.lit(500)).cast("array<long>")))
-    return rows.select("attempt", "delay", "status", numbers.retry_delay(F.col("status"), F.lit(None).cast("long"), F.col("delay"), F.col("attempt")).alias("seconds"), numbers.max_attempts(F.col("status"), F.lit(3)).cast("long").alias("attempts"))
+    """Each event as a failed request: how long to wait, and how many attempts there are."""
+    delay = F.element_at(F.array(F.lit(1), F.lit(5), F.lit(20)).cast("array<long>"), (F.floor(F.col("event_id") / 9) % 3 + 1).cast("int"))
+    rows = table(spark, d, "events").select("event_id", (F.col("event_id") % 9 + 1).cast("long").alias("attempt"), delay.alias("delay"), F.when(F.col("event_id") % 2 == 0, 429).otherwise(500).cast("long").alias("status"))
+    return rows.select("event_id", "attempt", "delay", "status", numbers.retry_delay(F.col("status"), F.lit(None).cast("long"), F.col("delay"), F.col("attempt")).alias("seconds"), numbers.max_attempts(F.col("status"), F.lit(3)).cast("long").alias("attempts"))
 
 
 TOKENS = "SELECT doc_id, array_to_string(list_sort(list_distinct([t FOR t IN regexp_split_to_array(lower(text), '\\s+') IF t <> ''])), ' ') AS tokens FROM documents"
