@@ -6,8 +6,6 @@ blocks; events are job steps of a user; pages are archive members.
 
 from __future__ import annotations
 
-import os
-import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -37,13 +35,12 @@ def query(sql: str | None = None):
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new local path that all executors see: below spark.checkpoint.dir; only where that is unset, in a temporary folder (local sessions)."""
+    """A new location that all executors see: below spark.checkpoint.dir; only where that is unset, in a temporary folder (local sessions)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = os.path.join(re.sub("^file:/+", "/", base) if base else tempfile.mkdtemp(prefix="quire-"), f"{name}-{uuid.uuid4().hex}")
-    os.makedirs(folder)
-    return folder
+    base = base or tempfile.mkdtemp(prefix="quire-")
+    return f"{'file://' if base.startswith('/') else ''}{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _escaped(x):
@@ -209,7 +206,7 @@ def zip_round_trip(spark, d):
     outputs = entries.select("book_path").distinct().withColumn("output_path", F.concat(F.lit(folder), F.lit("/"), "book_path", F.lit(".epub")))
     written = epub.write_books(entries, new, outputs)
     written.where("committed").count()  # the archives are the result
-    rows = epub.chapters(epub.members(epub.read_archives(spark, f"file://{folder}")))
+    rows = epub.chapters(epub.members(epub.read_archives(spark, folder)))
     return rows.select(F.regexp_extract("book_path", "([^/]*)[.]epub$", 1).alias("book_path"), "chapter_path", F.sha2("html", 256).alias("html_sha256"))
 
 
@@ -248,7 +245,7 @@ def cache_probe(spark, d):
 )
 def cache_store(spark, d):
     """Two runs write lines to a stored cache, which is compacted; then all lines look theirs up."""
-    path = f"file://{shared_folder(spark, 'cache')}"
+    path = shared_folder(spark, "cache")
     rows = document_blocks(spark, d).withColumn("cache_key", F.sha2("source_text", 256))
     for run, (third, word) in enumerate(((1, "old:"), (0, "new:"))):
         part = rows.where(F.col("doc_id") % 3 == third).select("cache_key", F.concat(F.lit(word), "source_text").alias("translated_html"), F.timestamp_seconds(F.lit(run)).alias("written_at"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,6 +20,7 @@ from quire.functions.paths import output_path
 from quire.operators import batches, blocks, cache, html_blocks, memory
 from quire.operators.translate import Cancelled, Run, Translator, marking_translator, translate_batches, translate_books
 from quire.sources import epub
+from quire.sources.storage import Storage
 from quire.sources.stores import Checkpoints, clear_checkpoint, read_checkpoints
 
 CHAPTER = ["book_path", "spine_idx", "chapter_path"]
@@ -31,7 +31,7 @@ FINISHED = "chapter_path string, batch_no long, block_id string, translated_html
 
 @dataclass
 class Inspection:
-    entries: DataFrame
+    entries: DataFrame  # the index of the books, without contents
     chapters: DataFrame
     blocks: DataFrame
     fingerprints: DataFrame
@@ -41,19 +41,17 @@ class Inspection:
 class StopFlag:
     """A file that tells tasks to stop; it lies where all executors see it, as the books do."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, storage: Storage = Storage()):
+        self.path, self.storage = path, storage
 
     def __call__(self) -> bool:
-        return os.path.exists(self.path)
+        return self.storage.exists(self.path)
 
     def set(self) -> None:
-        os.makedirs(os.path.dirname(self.path), exist_ok=True)
-        open(self.path, "w").close()
+        self.storage.create(self.path).close()
 
     def clear(self) -> None:
-        if os.path.exists(self.path):
-            os.unlink(self.path)
+        self.storage.delete(self.path)
 
 
 @dataclass
@@ -72,6 +70,7 @@ class Engine:
     limits: Limits = field(default_factory=Limits)
     work_path: str = ""  # of inspections, results and checkpoints
     clock: Callable[[], float] = time.time
+    storage: Storage = field(default_factory=Storage)
     tag: str | None = None
     stop: StopFlag | None = None
     elapsed_ms: dict[str, int] = field(default_factory=dict)  # of the steps of the last run
@@ -83,7 +82,7 @@ class Engine:
     def _begin(self, name: str, output_dir: str) -> tuple[str, StopFlag]:
         self.cancel()
         tag = f"{name}-{uuid.uuid4().hex}"
-        self.tag, self.stop = tag, StopFlag(f"{output_dir}/.stop-{tag}")
+        self.tag, self.stop = tag, StopFlag(f"{output_dir}/.stop-{tag}", self.storage)
         self.spark.addTag(tag)
         return self.tag, self.stop
 
@@ -106,10 +105,11 @@ class Engine:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def inspect(self, path: str) -> Inspection:
-        """Chapters with title, category and selection, and their blocks; archives are read and parsed once."""
+        """Chapters with title, category and selection, and their blocks; only indexes, package documents and chapters are read, and parsed once."""
         began = self.clock()
-        entries = self._stored(epub.read_archives(self.spark, path))
-        chapters = self._stored(html_blocks.chapter_heads(epub.chapters(epub.members(entries)), "chapter_path"))
+        entries = self._stored(epub.read_index(self.spark, path, self.storage))
+        files = self._stored(epub.readable_members(entries, self.storage))
+        chapters = self._stored(html_blocks.chapter_heads(epub.chapters(epub.members(files)), "chapter_path"))
         found = self._stored(html_blocks.chapter_blocks(chapters.select(*CHAPTER, "html")))
         return Inspection(entries, chapters, found, epub.read_fingerprints(self.spark, path), int((self.clock() - began) * 1000))
 
@@ -179,7 +179,7 @@ class Engine:
                 chapters = found.chapters.where("include").select(*CHAPTER, "html")
                 rendered = html_blocks.render_chapters(chapters, translated, CHAPTER, config.bilingual)
                 outputs = found.entries.select("book_path").distinct().withColumn("output_path", output_path(F.regexp_replace("book_path", "^file:/+", "/"), F.lit(output_dir), F.lit(config.output_suffix)))
-                written = epub.write_books(found.entries, rendered.select("book_path", "spine_idx", F.col("chapter_path").alias("member_path"), F.col("rendered").alias("html")), outputs, lambda: not stop())
+                written = epub.write_books(found.entries, rendered.select("book_path", "spine_idx", F.col("chapter_path").alias("member_path"), F.col("rendered").alias("html")), outputs, lambda: not stop(), self.storage)
                 result = self._stored(written)
             store.report(progress.states("cancelled" if stop() else "completed"), force=True)
             cache.compact(self.spark, self.cache_path)
