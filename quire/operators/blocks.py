@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions.text import collapse, english_words, shorten, strip_tags, uni_trim, utf16_len
 
 PREVIEW_BLOCKS, EXCERPT_PARTS, MEMORY_CHARS = 12, 8, 2400
+#: Places of a book that the last step of a median looks at.
+MEDIAN_SPAN = 1 << 15
 NO_TEXT = "No readable text found."
 
 
@@ -105,14 +107,36 @@ def smallest_chapter(chapters: DataFrame, by: list[str]) -> DataFrame:
 
 
 def upper_median_chapter(chapters: DataFrame, by: list[str]) -> DataFrame:
-    """Content chapter at place n / 2 (from 0) by number of blocks."""
-    usable = chapters.where("category = 'content' and n_blocks > 0")
-    window = Window.partitionBy(*by)
-    ranked = usable.withColumns({"place": F.row_number().over(window.orderBy("n_blocks", "spine_idx")), "n": F.count("*").over(window)})
-    return ranked.where(F.col("place") == F.floor(F.col("n") / 2) + 1).select(*by, "spine_idx", "n_blocks")
+    """Content chapter at place n / 2 (from 0) by number of blocks, of equals by place in the book.
+
+    Selected by counts: first the number of blocks, then, among chapters with that number, a span of places, then the chapter
+    in it. Windows go over counts and over one span, so no book is brought together; counts are combined before they are shuffled.
+    """
+    usable = chapters.where("category = 'content' and n_blocks > 0").withColumn("span", F.floor(F.col("spine_idx") / MEDIAN_SPAN))
+    sizes = usable.groupBy(*by, "n_blocks").agg(F.count("*").alias("n"))
+    middle = F.floor(F.sum("n").over(Window.partitionBy(*by)) / 2)  # chapters before the one that is sought
+    size = _holding(sizes.withColumn("sought", middle), by, "n_blocks")
+    tied = _joined_by(usable, size, [*by, "n_blocks"])
+    span = _holding(tied.groupBy(*by, "n_blocks", "span").agg(F.count("*").alias("n"), F.first("sought").alias("sought")), by, "span")
+    near = _joined_by(usable, span.drop("n"), [*by, "n_blocks", "span"])
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("spine_idx")) - 1
+    return near.withColumn("place", place).where("place = sought").select(*by, "spine_idx", "n_blocks")
+
+
+def _joined_by(rows: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of the chosen keys with `sought`; null keys are equal to null."""
+    right = chosen.select(*(F.col(c).alias(f"_{c}") for c in on), "sought")
+    return rows.join(right, [rows[c].eqNullSafe(right[f"_{c}"]) for c in on]).drop(*(f"_{c}" for c in on))
+
+
+def _holding(counts: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Of counts in order, the one that holds the row after `sought` others; sought becomes what is left of that number within it."""
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = counts.withColumn("before", F.coalesce(before, F.lit(0)))
+    return rows.where("before <= sought and sought < before + n").withColumn("sought", F.col("sought") - F.col("before")).drop("before")
 
 
 def quality_sample(blocks: DataFrame, by: list[str], k: int = 3, least_words: int = 6) -> DataFrame:
-    """The first k blocks of each book with enough English words."""
+    """The first k blocks of each book with enough English words; each map task sends its first k of a book only (window group limit)."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("spine_idx", "block_idx"))
     return blocks.where(english_words("source_text") >= least_words).withColumn("place", rank).where(F.col("place") <= k)

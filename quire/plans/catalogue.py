@@ -284,9 +284,11 @@ def block_cache_keys(spark, d):
     SELECT source, fingerprint, sha256('v6-glossary-and-path-keys|' || fingerprint || '|https://api.example.com/v1|m|French|false||true|' || paths) AS job_key FROM f"""
 )
 def job_keys(spark, d):
-    books = table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("size"), F.max("doc_id").alias("last"), F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")).alias("paths"))
+    documents = table(spark, d, "documents")
+    books = documents.groupBy("source").agg(F.sum("n_chars").alias("size"), F.max("doc_id").alias("last"))
     books = books.withColumn("fingerprint", keys.input_fingerprint(F.concat("source", F.lit(".epub")), F.col("size"), F.timestamp_millis(F.col("last") * 1000)))
-    return books.select("source", "fingerprint", keys.job_key(F.col("fingerprint"), F.lit("api.example.com/"), F.lit("m"), F.lit("French"), F.lit(False), F.lit(""), F.lit(True), F.col("paths")).alias("job_key"))
+    head = keys.job_head(F.col("fingerprint"), F.lit("api.example.com/"), F.lit("m"), F.lit("French"), F.lit(False), F.lit(""), F.lit(True))
+    return books.select("source", "fingerprint").join(keys.job_keys(books.select("source", head.alias("head")), documents, "source", "doc_id", "doc_id"), "source")
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.config import Config
-from quire.functions.keys import block_key, job_key
+from quire.functions.keys import block_key, job_head, job_keys
 from quire.functions.labels import error_action
 from quire.functions.numbers import Limits
 from quire.functions.paths import output_path
@@ -120,10 +120,10 @@ class Engine:
 
     def job_keys(self, found: Inspection, config: Config) -> DataFrame:
         """book_path, fingerprint and job_key of each book with its selected chapters."""
-        paths = found.chapters.where("include").groupBy("book_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("spine_idx", "chapter_path"))), lambda c: c["chapter_path"]).alias("paths"))
         lit = F.lit
-        key = job_key(F.col("fingerprint"), lit(config.api_base_url), lit(config.model), lit(config.target_language), lit(config.bilingual), lit(config.locked_glossary), lit(config.residual_quality_check), F.col("paths"))
-        return found.fingerprints.join(paths, "book_path").select("book_path", "fingerprint", key.alias("job_key"))
+        head = job_head(F.col("fingerprint"), lit(config.api_base_url), lit(config.model), lit(config.target_language), lit(config.bilingual), lit(config.locked_glossary), lit(config.residual_quality_check))
+        keys = job_keys(found.fingerprints.select("book_path", head.alias("head")), found.chapters.where("include"), "book_path", "spine_idx", "chapter_path")
+        return found.fingerprints.join(keys, "book_path").select("book_path", "fingerprint", "job_key")
 
     def _planned(self, found: Inspection, pending: DataFrame, config: Config) -> DataFrame:
         """Batches with their blocks, neighbours in the chapter, title, first chapters of the book, and whether later chapters have anything to do."""
