@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import codecs, keys, labels, numbers, paths, text
-from quire.operators import batches, blocks, cache, history, html_blocks, memory, translate
+from quire.operators import batches, blocks, cache, history, html_blocks, memory, packing, translate
 from quire.sources import epub
 from quire.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-CHUNK = 1000
+CHUNK, BOOK_CHUNK = 1000, 8000
 
 
 def query(sql: str | None = None):
@@ -123,6 +123,20 @@ def estimate_by_book(spark, d):
     return batches.run_estimate(document_blocks(spark, d), ["source"], ["doc_id"], 3000)
 
 
+@query(
+    f"""WITH RECURSIVE {BLOCKS},
+    q AS (SELECT source, doc_id, block_idx, {COST.format(t="source_text", h="source_html")} AS cost FROM b),
+    s AS MATERIALIZED (SELECT *, sum(cost) OVER w AS upto, row_number() OVER w AS k FROM q WINDOW w AS (PARTITION BY source ORDER BY doc_id, block_idx)),
+    j AS MATERIALIZED (SELECT s.source, s.k, greatest(s.k + 1, n.k) AS then_k FROM s ASOF JOIN s n ON s.source = n.source AND s.upto - s.cost + {BOOK_CHUNK} < n.upto),
+    r AS (SELECT source, k, 1 AS no FROM s WHERE k = 1 UNION ALL SELECT r.source, j.then_k, r.no + 1 FROM r JOIN j ON j.source = r.source AND j.k = r.k)
+    SELECT s.source, s.doc_id, s.block_idx, CAST(s.cost AS BIGINT) AS cost, CAST(r.no AS BIGINT) AS batch_no FROM s ASOF JOIN r ON s.source = r.source AND s.k >= r.k"""
+)
+def pack_books(spark, d):
+    """All lines of a source as one long chapter, packed into large batches."""
+    cost = numbers.block_budget("source_text", "source_html").cast("long")
+    return packing.pack_sequence(document_blocks(spark, d).withColumn("cost", cost), ["source"], ["doc_id", "block_idx"], "cost", BOOK_CHUNK)
+
+
 @query(f"WITH {BLOCKS} SELECT doc_id, source, source_text, source_html, block_idx, 'p-' || CAST(block_idx + 1 AS VARCHAR) AS block_id FROM b")
 def block_explode(spark, d):
     return document_blocks(spark, d)
