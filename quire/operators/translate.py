@@ -46,6 +46,10 @@ def never() -> bool:
     return False
 
 
+def no_sleep(seconds: float) -> None:
+    """For services that are stand-ins: waits are counted only."""
+
+
 @dataclass
 class Retry:
     max_retries: int = 3
@@ -53,6 +57,7 @@ class Retry:
     sleep: Callable[[float], None] = time.sleep
     cancelled: Callable[[], bool] = never
     waits: list[float] = field(default_factory=list)
+    requests: int = 0  # that were sent
 
     def attempts(self, error: Exception) -> int:
         limited = isinstance(error, ServiceError) and error.status == 429
@@ -71,6 +76,7 @@ class Retry:
         while True:
             if self.cancelled():
                 raise Cancelled
+            self.requests += 1
             try:
                 return action()
             except Cancelled:
@@ -111,13 +117,22 @@ def checked(blocks: list[Block], answer: list[Block], residual: Callable[[str, s
 
 
 def translate_batch(blocks: list[Block], context: dict, translator: Translator, retry: Retry, residual: Callable[[str, str], bool] | None = None) -> list[Block]:
-    """A batch at once; if that is refused or stays incomplete, block by block."""
+    """A batch at once; if that is refused or stays incomplete, block by block.
+
+    Each answer also tells how many requests its block was in (requests), how long they waited for another try (waited,
+    seconds) and whether it went alone after its batch had failed (alone).
+    """
+    def answered(action: Callable[[], list[Block]], since: tuple[int, float] = (0, 0), alone: bool = False) -> list[Block]:
+        sent, waited = retry.requests, sum(retry.waits)
+        return [b | {"requests": since[0] + retry.requests - sent, "waited": int(since[1] + sum(retry.waits) - waited), "alone": alone} for b in retry.run(action)]
+
     try:
-        return retry.run(lambda: checked(blocks, translator(blocks, context), residual))
+        return answered(lambda: checked(blocks, translator(blocks, context), residual))
     except (ServiceError, ValueError) as error:
         if len(blocks) == 1 or (isinstance(error, ServiceError) and not falls_back(error)):
             raise
-        return [b for one in blocks for b in retry.run(lambda one=one: checked([one], translator([one], context), residual))]
+        so_far = retry.requests, sum(retry.waits)
+        return [b for one in blocks for b in answered(lambda one=one: checked([one], translator([one], context), residual), so_far, True)]
 
 
 @dataclass(frozen=True)
@@ -132,12 +147,13 @@ class Run:
     stopped: Callable[[], bool] = never
     first_memory: Callable[[list[dict]], dict] | None = None  # of a book's first chapters
     chapter_memory: Callable[[dict, dict], dict] | None = None  # of a chapter and the memory so far
+    sleep: Callable[[float], None] = time.sleep
 
     def residual(self, source: str, translated: str) -> bool:
         return bool(self.language) and keeps_source(collapse(parse(source).text), collapse(parse(translated).text), self.language)
 
     def batch(self, blocks: list[Block], context: dict) -> list[Block]:
-        return translate_batch(blocks, context, self.translator, Retry(self.max_retries, self.delay, cancelled=self.stopped), self.residual if self.language else None)
+        return translate_batch(blocks, context, self.translator, Retry(self.max_retries, self.delay, self.sleep, self.stopped), self.residual if self.language else None)
 
     def lanes(self, slots: int) -> int:
         """Tasks among which the requests are dealt: no more than may be under way, nor than run at once."""
@@ -170,11 +186,13 @@ def plain(value: object) -> object:
     return [plain(v) for v in value] if isinstance(value, (list, tuple, np.ndarray)) else value
 
 
-DONE = "chapter_path string, batch_no long, block_id string, translated_html string"
+#: requests, waited (seconds) and alone are those of translate_batch().
+DONE = "chapter_path string, batch_no long, block_id string, translated_html string, requests long, waited long, alone boolean"
+COLUMNS = [field.split()[0] for field in DONE.split(", ")]
 
 
 def _done(chapter: str, batch_no: int, blocks: list[Block]) -> pd.DataFrame:
-    return pd.DataFrame([(chapter, batch_no, b["id"], b["html"]) for b in blocks], columns=["chapter_path", "batch_no", "block_id", "translated_html"])
+    return pd.DataFrame([(chapter, batch_no, b["id"], b["html"], b["requests"], b["waited"], b["alone"]) for b in blocks], columns=COLUMNS)
 
 
 def _job(row: dict, **more: object) -> tuple[list[Block], dict]:
@@ -202,7 +220,7 @@ def _lane(run: Run, lanes: int) -> int:
 
 
 def translate_batches(batches: DataFrame, run: Run) -> DataFrame:
-    """chapter_path, batch_no, block_id and translated_html; batches have blocks, an array of (id, html), and maybe context, a struct."""
+    """The columns of DONE; batches have blocks, an array of (id, html), and maybe context, a struct."""
     optional = [c for c in ("context",) if c in batches.columns]
     rows, lanes = _dealt(batches.select("chapter_path", "batch_no", "blocks", *optional), run, ["chapter_path", "batch_no"], ["chapter_path", "batch_no"])
 
@@ -251,7 +269,7 @@ def translate_books(batches: DataFrame, run: Run) -> DataFrame:
                     text = " ".join(collapse(parse(b["html"]).text) for d in done for b in d)
                     made = run.chapter_memory({"chapter": head["chapter_path"], **(plain(head.get("context")) or {}), "text": text}, memory)
                     memory = fold_book(memory, read_chapter_memory(made))
-            yield pd.DataFrame([(path, None, None, None, write_memory(memory))], columns=["chapter_path", "batch_no", "block_id", "translated_html", "memory"])
+            yield pd.DataFrame([(path, *[None] * (len(COLUMNS) - 1), write_memory(memory))], columns=[*COLUMNS, "memory"])
 
     return rows.mapInPandas(work, f"{DONE}, memory string")
 
@@ -270,3 +288,30 @@ def counting_memory(chapter: dict, memory: dict) -> dict:
     """A deterministic stand-in for a chapter's memory: its length, and its first word as a term."""
     words = chapter["text"].split()
     return {"title": chapter["chapter"], "summary": f"{len(words)} words", "glossary": [{"source": words[0], "target": words[0].lower()}] if words else []}
+
+
+class UnsteadyTranslator:
+    """A deterministic stand-in for a service with faults, which follow from the chapter's number alone (modulo 6).
+
+    1: the first two requests for a batch are refused as too many (429), the second time with a wait of 2 seconds; 2: batches
+    of several blocks are too large (413); 3: they always leave the last block's answer blank; 4: only their first answer
+    lacks a block; 5: the first request fails without a status. It counts requests within a task, so a task that runs again begins anew.
+    """
+
+    def __init__(self) -> None:
+        self.asked: dict[tuple, int] = {}
+
+    def __call__(self, blocks: list[Block], context: dict) -> list[Block]:
+        key = context["chapter"], *(b["id"] for b in blocks)
+        self.asked[key] = tries = self.asked.get(key, 0) + 1
+        fault, several = int(context["chapter"]) % 6, len(blocks) > 1
+        if fault == 1 and tries <= 2:
+            raise ServiceError(429, 2 if tries == 2 else None)
+        if fault == 2 and several:
+            raise ServiceError(413)
+        if fault == 5 and tries == 1:
+            raise ServiceError
+        answer = marking_translator(blocks, context)
+        if fault == 3 and several:
+            return [*answer[:-1], answer[-1] | {"html": " "}]
+        return answer[1:] if fault == 4 and several and tries == 1 else answer

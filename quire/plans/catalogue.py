@@ -159,6 +159,17 @@ def page_titles(spark, d):
     return pages.select("page_id", title.alias("title"))
 
 
+@query(
+    """SELECT page_id, replace(replace(replace(replace(coalesce(nullif(trim(title), ''), nullif(h, ''), stem), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM (
+         SELECT page_id, regexp_replace(regexp_replace(string_split(string_split(url, '#')[1], '?')[1], '^.*/', ''), '\\.[^.]*$', '') AS stem,
+                regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')) AS h FROM pages)"""
+)
+def chapter_titles(spark, d):
+    """Titles as a run reads them: from the parsed tree, with character references decoded."""
+    pages = table(spark, d, "pages").withColumn("path", paths.cut_href("url"))
+    return html_blocks.chapter_heads(pages, "path").select("page_id", "title")
+
+
 @query(
     """SELECT page_id, string_split(string_split(url, '#')[1], '?')[1] AS cut, regexp_matches(lower(string_split(string_split(url, '#')[1], '?')[1]), '\\.(html|xhtml|htm)$') AS is_html,
        regexp_extract(string_split(string_split(url, '#')[1], '?')[1], '([^/]*)/*$', 1) AS base, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages"""
@@ -732,13 +743,40 @@ def _unescaped(x):
     return F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS chapter_path, 'p-' || CAST(turn AS VARCHAR) AS block_id, upper(replace(text, 'ß', 'SS')) AS translated FROM conversations")
-def translate_fake(spark, d):
+def ready_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as chapters, packed into batches for a translator."""
     rows = turns(spark, d).withColumns({"chapter_path": F.col("conv_id").cast("string"), "source_html": F.concat(F.lit("<p>"), _escaped(F.col("source_text")), F.lit("</p>"))})
     planned = batches.plan_batches(rows, ["chapter_path"], CHUNK)
-    ready = rows.join(planned.drop("cost"), ["chapter_path", "block_idx"]).groupBy("chapter_path", "batch_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", F.concat(F.lit("p-"), F.col("block_idx").cast("string")).alias("id"), F.col("source_html").alias("html")))), lambda b: F.struct(b["id"], b["html"])).alias("blocks"))
-    done = translate.translate_batches(ready, translate.Run(translate.marking_translator))
-    return done.select("chapter_path", "block_id", _unescaped(F.regexp_replace("translated_html", "^<p>|</p>$", "")).alias("translated"))
+    block = F.struct("block_idx", F.concat(F.lit("p-"), F.col("block_idx").cast("string")).alias("id"), F.col("source_html").alias("html"))
+    return rows.join(planned.drop("cost"), ["chapter_path", "block_idx"]).groupBy("chapter_path", "batch_no").agg(F.transform(F.array_sort(F.collect_list(block)), lambda b: F.struct(b["id"], b["html"])).alias("blocks"))
+
+
+def _translated():
+    return _unescaped(F.regexp_replace("translated_html", "^<p>|</p>$", "")).alias("translated")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS chapter_path, 'p-' || CAST(turn AS VARCHAR) AS block_id, upper(replace(text, 'ß', 'SS')) AS translated FROM conversations")
+def translate_fake(spark, d):
+    done = translate.translate_batches(ready_batches(spark, d), translate.Run(translate.marking_translator))
+    return done.select("chapter_path", "block_id", _translated())
+
+
+ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(
+    f"""WITH RECURSIVE {PACKED.replace(COST.format(t="text", h="('<p>' || text || '</p>')"), COST.format(t="text", h=f"('<p>' || {ESCAPED} || '</p>')"))},
+    m AS (SELECT *, count(*) OVER (PARTITION BY conv_id, no) > 1 AS several, conv_id % 6 AS fault FROM p)
+    SELECT CAST(m.conv_id AS VARCHAR) AS chapter_path, CAST(no AS BIGINT) AS batch_no, 'p-' || CAST(m.turn AS VARCHAR) AS block_id, upper(replace(text, 'ß', 'SS')) AS translated,
+           CASE WHEN fault = 1 THEN 3 WHEN fault = 2 AND several THEN 2 WHEN fault = 3 AND several THEN 4 WHEN fault = 4 AND several OR fault = 5 THEN 2 ELSE 1 END::BIGINT AS requests,
+           CASE WHEN fault = 1 THEN 7 WHEN fault = 3 AND several THEN 10 WHEN fault = 4 AND several OR fault = 5 THEN 5 ELSE 0 END::BIGINT AS waited, fault IN (2, 3) AND several AS alone
+    FROM m JOIN conversations c ON c.conv_id = m.conv_id AND c.turn = m.turn"""
+)
+def translate_unsteady(spark, d):
+    """A service with faults: what every block became, in how many requests, and how long it waited (no task really sleeps)."""
+    run = translate.Run(translate.UnsteadyTranslator(), sleep=translate.no_sleep)
+    done = translate.translate_batches(ready_batches(spark, d), run)
+    return done.select("chapter_path", "batch_no", "block_id", _translated(), "requests", "waited", "alone")
 
 
 @query(
