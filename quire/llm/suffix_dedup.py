@@ -241,10 +241,10 @@ class Pass:
         twice = np.add.reduceat((self.settled + 1).astype(np.int64)[self.order], self.first) > 1
         keys = self.keys[self.order][self.first]
         bucket = (keys[:, 0] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
-        edges = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64)).tolist()
-        for b, (start, stop) in enumerate(zip(edges, edges[1:], strict=False)):
-            if stop > start:
-                rows.append({"bucket": b, "block": self.block.block, "n": stop - start, "keys": keys[start:stop].tobytes(), "twice": np.packbits(twice[start:stop]).tobytes()})
+        used, begin = np.unique(bucket, return_index=True)  # keys are in order, so buckets are; only those that occur count
+        ends = np.append(begin[1:], len(keys))
+        for b, start, stop in zip(used.tolist(), begin.tolist(), ends.tolist(), strict=True):
+            rows.append({"bucket": b, "block": self.block.block, "n": stop - start, "keys": keys[start:stop].tobytes(), "twice": np.packbits(twice[start:stop]).tobytes()})
         return rows
 
     def answered(self, repeated: np.ndarray) -> np.ndarray:
