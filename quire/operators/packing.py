@@ -10,6 +10,7 @@ holds; a task holds a segment, or the tables of `fan` neighbours.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Blocks of a segment, and tables that one row holds.
-SEGMENT, FAN = 1024, 64
+SEGMENT, FAN = 1024, 256
 #: Room when no batch is open, or one that is over the limit: not even a block without cost goes in.
 CLOSED = -1
 TABLE = "below array<long>, batches array<long>, room array<long>, total long"
@@ -108,12 +109,13 @@ def _of_children(*names: str) -> list[Column]:
     return [F.expr(f"transform(children, c -> c.{name})") for name in names]
 
 
-def pack_sequence(rows: DataFrame, by: list[str], order: list[str], cost: str, limit: int, segment: int = SEGMENT, fan: int = FAN) -> DataFrame:
+def pack_sequence(rows: DataFrame, by: list[str], order: list[str], cost: str, limit: int, segment: int = SEGMENT, fan: int = FAN, stored: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """by, order, cost and batch_no (from 1) of each row: packed in order within each sequence, whatever its length.
 
     A new batch starts where the next cost would go over the limit; a cost over the limit is a batch by itself. `order` are whole
     numbers, nulls first; rows at one place go by cost (repeated rows all count). Null and negative costs are 0; null keys are
     a sequence like others; other columns are left out. Two small values for each of `order`, its bounds, come to the driver.
+    Segments and the tables of each level are used twice, up and down: `stored` may write them and give them back.
     """
     limit = max(1, limit)
 
@@ -153,7 +155,10 @@ def pack_sequence(rows: DataFrame, by: list[str], order: list[str], cost: str, l
     keys = [f"_{k}" for k in range(len(order))]
     item = F.struct(places[-1].alias("_place"), F.greatest(F.coalesce(F.col(cost).cast("long"), F.lit(0)), F.lit(0)).alias("_cost"), *order)
     placed = rows.select(F.struct(F.lit(0).alias("_"), *by).alias("_by"), *(p.alias(k) for p, k in zip(places, keys, strict=True)), item.alias("item"))
-    leaves = placed.withColumn(keys[-1], F.expr(f"{keys[-1]} div {segment}")).groupBy("_by", *keys).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    # a given number of partitions: small ones are not put together, as their rows cost more time than bytes
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.withColumn(keys[-1], F.expr(f"{keys[-1]} div {segment}")).repartition(n, "_by", *keys)
+    leaves = stored(placed.groupBy("_by", *keys).agg(F.array_sort(F.collect_list("item")).alias("items")))
     costs = F.transform("items", lambda x: x["_cost"])
 
     tables = leaves.select("_by", *keys, of_costs(costs).alias("t"))
@@ -162,7 +167,7 @@ def pack_sequence(rows: DataFrame, by: list[str], order: list[str], cost: str, l
         inner, name = keys[: depth - 1], keys[depth - 1]
         while spans[depth - 1]:
             groups = tables.groupBy("_by", *inner, F.expr(f"{name} div {fan}").alias("_up")).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("key"), "t.*"))).alias("children"))
-            groups = groups.withColumnRenamed("_up", name)
+            groups = stored(groups.withColumnRenamed("_up", name))
             levels.append(([*inner, name], groups))
             tables = groups.select("_by", *inner, name, of_tables(*_of_children("below", "batches", "room", "total")).alias("t"))
             spans[depth - 1] //= fan

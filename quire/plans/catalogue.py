@@ -43,6 +43,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{'file://' if base.startswith('/') else ''}{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read again, so that they are made once and outlive their executors."""
+    path = shared_folder(rows.sparkSession, "stored")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _escaped(x):
     return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -134,7 +141,7 @@ def estimate_by_book(spark, d):
 def pack_books(spark, d):
     """All lines of a source as one long chapter, packed into large batches."""
     cost = numbers.block_budget("source_text", "source_html").cast("long")
-    return packing.pack_sequence(document_blocks(spark, d).withColumn("cost", cost), ["source"], ["doc_id", "block_idx"], "cost", BOOK_CHUNK)
+    return packing.pack_sequence(document_blocks(spark, d).withColumn("cost", cost), ["source"], ["doc_id", "block_idx"], "cost", BOOK_CHUNK, stored=stored)
 
 
 @query(f"WITH {BLOCKS} SELECT doc_id, source, source_text, source_html, block_idx, 'p-' || CAST(block_idx + 1 AS VARCHAR) AS block_id FROM b")
