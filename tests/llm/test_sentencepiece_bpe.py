@@ -91,3 +91,45 @@ def test_copies_that_follow_draw_anew(spark):
     assert first == again and [first[k] for k in (0, 3, 5, 6)] == [plain[k] for k in (0, 3, 5, 6)]
     assert len({tuple(first[k]) for k in (0, 1, 2, 3, 4, 6, 7)}) == 7 and len({tuple(plain[k]) for k in (0, 1, 2)}) == 1
     assert [r.decoded for r in decode(encode(docs, path, copies_follow=True), path).collect()] == [t for _, t in rows]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from(f"ab é\n\0{SPACE}\t😀"), max_size=12), max_size=6))
+def test_texts_are_cut_together_as_each_alone(coder, texts):
+    units, counts = coder._split(texts)
+    want = [coder.units(t) for t in texts]
+    assert units.to_pylist() == [u for part in want for u in part] and counts.tolist() == [len(part) for part in want]
+
+
+def test_nodes_are_made_for_what_is_wanted_again():
+    """Most units of a corpus come once: they get their pieces without a node, and later ones get the same as by the plain agenda."""
+    coder = DropoutEncoder(MODEL)
+    once = [f"q{k}zx{k * k}" for k in range(400)]
+    for doc, words in enumerate((once, once, once + once)):
+        text = " ".join(words)
+        units = coder.units(text)
+        want = [i for u, key in zip(units, coder._keys(doc, len(units)).tolist(), strict=True) for i in coder.segment(u, key)]
+        assert coder.encode(doc, text).tolist() == want
+        made = len(coder.nodes.unit)
+        # a unit that shares its mark with another is kept earlier
+        assert made < 20 if doc == 0 else 400 <= len(coder.nodes.root) <= made
+    assert made < 3000
+
+
+def test_pairs_are_found_past_collisions():
+    import numpy as np
+
+    from quire.llm.sentencepiece_bpe import Pairs
+
+    class Small(Pairs):
+        BITS = 3
+
+    pairs = [(a, b, 10 * a + b) for a in range(9) for b in range(9) if a != b]
+    found = Small(pairs, -np.arange(100.0) // 2)
+    left, right = np.array([(a, b) for a in range(-3, 10) for b in range(-3, 10)], np.int32).T
+    want = {(a, b): i for a, b, i in pairs}
+    ids, ranks = found.find(left, right)
+    assert ids.tolist() == [want.get(p, -1) for p in zip(left.tolist(), right.tolist(), strict=True)]
+    known = ids >= 0
+    order = np.array(ids[known]) // 2 + np.array(ids[known]) % 2
+    assert (np.argsort(ranks[known], kind="stable") == np.argsort(order, kind="stable")).all() and (ranks[~known] == 2**31 - 1).all()
