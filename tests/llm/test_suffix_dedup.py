@@ -42,6 +42,22 @@ def test_matches_brute_force(spark):
         assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted((str(i[0]), *w) for i, w in zip(rows, want, strict=True))
 
 
+def test_query_goes_by_400_bytes_and_not_by_words(spark, tmp_path):
+    """All passages have over 50 words; n_bytes is the input's length, whatever is removed."""
+    from quire.llm.queries import op1_suffix_dedup
+
+    passage = lambda mark, n: " ".join(f"{mark}{k:03d}" for k in range(100))[:n]
+    short, exact, twice = passage("p", 399), passage("q", 400), passage("ä", 400)
+    texts = [f"{a}{t}{a}" for t in (short, exact) for a in "01"] + [f"2{twice}2 3{twice}3"]
+    assert all(len(t.split()) > 50 for t in (short, exact, twice))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_suffix_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.text) for r in got] == [
+        (401, 0, 0, texts[0]), (401, 0, 0, texts[1]), (402, 400, 1, "00"), (402, 400, 1, "11"), (len(texts[4].encode()), 2 * len(twice.encode()), 2, "22 33"),
+    ]
+    assert [r.kept_sha256 for r in got] == [w[3] for w in brute([t.encode() for t in texts], 400)]
+
+
 def test_small_blocks_and_buckets(spark, monkeypatch):
     """Groups that reach over many blocks, and more buckets than prefixes."""
     import quire.llm.suffix_dedup as m
