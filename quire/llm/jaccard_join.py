@@ -25,6 +25,8 @@ leaders from outside the largest connected part are compared with those members
 shared tokens and the pivot leave; a leader is then done with in that group. A group leaves when its members are connected
 (components are exact after every round), or when all outside its largest part have led. The rounds end when no
 group is left; then every pair with a common signature was compared, was shown to be too far apart, or was connected already.
+The rounds grow with the largest group, so a round's plans don't grow with the rounds before it: what was compared is one
+table, and only a round that found links works on components, those that the links join.
 
 Defined cases: null text and text without words give an empty set, linked with nothing; rows are told apart by an id
 of their own, so repeated rows are linked like any others and a doc_id may come with several texts; a row with a null
@@ -43,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, text_bytes
+from quire.llm.common import shared_dir, stored, text_bytes
 from quire.llm.word_hashes import finish, shingle_sets
 
 #: Tokens that one bucket is meant to hold.
@@ -296,6 +298,16 @@ def components(links: DataFrame) -> DataFrame:
         labels, was = new, sum_of
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (id and component) after more links: only the components that these join are looked at, each as one."""
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(ends)
+    alone = joined.join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))
+    new = joined.select(F.col("id").alias("component"), F.col("component").alias("new"))
+    return stored(labels.select("id", "component").union(alone).join(new, "component", "left").select("id", F.coalesce("new", "component").alias("component")))
+
+
 def link_components(lists: DataFrame, percent: int) -> DataFrame:
     """id and component of each document of `lists` that links with another."""
     members = lists.select(F.explode("signatures").alias("signature"), "id", "n", F.size("tokens").alias("shared"))
@@ -306,11 +318,12 @@ def link_components(lists: DataFrame, percent: int) -> DataFrame:
     sides = lambda other: (F.least("id", other).alias("a"), F.greatest("id", other).alias("b"))
     fits = lambda most: 100 * most >= percent * (F.col("n") + F.col("m") - most)
     tried = members.where("id <> pivot").select("id", "n", "shared", "pivot").distinct().join(of_pivot, "pivot").where(fits(F.least("shared", "s")))
-    compared = stored(judged(tried.select(*sides("pivot")), lists, percent))
+    folder = shared_dir(lists.sparkSession)  # of all pairs compared, round by round
+    compared = stored(judged(tried.select(*sides("pivot")), lists, percent), f"{folder}/pivots")
     with_pivot = F.when(F.col("id") == F.col("pivot"), F.col("shared")).otherwise(F.col("both")).alias("with_pivot")
     placed = members.select("*", *sides("pivot")).join(compared.drop("links"), ["a", "b"], "left").select("signature", "id", "n", "shared", with_pivot, (F.col("id") == F.col("pivot")).alias("led"))
+    labels = components(compared.where("links"))
     for turn in range(1 << 30):
-        labels = components(compared.where("links"))
         placed = placed.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         size = F.struct("size", -F.col("component"))
         parts = placed.groupBy("signature", "component").agg(F.count("*").alias("size"), F.count_if(~F.col("led")).alias("free"))
@@ -332,8 +345,10 @@ def link_components(lists: DataFrame, percent: int) -> DataFrame:
         first = F.array_min(F.array_intersect("open", "theirs")) == F.col("signature")
         met = marked.select("signature", "id", "n", "shared", "with_pivot", "component", "open").join(leaders, "signature")
         pairs = met.where((F.col("component") != F.col("own")) & fits(most) & first).select(*sides("leader")).distinct()
-        told = stored(judged(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), lists, percent))
-        compared = compared.union(told)
+        before = lists.sparkSession.read.schema("a long, b long").option("recursiveFileLookup", "true").parquet(folder)
+        links = stored(judged(pairs.join(before, ["a", "b"], "left_anti"), lists, percent), f"{folder}/{turn}").where("links")
+        if links.limit(1).count():
+            labels = merged(labels, links)
         placed = placed.select("signature", "id", "n", "shared", "with_pivot", (F.col("led") | F.col("leads")).alias("led"))
 
 

@@ -122,6 +122,34 @@ def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
     assert got == brute(rows, 4, 85) and sum(compared) < 12_000  # of 79,800 pairs
 
 
+def test_rounds_dont_grow_with_those_before(spark, monkeypatch):
+    """A group that takes many rounds: plans stay as large as in the first ones, and components are worked on where links were found."""
+    import quire.llm.jaccard_join as m
+
+    monkeypatch.setattr(m, "LEADERS", (1, 2))
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(24):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 4, 5])):
+            copy[at] = f"e{rng.randrange(50)}"
+        rows.append((k, " ".join(copy)))
+    scans, worked = [], []
+    whole, parts = m.judged, m.components
+
+    def judged(pairs, lists, percent):
+        scans.append(str(pairs._jdf.queryExecution().analyzed()).count("Relation"))
+        return whole(pairs, lists, percent)
+
+    monkeypatch.setattr(m, "judged", judged)
+    monkeypatch.setattr(m, "components", lambda links: (worked.append(1), parts(links))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 4, 85)
+    assert len(scans) >= 5 and len(set(scans[1:])) == 1, scans
+    assert len(worked) < len(scans) - 1
+
+
 @given(st.lists(st.integers(0, 400_000), unique=True, max_size=40))
 def test_steps(places):
     places = np.array(sorted(places), np.int64)
