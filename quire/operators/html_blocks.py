@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -24,9 +24,12 @@ def blocks_of(html: pd.Series) -> pd.Series:
     return html.map(lambda h: [] if h is None else tree.blocks_of(h))
 
 
-@pandas_udf(HEAD)
-def head_of(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([tree.chapter_head(h or "") for h in html], columns=["title", "heading", "body_text"])
+def head_of(html: Column, references: tuple[str, ...] | None = None) -> Column:
+    @pandas_udf(HEAD)
+    def head(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tree.chapter_head(h or "", references) for h in html], columns=["title", "heading", "body_text"])
+
+    return head(html)
 
 
 @pandas_udf(T.StringType())
@@ -50,9 +53,9 @@ def chapter_blocks(chapters: DataFrame, html: str = "html") -> DataFrame:
     return chapters.select(*others, F.explode(blocks_of(F.col(html))).alias("b")).select(*others, "b.*")
 
 
-def chapter_heads(chapters: DataFrame, path: str, html: str = "html") -> DataFrame:
-    """title, category, recommended, include and body_text of each chapter."""
-    head = chapters.withColumn("head", head_of(F.col(html)))
+def chapter_heads(chapters: DataFrame, path: str, html: str = "html", references: tuple[str, ...] | None = None) -> DataFrame:
+    """title, category, recommended, include and body_text of each chapter. references: the names to decode, with their semicolon; None: as HTML does."""
+    head = chapters.withColumn("head", head_of(F.col(html), references))
     title = resolve_title(F.col("head.title"), F.col("head.heading"), stem(path))
     kind = category(F.col(path), F.col("title"))
     rows = head.withColumn("title", title).withColumn("body_text", F.col("head.body_text")).withColumn("category", kind)
